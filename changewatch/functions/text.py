@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from changewatch.model import DESCRIPTION_CHARS
 
 # --- fixed values: the whitespace set of ECMAScript \s and trim() -----------------
-SPACES = r"\t\n\x0B\f\r    -     　﻿"
+SPACES = (
+    r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+)
 
 # --- fixed values: scraped status labels ----------------------------------------
 STATUS_LABELS = {"on-going": "on_going", "deferred": "deferred", "completed": "completed"}
@@ -28,6 +30,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for use in ``body``.
+
+    A Column used several times is repeated in the expression tree at each use;
+    nested re-use makes that tree grow exponentially. A lambda variable does not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_ws(c: Column | str) -> Column:
     """Trim every kind of Unicode white space, not only U+0020."""
     return F.regexp_replace(_col(c), f"^[{SPACES}]+|[{SPACES}]+$", "")
@@ -55,6 +66,40 @@ def _from_code(hex8: Column) -> Column:
     return F.decode(F.unhex(hex8), "UTF-32")
 
 
+def _named(text: Column) -> Column:
+    table = F.from_json(F.lit(json.dumps(_CODES)), "map<string,string>")
+    names = F.array_distinct(
+        F.regexp_extract_all(text, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), F.lit(1))
+    )
+    return F.aggregate(
+        F.filter(names, lambda n: F.map_contains_key(table, n)),
+        text,
+        lambda acc, n: F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.element_at(table, n)),
+    )
+
+
+def _numeric(text: Column, prefix: str, digits: str, to_hex) -> Column:
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"&#{prefix}({digits});"), F.lit(1)))
+    return F.aggregate(
+        F.filter(found, lambda n: (to_hex(n) != "00000026") & (to_hex(n) < "00110000")),
+        text,
+        lambda acc, n: F.regexp_replace(
+            acc,
+            F.concat(F.lit(f"&#{prefix}"), n, F.lit(";")),
+            # "$" and "\" are special in a replacement
+            F.regexp_replace(_from_code(to_hex(n)), F.lit(r"([\\$])"), F.lit(r"\\$1")),
+        ),
+    )
+
+
+def _decimal(text: Column) -> Column:
+    return _numeric(text, "", "[0-9]{1,7}", lambda n: F.lpad(F.hex(n.cast("int")), 8, "0"))
+
+
+def _hexadecimal(text: Column) -> Column:
+    return _numeric(text, "[xX]", "[0-9A-Fa-f]{1,6}", lambda n: F.upper(F.lpad(n, 8, "0")))
+
+
 def decode_entities(c: Column | str) -> Column:
     """Decode ONE layer of character references; plain text passes unchanged.
 
@@ -62,34 +107,15 @@ def decode_entities(c: Column | str) -> Column:
     the HTML 4 table, numeric ones are decoded to their code point, and the
     ampersand itself is decoded last so that ``&amp;lt;`` gives ``&lt;``.
     """
-    text = _col(c)
-    table = F.from_json(F.lit(json.dumps(_CODES)), "map<string,string>")
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
-    named = F.aggregate(
-        F.filter(names, lambda n: F.map_contains_key(table, n)),
-        text,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.element_at(table, n)),
-    )
-
-    def numeric(source: Column, prefix: str, digits: str, to_hex) -> Column:
-        found = F.array_distinct(
-            F.regexp_extract_all(source, F.lit(f"&#{prefix}({digits});"), F.lit(1))
-        )
-        return F.aggregate(
-            F.filter(found, lambda n: (to_hex(n) != "00000026") & (to_hex(n) < "00110000")),
-            source,
-            lambda acc, n: F.regexp_replace(
-                acc,
-                F.concat(F.lit(f"&#{prefix}"), n, F.lit(";")),
-                # "$" and "\" are special in a replacement
-                F.regexp_replace(_from_code(to_hex(n)), F.lit(r"([\\$])"), F.lit(r"\\$1")),
+    return let(
+        _col(c),
+        lambda text: F.when(
+            F.contains(text, F.lit("&")),
+            F.regexp_replace(
+                let(let(_named(text), _decimal), _hexadecimal), r"&(amp|#0*38|#[xX]0*26);", "&"
             ),
-        )
-
-    decimal = numeric(named, "", "[0-9]{1,7}", lambda n: F.lpad(F.hex(n.cast("int")), 8, "0"))
-    hexed = numeric(decimal, "[xX]", "[0-9A-Fa-f]{1,6}", lambda n: F.upper(F.lpad(n, 8, "0")))
-    full = F.regexp_replace(hexed, r"&(amp|#0*38|#[xX]0*26);", "&")
-    return F.when(F.contains(text, F.lit("&")), full).otherwise(text)
+        ).otherwise(text),
+    )
 
 
 def sha256_hex(c: Column | str) -> Column:

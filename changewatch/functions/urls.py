@@ -13,12 +13,10 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from changewatch.functions.text import _col
+from changewatch.functions.text import _col, let
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
-_AUTHORITY = (
-    r"^(?:[^@/]*@)?(?:\[[0-9A-Fa-f:.]+\]|[^\[\]\s<>^|%:@/?#\\]+)(?::[0-9]{0,5})?$"
-)
+_HOST = r"^(?:\[[0-9A-Fa-f:.]+\]|[^\[\]\s<>^|%]+)$"
 
 
 def _escape(part: Column, bad: str) -> Column:
@@ -35,56 +33,63 @@ def _escape(part: Column, bad: str) -> Column:
 
 def _dot_segments(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
-    segments = F.split(path, "/", -1)
+    dotted = F.regexp_like(path, F.lit(r"(?i)/(\.|%2e)"))
+    # a final dot segment names a folder
+    folder = F.regexp_replace(path, r"(?i)/((?:\.|%2e){1,2})$", "/$1/")
     kept = F.aggregate(
-        segments,
+        F.split(F.replace(F.replace(folder, F.lit("%2e"), F.lit(".")), F.lit("%2E"), F.lit(".")), "/", -1),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(
-            F.lower(s).isin("..", "%2e%2e", ".%2e", "%2e."),
-            F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc),
+            s == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
         )
-        .when(F.lower(s).isin(".", "%2e"), acc)
+        .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s))),
     )
-    joined = F.array_join(kept, "/")
-    # a final dot segment names a folder
-    folder = F.regexp_like(path, F.lit(r"(?i)/(\.|%2e){1,2}$"))
-    full = F.when(folder & ~F.endswith(joined, F.lit("/")), F.concat(joined, F.lit("/"))).otherwise(joined)
-    clean = F.when(F.startswith(full, F.lit("/")), full).otherwise(F.concat(F.lit("/"), full))
-    return F.when(F.regexp_like(path, F.lit(r"(?i)/(\.|%2e)")), clean).otherwise(path)
+    return F.when(dotted, let(F.array_join(kept, "/"), lambda p: F.when(p == "", F.lit("/")).otherwise(p))).otherwise(path)
+
+
+# characters that may stand in a URL part as they are; "." after "/" is checked apart
+_PLAIN = r"^https?://[a-z0-9][a-z0-9.\-]*/[A-Za-z0-9_~!$&()*+,;=:@%./\-]*(?:[?#][A-Za-z0-9_~!$&()*+,;=:@%./?\-]*)?$"
+_PIECES = (
+    r"^([A-Za-z]+):[/\\]*((?:[^/?#\\]*@)?)([^/?#\\@:]*|\[[^/?#\\@]*\])((?::[0-9]*)?)"
+    r"((?:[/\\][^?#]*)?)((?:\?[^#]*)?)((?:#(?s:.*))?)$"
+)
 
 
 def _http(url: Column) -> Column:
     """Normal form of a text ``http(s)://...``; NULL when it is no URL."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z]+):", 1))
-    rest = F.regexp_replace(url, r"^[A-Za-z]+:[/\\]*", "")
-    authority = F.regexp_extract(rest, r"^([^/?#\\]*)", 1)
-    after = F.substr(rest, F.length(authority) + 1)
-    path = F.replace(F.regexp_extract(after, r"^([^?#]*)", 1), F.lit("\\"), F.lit("/"))
-    query = F.regexp_extract(after, r"^[^?#]*(\?[^#]*)?", 1)
-    fragment = F.regexp_extract(after, r"^[^#]*(#(?s:.*))?", 1)
-    user = F.regexp_extract(authority, r"^(.*@)?", 1)
-    host = F.lower(F.substr(authority, F.length(user) + 1))
-    port = F.regexp_extract(host, r":([0-9]*)$", 1)
+    plain = F.regexp_like(url, F.lit(_PLAIN)) & ~F.contains(url, F.lit("/."))
+    return F.when(plain, url).when(F.regexp_like(url, F.lit(_PIECES)), let(_split(url), _join))
+
+
+def _split(url: Column) -> Column:
+    """Scheme, user, host, port, path, query, fragment."""
+    marked = F.regexp_replace(
+        url, _PIECES, "\u0001".join(f"${i}" for i in range(1, 8))
+    )
+    return F.split(marked, "\u0001", -1)
+
+
+def _join(part: Column) -> Column:
+    scheme, host, port = F.lower(part[0]), F.lower(part[2]), F.substr(part[3], F.lit(2))
     default = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
-    bare = F.when((port == "") | (port == default), F.regexp_replace(host, r":[0-9]*$", "")).otherwise(host)
-    good = F.regexp_like(authority, F.lit(_AUTHORITY)) & (
-        F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535
+    path = let(
+        F.when(part[4] == "", F.lit("/")).otherwise(F.replace(part[4], F.lit("\\"), F.lit("/"))),
+        lambda p: _dot_segments(_escape(p, r' "<>`{}^\u0000-\u001F\u007F-\uFFFF\x{10000}-\x{10FFFF}')),
     )
-    whole = F.concat(
-        scheme,
-        F.lit("://"),
-        user,
-        bare,
-        _dot_segments(
-            F.when(path == "", F.lit("/")).otherwise(
-                _escape(path, r' "<>`{}^\u0000-\u001F\u007F-￿\x{10000}-\x{10FFFF}')
-            )
+    return F.when(
+        F.regexp_like(host, F.lit(_HOST)) & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535),
+        F.concat(
+            scheme,
+            F.lit("://"),
+            part[1],
+            host,
+            F.when((port == "") | (port == default), F.lit("")).otherwise(part[3]),
+            path,
+            _escape(part[5], r""" "'<>\u0000-\u001F\u007F-\uFFFF\x{10000}-\x{10FFFF}"""),
+            _escape(part[6], r' "<>`\u0000-\u001F\u007F-\uFFFF\x{10000}-\x{10FFFF}'),
         ),
-        _escape(query, r""" "'<>\u0000-\u001F\u007F-￿\x{10000}-\x{10FFFF}"""),
-        _escape(fragment, r' "<>`\u0000-\u001F\u007F-￿\x{10000}-\x{10FFFF}'),
     )
-    return F.when(good, whole)
 
 
 def try_absolute_url(href: Column | str, base: str) -> Column:
@@ -95,28 +100,28 @@ def try_absolute_url(href: Column | str, base: str) -> Column:
     folder = path[: path.rfind("/") + 1]
     query = f"?{parts.query}" if parts.query else ""
 
+    def resolve(link: Column) -> Column:
+        target = (
+            F.when(F.regexp_like(link, F.lit(r"(?i)^https?:")), link)
+            .when(F.regexp_like(link, F.lit(r"^[/\\]{2}")), F.concat(F.lit(parts.scheme + ":"), link))
+            .when(F.regexp_like(link, F.lit(r"^[/\\]")), F.concat(F.lit(origin), link))
+            .when(link == "", F.lit(origin + path + query))
+            .when(F.startswith(link, F.lit("?")), F.concat(F.lit(origin + path), link))
+            .when(F.startswith(link, F.lit("#")), F.concat(F.lit(origin + path + query), link))
+            .otherwise(F.concat(F.lit(origin + folder), link))
+        )
+        other = F.regexp_like(link, F.lit(_SCHEME)) & ~F.regexp_like(link, F.lit(r"(?i)^https?:"))
+        return F.when(
+            other,
+            F.concat(
+                F.lower(F.regexp_extract(link, "(" + _SCHEME[1:] + ")", 1)),
+                F.regexp_replace(link, _SCHEME, ""),
+            ),
+        ).otherwise(let(target, _http))
+
     raw = F.regexp_replace(_col(href), r"^[\u0000- ]+|[\u0000- ]+$|[\t\n\r]", "")
-    is_http = F.regexp_like(raw, F.lit(r"(?i)^https?:"))
     # "https:path" without slashes is relative when the base has the same scheme
-    same_scheme = F.regexp_like(raw, F.lit(rf"(?i)^{parts.scheme}:(?![/\\])"))
-    link = F.when(same_scheme, F.regexp_replace(raw, r"^[A-Za-z]+:", "")).otherwise(raw)
-    target = (
-        F.when(is_http & ~same_scheme, link)
-        .when(F.regexp_like(link, F.lit(r"^[/\\]{2}")), F.concat(F.lit(parts.scheme + ":"), link))
-        .when(F.regexp_like(link, F.lit(r"^[/\\]")), F.concat(F.lit(origin), link))
-        .when(link == "", F.lit(origin + path + query))
-        .when(F.startswith(link, F.lit("?")), F.concat(F.lit(origin + path), link))
-        .when(F.startswith(link, F.lit("#")), F.concat(F.lit(origin + path + query), link))
-        .otherwise(F.concat(F.lit(origin + folder), link))
-    )
-    other = F.regexp_like(link, F.lit(_SCHEME)) & ~is_http
-    return F.when(
-        other,
-        F.concat(
-            F.lower(F.regexp_extract(link, "(" + _SCHEME[1:] + ")", 1)),
-            F.regexp_replace(link, _SCHEME, ""),
-        ),
-    ).otherwise(_http(target))
+    return let(F.regexp_replace(raw, rf"(?i)^{parts.scheme}:(?![/\\])", ""), resolve)
 
 
 def absolute_url(href: Column | str, base: str) -> Column:
@@ -136,9 +141,9 @@ def absolutise_hrefs(html: Column | str, base: str) -> Column:
 
 def url_path(url: Column | str) -> Column:
     """Path of an absolute http(s) URL; NULL for anything else."""
-    return F.when(
-        F.regexp_like(_col(url), F.lit(r"(?i)^https?://")),
-        F.regexp_extract(_http(_col(url)), r"^[a-z]+://[^/]*(/[^?#]*)", 1),
+    return let(
+        F.when(F.regexp_like(_col(url), F.lit(r"(?i)^https?://")), _http(_col(url))),
+        lambda u: F.when(u.isNotNull(), F.regexp_extract(u, r"^[a-z]+://[^/]*(/[^?#]*)", 1)),
     )
 
 

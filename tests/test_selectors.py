@@ -1,0 +1,36 @@
+from changewatch.sources.selectors import Rule, of_rule, pick, select_all
+
+CARD = Rule("cards", ".widget-page-cards a.card",
+            {"href": ((), "attr:href"), "title": ((".card-title",), "text")})
+
+
+def test_nested_blocks_and_serialisation():
+    page = ('<div class="t x"><div>a<div>b</div></div><p>one<p>two<br>&amp;</div>'
+            "<div class='t'><a href='/q?a=1&amp;b'>l</a><!-- c --></div><script>if (a<b) {}</script>")
+    out = pick(page, (Rule("t", ".t", {"text": ((), "text"), "html": ((), "html")}),))
+    assert [m["values"]["text"] for m in out] == ["abonetwo&", "l"]
+    assert out[0]["values"]["html"] == "<div>a<div>b</div></div><p>one</p><p>two<br>&amp;</p>"
+    assert out[1]["values"]["html"] == '<a href="/q?a=1&amp;b">l</a><!-- c -->'
+
+
+def test_within_first_match_or_body():
+    rule = Rule("m", ":root", {"text": ((), "text")}, within="main", otherwise="body", first=True)
+    assert pick("<body><h1>a</h1><main>b</main></body>", (rule,))[0]["values"]["text"] == "b"
+    assert pick("<html><body>x<i>y</i></body></html>", (rule,))[0]["values"]["text"] == "xy"
+    assert pick("just text", (rule,))[0]["values"]["text"] == "just text"
+
+
+def test_rows_get_an_implied_tbody():
+    rule = Rule("r", ".res tbody tr", {"n": (("td",), "count"), "c": (("td@1",), "text"),
+                                       "a": (("td", "a"), "attr:href")})
+    page = '<table class="res"><tr><td><a href="/1">x</a><td>two<td>3<tr><td>y</table>'
+    got = [m["values"] for m in pick(page, (rule,))]
+    assert got == [{"n": "3", "c": "two", "a": "/1"}, {"n": "1", "c": None, "a": None}]
+
+
+def test_select_all_column(spark):
+    page = '<div class="widget-page-cards"><a class="card" href="/x/"><div class="card-title">T</div></a></div>'
+    df = spark.createDataFrame([(page,), (None,), ("",)], "html string")
+    rows = df.select(of_rule(select_all("html", (CARD,)), "cards").alias("m")).collect()
+    assert rows[0].m[0]["values"] == {"href": "/x/", "title": "T"}
+    assert rows[1].m is None and rows[2].m == []
