@@ -217,6 +217,7 @@ def _item(text: Column, dates: Column, kind: Column, sentence: Column) -> Column
     timed = F.when(F.length(first) == 10, F.concat(first, F.coalesce(clock, F.lit("")))).otherwise(first)
     due = (kind == "comment_deadline") & (F.size(dates) == 1)
     place = F.regexp_extract(text, r"\b(?:at|At) (?:the )?([A-Z][\w'&.\-]*(?: [A-Z0-9][\w'&.\-]*)*)", 1)
+    place = F.regexp_replace(place, r"[.\-]+$", "")
     return F.when(
         (kind != "") & (F.size(dates) > 0),
         F.struct(
