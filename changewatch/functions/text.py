@@ -31,12 +31,20 @@ def _col(c: Column | str) -> Column:
 
 
 def let(value: Column, body) -> Column:
-    """Bind ``value`` once for use in ``body``.
+    """Bind ``value`` once for use in ``body``, a function or SQL text on ``it``.
 
     A Column used several times is repeated in the expression tree at each use;
     nested re-use makes that tree grow exponentially. A lambda variable does not.
+    SQL text costs one call to the JVM, whatever its length.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    if callable(body):
+        return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"it -> {body}")), 1)
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` with ``value`` bound to ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def trim_ws(c: Column | str) -> Column:
@@ -60,44 +68,28 @@ def truncate(c: Column | str, n: int = DESCRIPTION_CHARS) -> Column:
 
 _CODES = {name: chr(code) for name, code in name2codepoint.items() if name != "amp"}
 _CODES["apos"] = "'"
+_TABLE = f"""from_json(r'{json.dumps(_CODES).replace("'", chr(92) + "u0027")}', 'map<string,string>')"""
 
-
-def _from_code(hex8: Column) -> Column:
-    return F.decode(F.unhex(hex8), "UTF-32")
-
-
-def _named(text: Column) -> Column:
-    table = F.from_json(F.lit(json.dumps(_CODES)), "map<string,string>")
-    names = F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), F.lit(1))
-    )
-    return F.aggregate(
-        F.filter(names, lambda n: F.map_contains_key(table, n)),
-        text,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.element_at(table, n)),
-    )
-
-
-def _numeric(text: Column, prefix: str, digits: str, to_hex) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"&#{prefix}({digits});"), F.lit(1)))
-    return F.aggregate(
-        F.filter(found, lambda n: (to_hex(n) != "00000026") & (to_hex(n) < "00110000")),
-        text,
-        lambda acc, n: F.regexp_replace(
-            acc,
-            F.concat(F.lit(f"&#{prefix}"), n, F.lit(";")),
-            # "$" and "\" are special in a replacement
-            F.regexp_replace(_from_code(to_hex(n)), F.lit(r"([\\$])"), F.lit(r"\\$1")),
-        ),
-    )
+_NAMED = f"""aggregate(
+    filter(array_distinct(regexp_extract_all(it, r'&([A-Za-z][A-Za-z0-9]*);', 1)),
+           n -> map_contains_key({_TABLE}, n)),
+    it, (acc, n) -> replace(acc, concat('&', n, ';'), element_at({_TABLE}, n)))"""
 
 
-def _decimal(text: Column) -> Column:
-    return _numeric(text, "", "[0-9]{1,7}", lambda n: F.lpad(F.hex(n.cast("int")), 8, "0"))
+def _numeric(text: str, prefix: str, digits: str, as_hex: str) -> str:
+    """Replace numeric references; "$" and backslash are special in a replacement."""
+    return rf"""aggregate(
+    filter(array_distinct(regexp_extract_all({text}, r'&#{prefix}({digits});', 1)),
+           n -> {as_hex} <> '00000026' AND {as_hex} < '00110000'),
+    {text}, (acc, n) -> regexp_replace(acc, concat('&#{prefix}', n, ';'),
+        regexp_replace(decode(unhex({as_hex}), 'UTF-32'), r'([\\$])', r'\\$1')))"""
 
 
-def _hexadecimal(text: Column) -> Column:
-    return _numeric(text, "[xX]", "[0-9A-Fa-f]{1,6}", lambda n: F.upper(F.lpad(n, 8, "0")))
+_DECODED = let_sql(
+    let_sql(_NAMED, "d", _numeric("d", "", "[0-9]{1,7}", "lpad(hex(int(n)), 8, '0')")),
+    "h",
+    _numeric("h", "[xX]", "[0-9A-Fa-f]{1,6}", "upper(lpad(n, 8, '0'))"),
+)
 
 
 def decode_entities(c: Column | str) -> Column:
@@ -109,12 +101,8 @@ def decode_entities(c: Column | str) -> Column:
     """
     return let(
         _col(c),
-        lambda text: F.when(
-            F.contains(text, F.lit("&")),
-            F.regexp_replace(
-                let(let(_named(text), _decimal), _hexadecimal), r"&(amp|#0*38|#[xX]0*26);", "&"
-            ),
-        ).otherwise(text),
+        f"CASE WHEN contains(it, '&') THEN "
+        f"regexp_replace({_DECODED}, r'&(amp|#0*38|#[xX]0*26);', '&') ELSE it END",
     )
 
 

@@ -13,82 +13,70 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from changewatch.functions.text import _col, let
-
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
-_HOST = r"^(?:\[[0-9A-Fa-f:.]+\]|[^\[\]\s<>^|%]+)$"
-
-
-def _escape(part: Column, bad: str) -> Column:
-    """Percent-encode the characters of class ``bad``; a clean part is untouched."""
-    each = F.transform(
-        F.regexp_extract_all(part, F.lit(r"(?s)."), F.lit(0)),
-        lambda ch: F.when(
-            F.regexp_like(ch, F.lit(f"^[{bad}]$")),
-            F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20")),
-        ).otherwise(ch),
-    )
-    return F.when(F.regexp_like(part, F.lit(f"[{bad}]")), F.array_join(each, "")).otherwise(part)
-
-
-def _dot_segments(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments of an absolute path."""
-    dotted = F.regexp_like(path, F.lit(r"(?i)/(\.|%2e)"))
-    # a final dot segment names a folder
-    folder = F.regexp_replace(path, r"(?i)/((?:\.|%2e){1,2})$", "/$1/")
-    kept = F.aggregate(
-        F.split(F.replace(F.replace(folder, F.lit("%2e"), F.lit(".")), F.lit("%2E"), F.lit(".")), "/", -1),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            s == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
-        )
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    return F.when(dotted, let(F.array_join(kept, "/"), lambda p: F.when(p == "", F.lit("/")).otherwise(p))).otherwise(path)
-
-
-# characters that may stand in a URL part as they are; "." after "/" is checked apart
-_PLAIN = r"^https?://[a-z0-9][a-z0-9.\-]*/[A-Za-z0-9_~!$&()*+,;=:@%./\-]*(?:[?#][A-Za-z0-9_~!$&()*+,;=:@%./?\-]*)?$"
+from changewatch.functions.text import _col, let, let_sql
+
+# --- fixed values: characters to percent-encode, per part of a URL ---------------
+_CONTROL = r"\x00-\x1F\x7F-\x{10FFFF}"
+_IN_PATH = r" \x22<>`{}^" + _CONTROL
+_IN_QUERY = r" \x22\x27<>" + _CONTROL
+_IN_FRAGMENT = r" \x22<>`" + _CONTROL
+
+# a URL that is its own normal form (dot segments are tested apart)
+_PLAIN = (
+    r"^https?://[a-z0-9][a-z0-9.\-]*/[A-Za-z0-9_~!$&()*+,;=:@%./\-]*"
+    r"(?:[?#][A-Za-z0-9_~!$&()*+,;=:@%./?\-]*)?$"
+)
+# scheme, user, host, port, path, query, fragment
 _PIECES = (
-    r"^([A-Za-z]+):[/\\]*((?:[^/?#\\]*@)?)([^/?#\\@:]*|\[[^/?#\\@]*\])((?::[0-9]*)?)"
+    r"^([A-Za-z]+):[/\\]*((?:[^/?#\\@]*@)?)([^/?#\\@:]*|\[[^/?#\\@]*\])((?::[0-9]*)?)"
     r"((?:[/\\][^?#]*)?)((?:\?[^#]*)?)((?:#(?s:.*))?)$"
 )
+_HOST = r"^(?:\[[0-9A-Fa-f:.]+\]|[^\[\]\s<>^|%]+)$"
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*:)"
 
 
-def _http(url: Column) -> Column:
-    """Normal form of a text ``http(s)://...``; NULL when it is no URL."""
-    plain = F.regexp_like(url, F.lit(_PLAIN)) & ~F.contains(url, F.lit("/."))
-    return F.when(plain, url).when(F.regexp_like(url, F.lit(_PIECES)), let(_split(url), _join))
+def _escape(part: str, bad: str) -> str:
+    """Percent-encode the characters of class ``bad``; a clean part is untouched."""
+    return (
+        f"CASE WHEN {part} RLIKE r'[{bad}]' THEN array_join(transform("
+        f"regexp_extract_all({part}, r'(?s).', 0), ch -> CASE WHEN ch RLIKE r'^[{bad}]$' "
+        f"THEN replace(url_encode(ch), '+', '%20') ELSE ch END), '') ELSE {part} END"
+    )
 
 
-def _split(url: Column) -> Column:
-    """Scheme, user, host, port, path, query, fragment."""
-    marked = F.regexp_replace(
-        url, _PIECES, "\u0001".join(f"${i}" for i in range(1, 8))
+def _dot_segments(path: str) -> str:
+    """Resolve ``.`` and ``..`` segments; a final one names a folder."""
+    plain = (
+        rf"regexp_replace(regexp_replace({path}, r'(?i)%2e', '.'), r'/(\.{{1,2}})$', '/$1/')"
+    )
+    kept = (
+        f"aggregate(split({plain}, '/', -1), cast(array() AS array<string>), (acc, s) -> CASE "
+        "WHEN s = '..' THEN CASE WHEN size(acc) > 1 THEN slice(acc, 1, size(acc) - 1) ELSE acc END "
+        "WHEN s = '.' THEN acc ELSE concat(acc, array(s)) END)"
     )
-    return F.split(marked, "\u0001", -1)
+    joined = let_sql(f"array_join({kept}, '/')", "j", "CASE WHEN j = '' THEN '/' ELSE j END")
+    return rf"CASE WHEN {path} RLIKE r'(?i)/(\.|%2e)' THEN {joined} ELSE {path} END"
 
 
-def _join(part: Column) -> Column:
-    scheme, host, port = F.lower(part[0]), F.lower(part[2]), F.substr(part[3], F.lit(2))
-    default = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
-    path = let(
-        F.when(part[4] == "", F.lit("/")).otherwise(F.replace(part[4], F.lit("\\"), F.lit("/"))),
-        lambda p: _dot_segments(_escape(p, r' "<>`{}^\u0000-\u001F\u007F-\uFFFF\x{10000}-\x{10FFFF}')),
+def _http(url: str) -> str:
+    """SQL for the normal form of ``http(s)://...``; NULL when it is no URL."""
+    path = let_sql(
+        rf"CASE WHEN p[4] = '' THEN '/' ELSE replace(p[4], r'\', '/') END",
+        "w",
+        let_sql(_escape("w", _IN_PATH), "e", _dot_segments("e")),
     )
-    return F.when(
-        F.regexp_like(host, F.lit(_HOST)) & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535),
-        F.concat(
-            scheme,
-            F.lit("://"),
-            part[1],
-            host,
-            F.when((port == "") | (port == default), F.lit("")).otherwise(part[3]),
-            path,
-            _escape(part[5], r""" "'<>\u0000-\u001F\u007F-\uFFFF\x{10000}-\x{10FFFF}"""),
-            _escape(part[6], r' "<>`\u0000-\u001F\u007F-\uFFFF\x{10000}-\x{10FFFF}'),
-        ),
+    joined = (
+        f"CASE WHEN lower(p[2]) RLIKE r'{_HOST}' "
+        "AND coalesce(try_cast(substr(p[3], 2) AS int), 0) <= 65535 THEN concat("
+        "lower(p[0]), '://', p[1], lower(p[2]), CASE WHEN p[3] IN ('', ':') "
+        "OR p[3] = CASE WHEN lower(p[0]) = 'https' THEN ':443' ELSE ':80' END THEN '' ELSE p[3] END, "
+        f"{path}, {_escape('p[5]', _IN_QUERY)}, {_escape('p[6]', _IN_FRAGMENT)}) END"
+    )
+    marks = r"\u0001".join(f"${i}" for i in range(1, 8))
+    pieces = rf"split(regexp_replace({url}, r'{_PIECES}', '{marks}'), '\u0001', -1)"
+    return (
+        f"CASE WHEN {url} RLIKE r'{_PLAIN}' AND NOT contains({url}, '/.') THEN {url} "
+        f"WHEN {url} RLIKE r'{_PIECES}' THEN {let_sql(pieces, 'p', joined)} END"
     )
 
 
@@ -100,28 +88,27 @@ def try_absolute_url(href: Column | str, base: str) -> Column:
     folder = path[: path.rfind("/") + 1]
     query = f"?{parts.query}" if parts.query else ""
 
-    def resolve(link: Column) -> Column:
-        target = (
-            F.when(F.regexp_like(link, F.lit(r"(?i)^https?:")), link)
-            .when(F.regexp_like(link, F.lit(r"^[/\\]{2}")), F.concat(F.lit(parts.scheme + ":"), link))
-            .when(F.regexp_like(link, F.lit(r"^[/\\]")), F.concat(F.lit(origin), link))
-            .when(link == "", F.lit(origin + path + query))
-            .when(F.startswith(link, F.lit("?")), F.concat(F.lit(origin + path), link))
-            .when(F.startswith(link, F.lit("#")), F.concat(F.lit(origin + path + query), link))
-            .otherwise(F.concat(F.lit(origin + folder), link))
-        )
-        other = F.regexp_like(link, F.lit(_SCHEME)) & ~F.regexp_like(link, F.lit(r"(?i)^https?:"))
-        return F.when(
-            other,
-            F.concat(
-                F.lower(F.regexp_extract(link, "(" + _SCHEME[1:] + ")", 1)),
-                F.regexp_replace(link, _SCHEME, ""),
-            ),
-        ).otherwise(let(target, _http))
-
-    raw = F.regexp_replace(_col(href), r"^[\u0000- ]+|[\u0000- ]+$|[\t\n\r]", "")
+    def text(value: str) -> str:
+        return "r'" + value.replace("'", "%27") + "'"
+
+    target = (
+        "CASE WHEN link RLIKE r'(?i)^https?:' THEN link "
+        rf"WHEN link RLIKE r'^[/\\]{{2}}' THEN concat({text(parts.scheme + ':')}, link) "
+        rf"WHEN link RLIKE r'^[/\\]' THEN concat({text(origin)}, link) "
+        f"WHEN link = '' THEN {text(origin + path + query)} "
+        f"WHEN startswith(link, '?') THEN concat({text(origin + path)}, link) "
+        f"WHEN startswith(link, '#') THEN concat({text(origin + path + query)}, link) "
+        f"ELSE concat({text(origin + folder)}, link) END"
+    )
+    resolved = (
+        f"CASE WHEN link RLIKE r'{_SCHEME}' AND NOT link RLIKE r'(?i)^https?:' THEN "
+        f"concat(lower(regexp_extract(link, r'{_SCHEME}', 1)), regexp_replace(link, r'{_SCHEME}', '')) "
+        f"ELSE {let_sql(target, 'u', _http('u'))} END"
+    )
+    raw = r"regexp_replace(it, r'^[\x00- ]+|[\x00- ]+$|[\t\n\r]', '')"
     # "https:path" without slashes is relative when the base has the same scheme
-    return let(F.regexp_replace(raw, rf"(?i)^{parts.scheme}:(?![/\\])", ""), resolve)
+    link = rf"regexp_replace({raw}, r'(?i)^{parts.scheme}:(?![/\\])', '')"
+    return let(_col(href), let_sql(link, "link", resolved))
 
 
 def absolute_url(href: Column | str, base: str) -> Column:
@@ -141,10 +128,9 @@ def absolutise_hrefs(html: Column | str, base: str) -> Column:
 
 def url_path(url: Column | str) -> Column:
     """Path of an absolute http(s) URL; NULL for anything else."""
-    return let(
-        F.when(F.regexp_like(_col(url), F.lit(r"(?i)^https?://")), _http(_col(url))),
-        lambda u: F.when(u.isNotNull(), F.regexp_extract(u, r"^[a-z]+://[^/]*(/[^?#]*)", 1)),
-    )
+    path = "CASE WHEN n IS NOT NULL THEN regexp_extract(n, r'^[a-z]+://[^/]*(/[^?#]*)', 1) END"
+    normal = f"CASE WHEN it RLIKE r'(?i)^https?://' THEN {_http('it')} END"
+    return let(_col(url), let_sql(normal, "n", path))
 
 
 def has_suffixed_url(url: Column | str) -> Column:
