@@ -78,8 +78,8 @@ def classify_by_rules(
 
     def classify(df: DataFrame) -> DataFrame:
         text = study_text(F.col("title"), F.col("description"))
-        links = F.coalesce(
-            F.array_join(F.transform("document_links", lambda x: x["title"]), "\n"), F.lit("")
+        links = T.blank_to_null(
+            F.array_join(F.transform("document_links", lambda x: x["title"]), "\n")
         )
         status_text = F.concat_ws("\n", text, links)
         # CASE branches are lazy, so unchanged rows run no pattern
@@ -160,7 +160,7 @@ def classify_by_function(
 
 _MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
 _DATE = rf"(?:{_MONTHS})\s+[0-9]{{1,2}}(?:st|nd|rd|th)?,?\s+[0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(?:T[0-9]{{2}}:[0-9]{{2}})?"
-_TIME = r"([0-9]{1,2})(?::([0-9]{2}))?\s*([ap])\.?m\b"
+_TIME = r"\b[0-9]{1,2}(?::[0-9]{2})?\s*[ap]\.?m\b"
 
 EVENT_RULES = (
     Keyword("hearing", r"\bhearing\b", ""),
@@ -176,15 +176,17 @@ def _iso_date(found: Column) -> Column:
 
 
 def _clock(sentence: Column) -> Column:
-    hour = F.regexp_extract(sentence, f"(?i){_TIME}", 1).try_cast("int")
-    minute = F.regexp_extract(sentence, f"(?i){_TIME}", 2)
-    half = F.lower(F.regexp_extract(sentence, f"(?i){_TIME}", 3))
-    full = F.pmod(hour, F.lit(12)) + F.when(half == "p", 12).otherwise(0)
-    return F.when(
-        hour.between(1, 12),
-        F.concat(F.lit("T"), F.lpad(full.cast("string"), 2, "0"), F.lit(":"),
-                 F.when(minute == "", F.lit("00")).otherwise(minute)),
-    )
+    def read(found: Column) -> Column:
+        hour = F.regexp_extract(found, r"^([0-9]+)", 1).try_cast("int")
+        minute = F.regexp_extract(found, r":([0-9]{2})", 1)
+        full = F.pmod(hour, F.lit(12)) + F.when(F.contains(F.lower(found), F.lit("p")), 12).otherwise(0)
+        return F.when(
+            hour.between(1, 12),
+            F.concat(F.lit("T"), F.lpad(full.cast("string"), 2, "0"), F.lit(":"),
+                     F.when(minute == "", F.lit("00")).otherwise(minute)),
+        )
+
+    return T.let(F.regexp_extract(sentence, f"(?i){_TIME}", 0), read)
 
 
 def sentences(html: Column | str) -> Column:
@@ -194,27 +196,35 @@ def sentences(html: Column | str) -> Column:
     ends = F.regexp_replace(blocks, r"([.!?])(\s+)(<?[A-Z])", "$1\u0001$3")
     # an abbreviated time ends in a full stop too
     whole = F.regexp_replace(ends, r"(?i)([ap]\.m\.)\u0001", "$1 ")
-    return F.filter(
-        F.transform(F.split(whole, "\u0001", -1), T.trim_ws), lambda s: H.clean_text(s) != ""
-    )
+    return F.filter(F.split(whole, "\u0001", -1), lambda s: T.trim_ws(s) != "")
+
+
+_KEYWORD = "(?is)" + "|".join(rule.pattern for rule in EVENT_RULES)
 
 
 def dated_item(sentence: Column) -> Column:
-    """The event a sentence speaks of, NULL if it has no keyword or no date."""
-    text = T.let(sentence, H.clean_text)
+    """The event a sentence speaks of, NULL if it has no keyword or no date.
+
+    Most sentences have neither, so both are looked for before anything else.
+    """
 
     def item(t: Column) -> Column:
         dates = F.transform(F.regexp_extract_all(t, F.lit(f"(?i){_DATE}"), F.lit(0)), _iso_date)
         kind = by_rules(t, EVENT_RULES, "", "")["label"]
-        return T.let(dates, lambda d: _item(t, d, kind, sentence))
+        return T.let(
+            F.struct(t.alias("text"), dates.alias("dates"), kind.alias("kind")),
+            lambda f: _item(f["text"], f["dates"], f["kind"], sentence),
+        )
 
-    return T.let(text, item)
+    speaks = F.regexp_like(sentence, F.lit(_KEYWORD)) & F.regexp_like(sentence, F.lit("[0-9]{4}"))
+    return F.when(speaks, T.let(H.clean_text(sentence), item))
 
 
 def _item(text: Column, dates: Column, kind: Column, sentence: Column) -> Column:
-    clock = _clock(text)
     first = F.get(dates, F.lit(0))
-    timed = F.when(F.length(first) == 10, F.concat(first, F.coalesce(clock, F.lit("")))).otherwise(first)
+    timed = F.when(
+        F.length(first) == 10, F.concat(first, F.coalesce(_clock(text), F.lit("")))
+    ).otherwise(first)
     due = (kind == "comment_deadline") & (F.size(dates) == 1)
     place = F.regexp_extract(text, r"\b(?:at|At) (?:the )?([A-Z][\w'&.\-]*(?: [A-Z0-9][\w'&.\-]*)*)", 1)
     place = F.regexp_replace(place, r"[.\-]+$", "")

@@ -499,11 +499,16 @@ AS_OF = "2024-01-16"
 
 
 def message_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Differences of the fold as studies; events and documents of the users of the same number."""
+    """Differences of the fold as studies; events and documents of the users of the same number.
+
+    The rules read the differences three times, so they are computed once, into the
+    checkpoint folder (a run reads them from its own table).
+    """
+    use_checkpoint_dir(spark)
     diffs = folded(spark, sf).filter(F.col("seq") >= 0).select(
         F.col("seq").cast("string").alias("study_key"), F.lit(1).cast("bigint").alias("seq"), F.col("areas").alias("municipalities"),
         "title", "source_url", "status", "scope", "scope_reasoning", "is_new", "status_changed", "scope_changed",
-    )
+    ).checkpoint()
     docs = merged_document_frame(spark, sf).withColumn("title", F.coalesce("title", "url"))
     return diffs, new_event_frame(spark, sf), docs
 
@@ -554,7 +559,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 )
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Messages in order, ten to a payload, with the mention on the first."""
-    out = notify.payloads(notify.messages(*message_inputs(spark, sf), T.as_of_text(AS_OF)))
+    out = notify.payloads(notify.messages(*message_inputs(spark, sf), T.as_of_text(AS_OF)).checkpoint())
     kinds = F.array_join(F.transform("messages", lambda m: F.concat(m["message_no"].cast("string"), F.lit(":"), m["kind"])), " ")
     return out.select("study_key", "chunk_no", F.size("messages").cast("bigint").alias("n_messages"), kinds.alias("kinds"), "mention")
 
@@ -570,7 +575,8 @@ def role_mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 def landed_documents(spark: SparkSession, sf: str, day: int) -> DataFrame:
     """Documents as a card listing with one detail page each; some pages change by day."""
-    docs = table(spark, sf, "documents")
+    # the given table is one file; landed pages are many
+    docs = table(spark, sf, "documents").repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
     edited = F.when((F.lit(day) > 1) & (F.col("doc_id") % 5 == 0), F.lit(" edited")).otherwise("")
     safe = F.regexp_replace(F.col("text"), "[&<>]", " ")
     details = docs.select(

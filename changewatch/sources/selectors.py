@@ -8,9 +8,12 @@ that (clean-up, URLs, de-duplication, hashing) is native Column work.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
-from html import escape
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import escape, unescape
+from itertools import islice
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -44,6 +47,7 @@ class Rule:
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW = frozenset(("script", "style"))
+_TEXT_ONLY = frozenset(("title", "textarea"))
 _TABLE = ("table", "thead", "tbody", "tfoot")
 # start tag -> open elements it ends, unless one of the fences lies between
 _ENDS = {
@@ -62,49 +66,37 @@ _BLOCKS = (
 _ENDS.update({tag: (("p",), ("td", "th", "li", "table", "button")) for tag in _BLOCKS.split()})
 
 
+# possessive: a tag that never ends must not cost more than one pass
+_TOKEN = re.compile(
+    r"<!--(.*?)--!?>|<(/?)([a-zA-Z][^\s/>]*+)"
+    r"((?>[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?+)*+)>|<[!?][^>]*>",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+
+
 class _Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "classes")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
-        self.classes = frozenset((attrs.get("class") or "").split())
-
-    def walk(self):
-        """Descendant elements in document order (iterative: pages nest deeply)."""
-        stack = list(reversed(self.kids))
-        while stack:
-            node = stack.pop()
-            if isinstance(node, _Node):
-                yield node
-                stack.extend(reversed(node.kids))
-
-    def text(self):
-        parts, stack = [], list(reversed(self.kids))
-        while stack:
-            node = stack.pop()
-            if isinstance(node, _Node):
-                stack.extend(reversed(node.kids))
-            elif isinstance(node, str):
-                parts.append(node)
-        return "".join(parts)
+    """An element: its place in the flat list of events, and its parent."""
 
-    def html(self):
-        parts, stack = [], [(kid, self) for kid in reversed(self.kids)]
-        while stack:
-            node, parent = stack.pop()
-            if isinstance(node, tuple):  # comment
-                parts.append(f"<!--{node[0]}-->")
-            elif parent is None:  # end tag
-                parts.append(node)
-            elif isinstance(node, str):
-                parts.append(node if parent.tag in _RAW else _escape(node))
-            else:
-                attrs = "".join(f' {k}="{_escape(v, True)}"' for k, v in node.attrs.items())
-                parts.append(f"<{node.tag}{attrs}>")
-                if node.tag not in _VOID:
-                    stack.append((f"</{node.tag}>", None))
-                    stack.extend((kid, node) for kid in reversed(node.kids))
-        return "".join(parts)
+    __slots__ = ("tag", "raw", "parent", "order", "last", "start", "end", "_attrs")
+
+    def __init__(self, tag, raw, parent, order, start):
+        self.tag, self.raw, self.parent = tag, raw, parent
+        self.order, self.start = order, start
+        self.last = self.end = self._attrs = None
+
+    @property
+    def attrs(self):
+        if self._attrs is None:
+            self._attrs = {}
+            for name, value in _ATTRIBUTE.findall(self.raw):
+                if value[:1] in ("'", '"'):
+                    value = value[1:-1]
+                self._attrs.setdefault(name.lower(), unescape(value) if "&" in value else value)
+        return self._attrs
+
+    def classes(self):
+        return (self.attrs.get("class") or "").split() if "class" in self.raw.lower() else ()
 
 
 def _escape(text, attribute=False):
@@ -112,121 +104,195 @@ def _escape(text, attribute=False):
     return out.replace('"', "&quot;") if attribute else out
 
 
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
+class _Page:
+    """A page as one list of events; elements are ranges of it, indexed by name.
+
+    Events: text (str), start tag (_Node), or (mark, text) for an end tag,
+    a comment or raw script text.
+    """
+
+    def __init__(self, html):
+        self.events, self.count = [], 0
+        self.by_tag, self.by_class, self.by_id = {}, {}, {}
+        self.root = self.at = _Node("", "", None, -1, 0)
+        self._read(html)
+        self._close_to(self.root)
+        self.root.last, self.root.end = self.count, len(self.events)
+
+    def _read(self, html):
+        pos = 0
+        while True:
+            token = _TOKEN.search(html, pos)
+            if token is None:
+                break
+            if token.start() > pos:
+                self._text(html[pos : token.start()])
+            pos = token.end()
+            comment, slash, tag, raw = token.groups()
+            if tag is None:
+                if comment is not None:
+                    self.events.append(("!", comment))
+                continue
+            tag = tag.lower()
+            if slash:
+                self._end((tag,), ())
+                continue
+            self._start(tag, raw)
+            if tag in _RAW or tag in _TEXT_ONLY:
+                close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, pos)
+                stop = close.start() if close else len(html)
+                if stop > pos:
+                    if tag in _RAW:
+                        self.events.append(("r", html[pos:stop]))
+                    else:
+                        self._text(html[pos:stop])
+                pos = stop
+        if pos < len(html):
+            self._text(html[pos:])
+
+    def _text(self, text):
+        self.events.append(unescape(text) if "&" in text else text)
+
+    def _start(self, tag, raw):
+        if tag in _ENDS:
+            self._end(*_ENDS[tag])
+        if tag == "tr" and self.at.tag == "table":
+            self._open("tbody", "")
+        self._open(tag, raw)
+        if tag in _VOID:
+            self._close_to(self.at.parent)
+
+    def _open(self, tag, raw):
+        node = _Node(tag, raw, self.at, self.count, len(self.events) + 1)
+        self.count += 1
+        self.events.append(node)
+        self.by_tag.setdefault(tag, []).append(node)
+        for name in node.classes():
+            self.by_class.setdefault(name, []).append(node)
+        if "id" in raw and "id" in node.attrs:
+            self.by_id.setdefault(node.attrs["id"], []).append(node)
+        self.at = node
+
+    def _close_to(self, parent):
+        while self.at is not parent:
+            self.at.last, self.at.end = self.count, len(self.events)
+            if self.at.tag not in _VOID:
+                self.events.append(("/", self.at.tag))
+            self.at = self.at.parent
 
-    def _close(self, tags, fences):
+    def _end(self, tags, fences):
         node = self.at
         while node.parent is not None and node.tag not in fences:
             if node.tag in tags:
-                self.at = node.parent
+                self._close_to(node.parent)
                 return
             node = node.parent
 
-    def handle_starttag(self, tag, attrs):
-        if tag in _ENDS:
-            self._close(*_ENDS[tag])
-        if tag == "tr" and self.at.tag == "table":
-            self._open("tbody", {})
-        node = self._open(tag, {k: v or "" for k, v in reversed(attrs)})
-        if tag in _VOID:
-            self.at = node.parent
+    def text(self, node):
+        return "".join(
+            e if isinstance(e, str) else e[1]
+            for e in self.events[node.start : node.end]
+            if isinstance(e, str) or (isinstance(e, tuple) and e[0] == "r")
+        )
 
-    def _open(self, tag, attrs):
-        node = _Node(tag, dict(reversed(attrs.items())), self.at)
-        self.at.kids.append(node)
-        self.at = node
-        return node
+    def html(self, node):
+        parts = []
+        for e in self.events[node.start : node.end]:
+            if isinstance(e, str):
+                parts.append(_escape(e))
+            elif isinstance(e, _Node):
+                attrs = "".join(f' {k}="{_escape(v, True)}"' for k, v in e.attrs.items())
+                parts.append(f"<{e.tag}{attrs}>")
+            else:
+                mark, text = e
+                parts.append(text if mark == "r" else f"<!--{text}-->" if mark == "!" else f"</{text}>")
+        return "".join(parts)
 
-    def handle_startendtag(self, tag, attrs):
-        # "<div/>" is a start tag in HTML
-        self.handle_starttag(tag, attrs)
+    def find(self, root, selector):
+        """Descendants of ``root`` matching the last step below the earlier ones."""
+        *above, (tag, classes, ids) = _compile(selector)
+        if classes:
+            nodes = self.by_class.get(classes[0], ())
+        elif ids:
+            nodes = self.by_id.get(ids[0], ())
+        else:
+            nodes = self.by_tag.get(tag, ())
+        at = bisect_right(nodes, root.order, key=_order)
+        while at < len(nodes) and nodes[at].order < root.last:
+            node = nodes[at]
+            at += 1
+            if not _fits(node, tag, classes, ids):
+                continue
+            left, up = len(above) - 1, node.parent
+            while left >= 0 and up is not None:
+                if _fits(up, *above[left]):
+                    left -= 1
+                up = up.parent
+            if left < 0:
+                yield node
 
-    def handle_endtag(self, tag):
-        self._close((tag,), ())
+    def nth(self, root, selector):
+        name, _, n = selector.partition("@")
+        return next(islice(self.find(root, name), int(n or 0), None), None)
 
-    def handle_data(self, data):
-        self.at.kids.append(data)
+    def read(self, node, path, what):
+        if what == "count":
+            return str(sum(1 for _ in self.find(node, path[0])))
+        for selector in path:
+            node = self.nth(node, selector)
+            if node is None:
+                return None
+        if what == "text":
+            return self.text(node)
+        if what == "html":
+            return self.html(node)
+        return node.attrs.get(what.removeprefix("attr:"))
 
-    def handle_comment(self, data):
-        self.at.kids.append((data,))
 
+_order = attrgetter("order")
 
+
+@lru_cache(maxsize=None)
 def _compile(selector):
-    steps = []
-    for part in selector.split():
-        tag = re.match(r"[a-z0-9]*", part).group()
-        steps.append((tag, frozenset(re.findall(r"\.([\w-]+)", part)), re.findall(r"#([\w-]+)", part)))
-    return steps
-
-
-def _fits(node, step):
-    tag, classes, ids = step
-    return (
-        (not tag or node.tag == tag)
-        and classes <= node.classes
-        and all(node.attrs.get("id") == i for i in ids)
+    """Steps of a descendant selector: (tag, classes, ids) each."""
+    return tuple(
+        (
+            re.match(r"[a-z0-9]*", part).group(),
+            tuple(re.findall(r"\.([\w-]+)", part)),
+            tuple(re.findall(r"#([\w-]+)", part)),
+        )
+        for part in selector.split()
     )
 
 
-def _find(root, steps):
-    """Descendants of ``root`` matching the last step below the earlier ones."""
-    for node in root.walk():
-        if not _fits(node, steps[-1]):
-            continue
-        left, up = len(steps) - 2, node.parent
-        while left >= 0 and up is not None:
-            if _fits(up, steps[left]):
-                left -= 1
-            up = up.parent
-        if left < 0:
-            yield node
-
-
-def _nth(root, selector):
-    name, _, n = selector.partition("@")
-    for i, node in enumerate(_find(root, _compile(name))):
-        if i == int(n or 0):
-            return node
-    return None
-
-
-def _read(node, path, what):
-    if what == "count":
-        return str(sum(1 for _ in _find(node, _compile(path[0]))))
-    for selector in path:
-        node = _nth(node, selector)
-        if node is None:
-            return None
-    if what == "text":
-        return node.text()
-    if what == "html":
-        return node.html()
-    return node.attrs.get(what.removeprefix("attr:"))
+def _fits(node, tag, classes, ids):
+    if tag and node.tag != tag:
+        return False
+    if classes:
+        own = node.classes()
+        if not all(c in own for c in classes):
+            return False
+    return all(node.attrs.get("id") == i for i in ids)
 
 
 def pick(html: str | None, rules: tuple[Rule, ...]) -> list[dict] | None:
     """All matches of all rules in one page."""
     if html is None:
         return None
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    body = _nth(tree.root, "body") or tree.root
+    page = _Page(html)
+    body = page.nth(page.root, "body") or page.root
     out = []
     for rule in rules:
-        root = tree.root
+        root = page.root
         if rule.within:
-            root = _nth(tree.root, rule.within)
+            root = page.nth(page.root, rule.within)
             if root is None and rule.otherwise:
-                root = body if rule.otherwise == "body" else _nth(tree.root, rule.otherwise)
+                root = body if rule.otherwise == "body" else page.nth(page.root, rule.otherwise)
             if root is None:
                 continue
-        found = [root] if rule.item == ":root" else _find(root, _compile(rule.item))
+        found = [root] if rule.item == ":root" else page.find(root, rule.item)
         for idx, node in enumerate(found):
-            values = {k: _read(node, path, what) for k, (path, what) in rule.fields.items()}
+            values = {k: page.read(node, path, what) for k, (path, what) in rule.fields.items()}
             out.append({"rule": rule.name, "idx": idx, "values": values})
             if rule.first:
                 break
