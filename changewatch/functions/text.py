@@ -14,6 +14,7 @@ from changewatch.model import DESCRIPTION_CHARS
 SPACES = (
     r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 )
+SPACE_CHARS = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # --- fixed values: scraped status labels ----------------------------------------
 STATUS_LABELS = {"on-going": "on_going", "deferred": "deferred", "completed": "completed"}
@@ -49,12 +50,17 @@ def let_sql(value: str, name: str, body: str) -> str:
 
 def trim_ws(c: Column | str) -> Column:
     """Trim every kind of Unicode white space, not only U+0020."""
-    return F.regexp_replace(_col(c), f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(_col(c), F.lit(SPACE_CHARS))
+
+
+def has_text(c: Column | str) -> Column:
+    """Whether anything but white space is there."""
+    return F.regexp_like(_col(c), F.lit(f"[^{SPACES}]"))
 
 
 def collapse_ws(c: Column | str) -> Column:
     """Runs of white space become one space; ends are trimmed."""
-    return F.regexp_replace(F.regexp_replace(_col(c), f"[{SPACES}]+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(_col(c), f"[{SPACES}]+", " "))
 
 
 def blank_to_null(c: Column | str) -> Column:

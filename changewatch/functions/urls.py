@@ -67,7 +67,7 @@ def _http(url: str) -> str:
     )
     joined = (
         f"CASE WHEN lower(p[2]) RLIKE r'{_HOST}' "
-        "AND coalesce(try_cast(substr(p[3], 2) AS int), 0) <= 65535 THEN concat("
+        "AND (p[3] IN ('', ':') OR try_cast(substr(p[3], 2) AS int) <= 65535) THEN concat("
         "lower(p[0]), '://', p[1], lower(p[2]), CASE WHEN p[3] IN ('', ':') "
         "OR p[3] = CASE WHEN lower(p[0]) = 'https' THEN ':443' ELSE ':80' END THEN '' ELSE p[3] END, "
         f"{path}, {_escape('p[5]', _IN_QUERY)}, {_escape('p[6]', _IN_FRAGMENT)}) END"

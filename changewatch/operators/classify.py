@@ -170,14 +170,22 @@ EVENT_RULES = (
 
 
 def _iso_date(found: Column) -> Column:
-    words = F.regexp_replace(F.regexp_replace(found, r"(?i)([0-9])(?:st|nd|rd|th)", "$1"), r"[,\s]+", " ")
-    day = F.date_format(F.try_to_timestamp(F.initcap(words), F.lit("MMMM d yyyy")), "yyyy-MM-dd")
-    return F.when(F.regexp_like(found, F.lit(r"^[0-9]{4}-")), found).otherwise(day)
+    months = F.split(F.lit(_MONTHS), "[|]")
+    name = F.lower(F.regexp_extract(found, "^([A-Za-z]+)", 1))
+    month = F.array_position(months, name)
+    day = F.concat_ws(
+        "-",
+        F.regexp_extract(found, "([0-9]{4})$", 1),
+        F.lpad(month.cast("string"), 2, "0"),
+        F.lpad(F.regexp_extract(found, "^[A-Za-z]+\\s+([0-9]+)", 1), 2, "0"),
+    )
+    iso = F.when(F.regexp_like(found, F.lit("^[0-9]{4}-")), found).otherwise(day)
+    return T.let(iso, lambda d: F.when(F.left(d, F.lit(10)).try_cast("date").isNotNull(), d))
 
 
 def _clock(sentence: Column) -> Column:
     def read(found: Column) -> Column:
-        hour = F.regexp_extract(found, r"^([0-9]+)", 1).try_cast("int")
+        hour = T.blank_to_null(F.regexp_extract(found, r"^([0-9]+)", 1)).try_cast("int")
         minute = F.regexp_extract(found, r":([0-9]{2})", 1)
         full = F.pmod(hour, F.lit(12)) + F.when(F.contains(F.lower(found), F.lit("p")), 12).otherwise(0)
         return F.when(
@@ -196,7 +204,7 @@ def sentences(html: Column | str) -> Column:
     ends = F.regexp_replace(blocks, r"([.!?])(\s+)(<?[A-Z])", "$1\u0001$3")
     # an abbreviated time ends in a full stop too
     whole = F.regexp_replace(ends, r"(?i)([ap]\.m\.)\u0001", "$1 ")
-    return F.filter(F.split(whole, "\u0001", -1), lambda s: T.trim_ws(s) != "")
+    return F.filter(F.split(whole, "\u0001", -1), T.has_text)
 
 
 _KEYWORD = "(?is)" + "|".join(rule.pattern for rule in EVENT_RULES)
@@ -247,7 +255,7 @@ def items_by_rules(html: Column | str) -> Column:
     """``array<item>`` of a page's dated events; no HTML, no work."""
     html = F.col(html) if isinstance(html, str) else html
     found = F.filter(F.transform(sentences(html), dated_item), lambda x: x.isNotNull())
-    return F.when(T.trim_ws(html) != "", found).otherwise(F.array().cast(f"array<{EXTRACTED_ITEM}>"))
+    return F.when(T.has_text(html), found).otherwise(F.array().cast(f"array<{EXTRACTED_ITEM}>"))
 
 
 def items_by_function(fn: Callable[[str], list[dict]]) -> Callable[[Column | str], Column]:

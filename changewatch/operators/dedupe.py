@@ -28,9 +28,12 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def first_seen_in(links: Column, field: str) -> Column:
     """First-seen distinct inside one array (a page's own links): no shuffle."""
     return let(
-        F.transform(links, lambda x: x[field]),
-        lambda seen: F.filter(
-            links, lambda x, i: F.array_position(seen, x[field]) == (i + 1).cast("long")
+        links,
+        lambda all_: let(
+            F.transform(all_, lambda x: x[field]),
+            lambda seen: F.filter(
+                all_, lambda x, i: F.array_position(seen, x[field]) == (i + 1).cast("long")
+            ),
         ),
     )
 
