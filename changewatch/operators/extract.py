@@ -11,7 +11,7 @@ from changewatch.model import DOCUMENT_LINK
 from changewatch.operators import dedupe
 from changewatch.sources.landed import feed_items
 from changewatch.sources.registry import SourceSpec
-from changewatch.sources.selectors import first_value, of_rule, select_all
+from changewatch.sources.selectors import Rule, first_value, of_rule, select_all, select_by
 
 STUDY_COLUMNS = ["source", "owner", "title", "areas", "status", "raw_status", "source_url", "pos"]
 
@@ -23,6 +23,25 @@ def position(page_no: Column | str = "page_no", row_no: Column | str = "row_no")
     return F.shiftleft(page.cast("bigint"), 32) + row.cast("bigint")
 
 
+def parsed(landed: DataFrame, specs: tuple[SourceSpec, ...]) -> DataFrame:
+    """One pass over the landed pages of all sources: matches in ``m``, feeds as text.
+
+    Written as a table it takes the place of the pages in all that follows.
+    """
+    rules = {f"{s.name}/{kind}": r for s in specs for kind, r in (("listing", s.listing), ("detail", s.detail))}
+    feeds = [s.name for s in specs if s.layout == "feed"]
+    is_feed = F.col("source").isin(feeds) & (F.col("kind") == "listing")
+    html = F.when(~is_feed, F.col("body"))
+    return landed.filter(F.col("source").isin([s.name for s in specs])).select(
+        "source", "kind", "page_no", "url", F.when(is_feed, F.col("body")).alias("body"),
+        select_by(F.concat_ws("/", "source", "kind"), html, rules).alias("m"),
+    )
+
+
+def _matches(pages: DataFrame, rules: tuple[Rule, ...]) -> Column:
+    return F.col("m") if "m" in pages.columns else select_all("body", rules)
+
+
 # --- listings -------------------------------------------------------------------------
 
 
@@ -90,7 +109,7 @@ def feed_rows(feeds: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def _exploded(pages: DataFrame, spec: SourceSpec) -> DataFrame:
-    found = pages.select("source", "page_no", select_all("body", spec.listing).alias("m"))
+    found = pages.select("source", "page_no", _matches(pages, spec.listing).alias("m"))
     return found.select("source", "page_no", F.explode(of_rule("m", "row")).alias("m")).select(
         "source", "page_no", F.col("m.idx").alias("row_no"), F.col("m.values").alias("v")
     )
@@ -167,7 +186,7 @@ def details(pages: DataFrame, spec: SourceSpec, hash_fallback: bool = True) -> D
     ``hash_fallback``: a page with nothing to hash is hashed by its fallback text,
     so that later edits show; False hashes the empty text.
     """
-    found = pages.select("source", "url", select_all("body", spec.detail).alias("m"))
+    found = pages.select("source", "url", _matches(pages, spec.detail).alias("m"))
     picked = found.select(
         "source",
         "url",

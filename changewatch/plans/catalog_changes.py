@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -163,7 +163,8 @@ def fold_steps(spark: SparkSession, sf: str) -> DataFrame:
 def fold_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """The stored state after the fold."""
     return folded(spark, sf).filter("is_final").select(
-        "owner", "title", "status", "scope", "scope_reasoning", "content_hash", "inserted_at", "updated_at"
+        "owner", "title", "status", "scope", "scope_reasoning", "content_hash",
+        *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("inserted_at", "updated_at")),
     )
 
 
@@ -601,6 +602,11 @@ def landed_documents(spark: SparkSession, sf: str, day: int) -> DataFrame:
     return listings.unionByName(details)
 
 
+def utc(c: str) -> Column:
+    """A moment as its UTC wall time, whatever the session's zone."""
+    return F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz").alias(c)
+
+
 _RUN_TEXT = """(title || chr(10) || left(clean, 3000))"""
 
 
@@ -619,8 +625,7 @@ def two_runs(spark: SparkSession, sf: str) -> DataFrame:
     The second run sees new records, edited pages and unchanged ones. The state
     goes to the shared folder of the session.
     """
-    folder = tempfile.mktemp(prefix="runs-", dir="/")[1:]
-    root = f"{use_checkpoint_dir(spark)}/{folder}"
+    root = f"{use_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
     settings = Settings(specs=(OAKVILLE,), classify=classify, buckets=8)
     for day in (1, 2):
         state = run(
@@ -628,7 +633,8 @@ def two_runs(spark: SparkSession, sf: str) -> DataFrame:
         )
     steps = state.run_table("assessments", SNAPSHOT + ", seq bigint, is_new boolean, changed boolean").filter("seq >= 0")
     return State(spark, root, 8).snapshot().join(steps.select("key", "is_new", "changed"), "key").select(
-        "title", "owner", "source_url", "scope", "status", "content_hash", "is_new", "changed", "inserted_at", "updated_at"
+        "title", "owner", "source_url", "scope", "status", "content_hash", "is_new", "changed",
+        utc("inserted_at"), utc("updated_at"),
     )
 
 

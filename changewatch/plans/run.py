@@ -35,15 +35,17 @@ class Settings:
     per_part: int = notify.DOCUMENTS_PER_MESSAGE
 
 
-def records(landed: DataFrame, settings: Settings) -> DataFrame:
+def records(pages: DataFrame, settings: Settings, buckets: int) -> DataFrame:
     """Listed records of all sources with their details, one row each.
 
+    ``pages`` is the table of :func:`changewatch.operators.extract.parsed`.
+
     ``error`` says why a record cannot be processed: it is then quarantined while
     the rest goes on.
     """
     listed, described = [], []
     for spec in settings.specs:
-        own = landed.filter(F.col("source") == spec.name)
+        own = pages.filter(F.col("source") == spec.name)
         listed.append(
             extract.studies(own.filter(F.col("kind") == "listing"), spec).withColumn(
                 "infer_status", F.lit(spec.infer_status)
@@ -58,13 +60,13 @@ def records(landed: DataFrame, settings: Settings) -> DataFrame:
         reduce(DataFrame.unionByName, described), ["source", "url"], ["content_hash"]
     ).withColumnRenamed("url", "source_url")
     joined = studies.join(details, ["source", "source_url"], "left").join(
-        owners(landed.sparkSession).select(F.col("name").alias("owner"), "owner_id"), "owner", "left"
+        owners(pages.sparkSession).select(F.col("name").alias("owner"), "owner_id"), "owner", "left"
     )
     title = F.concat("source", F.lit(":"), "title") if settings.split_sources else F.col("title")
     key = record_key(F.col("owner"), title)
     return joined.select(
         key.alias("key"),
-        bucket_of(key, settings.buckets).alias("bucket"),
+        bucket_of(key, buckets).alias("bucket"),
         # sources in list order, then page and row
         (F.shiftleft(F.col("source_ord").cast("bigint"), 56) + F.col("pos")).alias("seq"),
         *extract.STUDY_COLUMNS[:-1],
@@ -102,7 +104,10 @@ def run(
     at = F.lit((now or datetime.now(timezone.utc)).astimezone(timezone.utc)).cast("timestamp")
 
     # 1. extract
-    staged = state.write(records(landed, settings), "staged", no)
+    pages = state.write(
+        extract.parsed(landed, settings.specs), "parsed", no, by=("source", "kind")
+    )
+    staged = state.write(records(pages, settings, state.buckets), "staged", no)
     good = staged.filter(F.col("error").isNull())
     touched = sorted(r.bucket for r in good.select("bucket").distinct().collect())
 
@@ -113,7 +118,7 @@ def run(
     )
     folded = diff.fold(incoming, state.snapshot(touched), classify, at, settings.every)
     folded = folded.drop("description", "document_links", "infer_status").withColumn(
-        "bucket", bucket_of("key", settings.buckets)
+        "bucket", bucket_of("key", state.buckets)
     )
     steps = state.write(folded, "assessments", no, by_bucket=True).filter(F.col("seq") >= 0)
 

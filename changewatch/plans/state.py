@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from changewatch import model
 
-COMMIT = "run int, batch_id bigint, bucket int, snapshot_run int"
+COMMIT = "run int, batch_id bigint, buckets int, bucket int, snapshot_run int"
 QUARANTINE = "source string, study_key string, seq bigint, url string, stage string, error string, at timestamp"
 
 
@@ -42,6 +42,8 @@ class State:
         # one row per bucket: bounded by the number of buckets
         for row in commits.filter(F.col("run") == last).collect():
             self.run, self.batch_id = row.run, row.batch_id
+            # stored rows were placed by this number of buckets
+            self.buckets = row.buckets
             if row.bucket is not None:
                 self.snapshot_runs[row.bucket] = row.snapshot_run
 
@@ -103,21 +105,22 @@ class State:
 
     # --- writing ------------------------------------------------------------------
 
-    def write(self, df: DataFrame, name: str, run: int, by_bucket: bool = False) -> DataFrame:
+    def write(
+        self, df: DataFrame, name: str, run: int, by_bucket: bool = False, by: tuple[str, ...] = ()
+    ) -> DataFrame:
         """Write one run's rows of a table and read them back, lineage cut."""
         path = f"{self.root}/{name}/run={run}"
-        writer = df
         if by_bucket:
             # few, even files per bucket; AQE splits a bucket that is too large
-            writer = df.hint("rebalance", F.col("bucket"))
-        out = writer.write.mode("overwrite")
-        (out.partitionBy("bucket") if by_bucket else out).parquet(path)
+            by, df = ("bucket",), df.hint("rebalance", F.col("bucket"))
+        df.write.mode("overwrite").partitionBy(*by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def commit(self, run: int, touched: list[int], batch_id: int | None = None) -> None:
         """Publish a run: one small file, written last."""
         current = {**self.snapshot_runs, **{b: run for b in touched}}
-        rows = [(run, batch_id, b, r) for b, r in sorted(current.items())] or [(run, batch_id, None, None)]
+        head = (run, batch_id, self.buckets)
+        rows = [(*head, b, r) for b, r in sorted(current.items())] or [(*head, None, None)]
         self.spark.createDataFrame(rows, COMMIT).drop("run").coalesce(1).write.mode(
             "overwrite"
         ).parquet(f"{self.root}/commits/run={run}")

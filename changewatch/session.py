@@ -32,8 +32,9 @@ def build(app: str = "changewatch", master: str | None = None, **extra: str) ->
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """Make ``DataFrame.checkpoint`` usable and return its folder.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only where
-    that is unset (tests, local runs) a fresh local folder is taken.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Only where that
+    is unset one is chosen: a fresh local folder in local mode (tests), else a
+    folder of the warehouse, which executors share.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -41,8 +42,9 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="changewatch-ckpt-")
+        if context.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="changewatch-ckpt-")
+        else:
+            named = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     context.setCheckpointDir(named)
     return context.getCheckpointDir()

@@ -301,18 +301,30 @@ def pick(html: str | None, rules: tuple[Rule, ...]) -> list[dict] | None:
 
 def select_all(html: Column | str, rules: tuple[Rule, ...]) -> Column:
     """Column of type ``MATCHES``: every match of every rule, in page order."""
+    return select_by(F.lit(""), html, {"": rules})
+
+
+def select_by(key: Column | str, html: Column | str, rules: dict[str, tuple[Rule, ...]]) -> Column:
+    """As :func:`select_all`, with the rules named by ``key``; NULL if it names none.
+
+    Pages of all sources are so parsed in one pass.
+    """
 
     @F.arrow_udf(MATCHES)
-    def matches(pages: pa.Array) -> pa.Array:
+    def matches(keys: pa.Array, pages: pa.Array) -> pa.Array:
+        found = (
+            pick(page.as_py(), rules[k]) if (k := key.as_py()) in rules else None
+            for key, page in zip(keys, pages)
+        )
         return pa.array(
             (
                 None if m is None else [{**x, "values": list(x["values"].items())} for x in m]
-                for m in (pick(p.as_py(), rules) for p in pages)
+                for m in found
             ),
             type=_ARROW_MATCHES,
         )
 
-    return matches(html)
+    return matches(key, html)
 
 
 def of_rule(matches: Column | str, name: str) -> Column:
