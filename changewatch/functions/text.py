@@ -168,28 +168,23 @@ def format_event_type(c: Column | str) -> Column:
     return out
 
 
-def _as_time(text: Column) -> Column:
-    return text.try_cast("timestamp_ntz")
-
-
-def _with_time(at: Column) -> Column:
-    half = F.when(F.hour(at) < 12, F.lit("a.m.")).otherwise(F.lit("p.m."))
-    return F.concat(F.date_format(at, "MMMM d, yyyy 'at' h:mm "), half)
+def _shown_time(x: str) -> str:
+    at = f"try_cast({x} AS timestamp_ntz)"
+    return (
+        f"concat(date_format({at}, 'MMMM d, yyyy \\'at\\' h:mm '), "
+        f"CASE WHEN hour({at}) < 12 THEN 'a.m.' ELSE 'p.m.' END)"
+    )
 
 
-def _one_date(text: Column) -> Column:
-    at = _as_time(text)
-    shown = F.when(F.contains(text, F.lit("T")), _with_time(at)).otherwise(
-        F.date_format(at, "MMMM d, yyyy")
-    )
-    return F.coalesce(shown, text)
+def _shown_date(x: str) -> str:
+    day = f"date_format(try_cast({x} AS timestamp_ntz), 'MMMM d, yyyy')"
+    return f"coalesce(CASE WHEN contains({x}, 'T') THEN {_shown_time(x)} ELSE {day} END, {x})"
 
 
-def _date_or(text: Column, clock: str) -> Column:
-    full = F.when(F.contains(text, F.lit("T")), text).otherwise(
-        F.concat(text, F.lit("T" + clock))
-    )
-    return F.coalesce(_with_time(_as_time(full)), text)
+def _shown_with(x: str, clock: str) -> str:
+    """Date and time, the time being ``clock`` if ``x`` has none."""
+    full = f"CASE WHEN contains({x}, 'T') THEN {x} ELSE concat({x}, 'T{clock}') END"
+    return f"coalesce({let_sql(full, 'f', _shown_time('f'))}, {x})"
 
 
 def format_date_range(start: Column | str, end: Column | str) -> Column:
@@ -199,12 +194,11 @@ def format_date_range(start: Column | str, end: Column | str) -> Column:
     date-times joined by an en dash, a missing start time being 00:00 and a
     missing end time 23:59. Text that is no date is shown as it is.
     """
-    s, e = blank_to_null(start), blank_to_null(end)
-    return (
-        F.when(s.isNull() & e.isNull(), F.lit("Date TBD"))
-        .when(e.isNull(), _one_date(s))
-        .when(s.isNull(), _one_date(e))
-        .otherwise(F.concat(_date_or(s, "00:00"), F.lit(" – "), _date_or(e, "23:59")))
+    return let(
+        F.struct(blank_to_null(start).alias("s"), blank_to_null(end).alias("e")),
+        "CASE WHEN it.s IS NULL AND it.e IS NULL THEN 'Date TBD' "
+        f"WHEN it.e IS NULL THEN {_shown_date('it.s')} WHEN it.s IS NULL THEN {_shown_date('it.e')} "
+        f"ELSE concat({_shown_with('it.s', '00:00')}, ' – ', {_shown_with('it.e', '23:59')}) END",
     )
 
 

@@ -307,15 +307,19 @@ def select_all(html: Column | str, rules: tuple[Rule, ...]) -> Column:
 def select_by(key: Column | str, html: Column | str, rules: dict[str, tuple[Rule, ...]]) -> Column:
     """As :func:`select_all`, with the rules named by ``key``; NULL if it names none.
 
-    Pages of all sources are so parsed in one pass.
+    Pages of all sources are so parsed in one pass. A page on which matching fails
+    gives NULL too: its record is then quarantined.
     """
 
+    def one(name: str, page: str | None) -> list[dict] | None:
+        try:
+            return pick(page, rules[name]) if name in rules else None
+        except Exception:  # noqa: BLE001 - one unreadable page must not end the run
+            return None
+
     @F.arrow_udf(MATCHES)
     def matches(keys: pa.Array, pages: pa.Array) -> pa.Array:
-        found = (
-            pick(page.as_py(), rules[k]) if (k := key.as_py()) in rules else None
-            for key, page in zip(keys, pages)
-        )
+        found = (one(key.as_py(), page.as_py()) for key, page in zip(keys, pages))
         return pa.array(
             (
                 None if m is None else [{**x, "values": list(x["values"].items())} for x in m]

@@ -34,3 +34,12 @@ def test_select_all_column(spark):
     rows = df.select(of_rule(select_all("html", (CARD,)), "cards").alias("m")).collect()
     assert rows[0].m[0]["values"] == {"href": "/x/", "title": "T"}
     assert rows[1].m is None and rows[2].m == []
+
+
+def test_unreadable_page_gives_null_and_bad_markup_stays_linear(spark):
+    broken = Rule("x", "a", {"f": ((), None)})
+    df = spark.createDataFrame([("<a>1</a>",), ("<b>none</b>",)], "html string")
+    rows = df.select(select_all("html", (broken,)).alias("m")).collect()
+    assert rows[0].m is None and rows[1].m == []
+    for page in ("<a " + '="' * 50_000, "<" * 50_000, "<div>" * 20_000, "<a b='" * 20_000):
+        pick(page, (CARD,))
