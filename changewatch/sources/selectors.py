@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from html import escape, unescape
@@ -68,7 +69,7 @@ _ENDS.update({tag: (("p",), ("td", "th", "li", "table", "button")) for tag in _B
 
 # possessive: a tag that never ends must not cost more than one pass
 _TOKEN = re.compile(
-    r"<!--(.*?)--!?>|<(/?)([a-zA-Z][^\s/>]*+)"
+    r"<!--(.*?)(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
     r"((?>[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?+)*+)>|<[!?][^>]*>",
     re.S,
 )
@@ -112,7 +113,7 @@ class _Page:
     """
 
     def __init__(self, html):
-        self.events, self.count = [], 0
+        self.events, self.count, self.open = [], 0, Counter()
         self.by_tag, self.by_class, self.by_id = {}, {}, {}
         self.root = self.at = _Node("", "", None, -1, 0)
         self._read(html)
@@ -121,8 +122,10 @@ class _Page:
 
     def _read(self, html):
         pos = 0
+        # no tag starts beyond the last ">": tags that never end are not searched
+        last = html.rfind(">") + 1
         while True:
-            token = _TOKEN.search(html, pos)
+            token = _TOKEN.search(html, pos, last)
             if token is None:
                 break
             if token.start() > pos:
@@ -165,6 +168,7 @@ class _Page:
     def _open(self, tag, raw):
         node = _Node(tag, raw, self.at, self.count, len(self.events) + 1)
         self.count += 1
+        self.open[tag] += 1
         self.events.append(node)
         self.by_tag.setdefault(tag, []).append(node)
         for name in node.classes():
@@ -176,11 +180,14 @@ class _Page:
     def _close_to(self, parent):
         while self.at is not parent:
             self.at.last, self.at.end = self.count, len(self.events)
+            self.open[self.at.tag] -= 1
             if self.at.tag not in _VOID:
                 self.events.append(("/", self.at.tag))
             self.at = self.at.parent
 
     def _end(self, tags, fences):
+        if not any(self.open[t] for t in tags):
+            return
         node = self.at
         while node.parent is not None and node.tag not in fences:
             if node.tag in tags:
