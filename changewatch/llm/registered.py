@@ -1,4 +1,4 @@
 """All queries of the subpackage: importing the operators registers them."""
 
-from . import langid  # noqa: F401
+from . import decontaminate, jaccard, langid, suffix_dedup  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401
