@@ -72,8 +72,11 @@ def sample_by_label(df: DataFrame, label: Column, text: str, per_label: int) ->
     point = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) / float(1 << 30)
     rows = df.select(label.alias("label"), F.col(text).alias("text"), point.alias("point"))
     rows = rows.filter("label is not null and text is not null")
-    share = rows.groupBy("label").agg((F.lit(float(per_label)) / F.count(F.lit(1))).alias("share"))
-    return rows.join(share, "label").filter("point < share").drop("share", "point")
+    counts = df.select(label.alias("label")).groupBy("label").count().filter("label is not null").collect()
+    share = df.sparkSession.createDataFrame([(str(r["label"]), per_label / r["count"]) for r in counts], "_name string, share double")
+    # one row per label: a model holds a row of weights for each, so there are few
+    chosen = rows.join(F.broadcast(share), F.col("label").cast("string") == F.col("_name")).filter("point < share")
+    return chosen.select("label", "text")
 
 
 class Model:
