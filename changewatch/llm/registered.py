@@ -1,4 +1,4 @@
 """All queries of the subpackage: importing the operators registers them."""
 
-from . import decontaminate, fingerprint, jaccard, langid, suffix_dedup, toxicity  # noqa: F401
+from . import decontaminate, fingerprint, jaccard, langid, pieces, suffix_dedup, toxicity  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401
