@@ -17,7 +17,7 @@ Texts are read as symbols: letters a to z (upper case is lowered), one symbol fo
 white space and other ASCII characters, and HIGH symbols for the bytes of other characters. With
 ``SYMBOLS`` symbols a model is a table of SYMBOLS ** ORDER differences (21 MB), which bounds
 what is gathered and broadcast. Class counts come from a bounded sample of labelled texts (about
-``per_class`` of each class, chosen by a hash of the row); backoff counts from all texts.
+``per_class`` of each class, chosen by a hash of the key); backoff counts from all texts.
 
 Defined cases: an empty text (null included) has difference 0, so the score of no evidence.
 Without labelled texts of both classes all scores are 0.5. Where a document id has several
@@ -167,13 +167,25 @@ class Model:
         self.values, self.slope, self.shift = values, slope, shift
 
 
-def fit(labelled: DataFrame, corpus: DataFrame, text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """Learn from ``labelled`` (text, 0/1 label, others as sampling keys) and the texts of ``corpus``."""
-    part = F.pmod(F.xxhash64(*labelled.columns, F.lit("part")), F.lit(5))
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int) -> DataFrame:
+    """(label, text) of about ``per_label`` documents of each label, chosen among ``labels`` (key, label).
+
+    The chosen keys are at most about labels x per_label, so they are broadcast.
+    """
+    chosen = sample_by_label(labels.select(key, label), F.col(label).cast("int"), key, per_label)
+    return docs.select(key, text).join(F.broadcast(chosen.toDF("label", key)), key).select("label", F.col(text).alias("text"))
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    per_class: int = PER_CLASS,
+) -> Model:
+    """Learn from ``labels`` (key, 0/1 label) of some documents, and from all texts of ``docs``."""
+    part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(5))
     learn, check = (
-        sample_by_label(labelled.filter(rows), F.col(label).cast("int"), text, per_class) for rows in (part > 0, part == 0)
+        labelled_sample(docs, labels.filter(rows), key, text, label, per_class) for rows in (part > 0, part == 0)
     )
-    every = corpus.select(F.lit(-1).alias("label"), F.col(text).alias("text"))
+    every = docs.select(F.lit(-1).alias("label"), F.col(text).alias("text"))
     tables = {c: np.zeros(SYMBOLS**ORDER, np.int64) for c in (-1, 0, 1)}
     for rows in (gram_counts(learn).toPandas(), gram_counts(every).toPandas()):
         for c, part in rows.groupby("label"):
@@ -196,6 +208,6 @@ def op6_toxicity(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), 5) == 0
     labels = table(spark, folder, "labels").filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.filter(~held_out).join(labels, "doc_id"), docs)
+    model = fit(docs, labels.filter(~held_out))
     result = score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return result.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
