@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import use_checkpoint_dir
-from .catalog import query, table
+from .catalog import query, stored, table
 from .components import components
 from .vec import Hasher, lower_table, shingle_hashes, slices, space_table, splitmix, word_spans
 
@@ -55,7 +55,9 @@ POSTINGS_PER_BUCKET = 128_000
 PROBES = 2
 PROBE_CELL = 8
 
-POSTING = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+BROADCAST_ROWS = 500_000
+
+POSTING = np.dtype([("token", "<u8"), ("sid", "<i8"), ("pos", "<u4")])
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -123,18 +125,16 @@ def prefix_length(size: np.ndarray, part: int, whole: int) -> np.ndarray:
 
 def _index(frequent, buckets: int, part: int, whole: int):
     """Second pass: prefix postings, frequent tokens as rows and the others packed by bucket of tokens."""
-    names = ["bucket", "packed", "token", "sid", "n", "pos"]
+    names = ["bucket", "packed", "token", "sid", "pos"]
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         posts = np.unique(np.concatenate(held))  # by token; repeated documents once
         bucket = ((posts["token"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(bucket)) + 1
-        parts = np.split(posts, cut)
-        n = len(parts)
-        nothing, none = pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        parts = [_pack(p) for p in np.split(posts, first[1:])]
+        nothing = pa.nulls(len(parts), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[np.concatenate([[0], cut])]), pa.array([p.tobytes() for p in parts], pa.binary()), nothing, nothing, none, none],
-            names,
+            [pa.array(bucket[first]), pa.array(parts, pa.binary()), nothing, nothing, pa.nulls(len(parts), pa.int32())], names
         )
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def _index(frequent, buckets: int, part: int, whole: int):
                 use = pos < prefix_length(size, part, whole)[rows]
                 posts = np.zeros(int(use.sum()), POSTING)
                 posts["token"], posts["pos"] = tokens[use], pos[use]
-                posts["sid"], posts["n"] = digest[rows[use]], size[rows[use]]
+                posts["sid"] = digest[rows[use]]
                 is_hot = is_hot[use]
                 held.append(posts[~is_hot])
                 often = np.unique(posts[is_hot])
@@ -164,7 +164,7 @@ def _index(frequent, buckets: int, part: int, whole: int):
                     n = len(often)
                     columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
                     columns += [pa.array(np.ascontiguousarray(often["token"]).view(np.int64))]
-                    columns += [pa.array(np.ascontiguousarray(often[c])) for c in ("sid", "n", "pos")]
+                    columns += [pa.array(np.ascontiguousarray(often["sid"])), pa.array(often["pos"].astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, names)
             if sum(map(len, held)) >= 1_000_000:
                 yield packed(held)
@@ -175,16 +175,37 @@ def _index(frequent, buckets: int, part: int, whole: int):
     return indexed
 
 
-def _lists(group: pa.Table) -> pa.Table:
+def _pack(posts: np.ndarray) -> bytes:
+    """Postings of a bucket by column, with the low half of the tokens.
+
+    Of two tokens of a bucket with equal low halves the lists become one, which adds
+    candidates but loses none.
+    """
+    return b"".join(
+        (posts["token"].astype(np.uint32).tobytes(), np.ascontiguousarray(posts["sid"]).tobytes(), np.ascontiguousarray(posts["pos"]).tobytes())
+    )
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    n = len(packed) // 16
+    posts = np.zeros(n, POSTING)
+    posts["token"] = np.frombuffer(packed, np.uint32, n)
+    posts["sid"] = np.frombuffer(packed, np.int64, n, 4 * n)
+    posts["pos"] = np.frombuffer(packed, np.uint32, n, 12 * n)
+    return posts
+
+
+def _lists(bucket: int, group: pa.Table) -> pa.Table:
     """Postings of the tokens of a bucket that more than one set has.
 
     A bucket holds about POSTINGS_PER_BUCKET postings of tokens that are not frequent.
     """
-    posts = np.unique(np.frombuffer(b"".join(group.column("packed").to_pylist()), POSTING))
+    posts = np.unique(np.concatenate([_unpack(p) for p in group.column("packed").to_pylist()]))
     same = np.flatnonzero(posts["token"][1:] == posts["token"][:-1])
     posts = posts[np.union1d(same, same + 1)]
+    token = posts["token"].astype(np.int64) | bucket << 32
     return pa.table(
-        {c: pa.array(np.ascontiguousarray(posts[c]).view("<i8" if c == "token" else posts[c].dtype)) for c in ("token", "sid", "n", "pos")}
+        {"token": pa.array(token), "sid": pa.array(np.ascontiguousarray(posts["sid"])), "pos": pa.array(posts["pos"].astype(np.int32))}
     )
 
 
@@ -234,7 +255,9 @@ class _Search:
         ).checkpoint()
         self.described = described.filter("token is null").select("id", "sid", "n")
         self.frequent = described.filter("token is not null").select("token", "seen")
-        self.classes = self.described.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("first_id"))
+        self.classes = (
+            self.described.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("first_id"), F.max("n").alias("n"))
+        )
 
     def postings(self) -> DataFrame:
         top = self.frequent.groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT)
@@ -247,25 +270,34 @@ class _Search:
         buckets = max(8, math.ceil((sizes or 0) / POSTINGS_PER_BUCKET))
         rows = self.docs.select("text").mapInArrow(
             _index(frequent, buckets, self.part, self.whole),
-            "bucket bigint, packed binary, token bigint, sid bigint, n int, pos int",
+            "bucket bigint, packed binary, token bigint, sid bigint, pos int",
         )
         # both kinds in one pass: frequent tokens have buckets of their own, by token and set
         tagged = rows.select(
             F.coalesce("bucket", -1 - F.pmod(F.xxhash64("token", "sid"), F.lit(buckets))).alias("bucket"),
-            "packed", "token", "sid", "n", "pos",
+            "packed", "token", "sid", "pos",
         )
 
         def lists(group: pa.Table) -> pa.Table:
-            if group.column("bucket")[0].as_py() >= 0:
-                return _lists(group)
-            return group.select(["token", "sid", "n", "pos"]).group_by(["token", "sid", "n", "pos"]).aggregate([])
+            bucket = group.column("bucket")[0].as_py()
+            if bucket >= 0:
+                return _lists(bucket, group)
+            return group.select(["token", "sid", "pos"]).group_by(["token", "sid", "pos"]).aggregate([])
 
-        return tagged.groupBy("bucket").applyInArrow(lists, "token bigint, sid bigint, n int, pos int").checkpoint()
+        return tagged.groupBy("bucket").applyInArrow(lists, "token bigint, sid bigint, pos int").checkpoint()
+
+    def only(self, rows: DataFrame, sids: DataFrame) -> DataFrame:
+        """Rows of these sets; few sets are broadcast (they are counted), others shuffled."""
+        sids = sids.distinct().checkpoint()
+        small = sids.count() <= BROADCAST_ROWS
+        return rows.join(F.broadcast(sids) if small else sids, "sid", "left_semi")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, shared, united) of pairs (a, b) of sets."""
-        left = self.texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-        right = self.texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
+        pairs = pairs.checkpoint()
+        texts = self.only(self.texts, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")))
+        left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_compared, "a bigint, b bigint, shared bigint, united bigint")
 
@@ -285,16 +317,21 @@ class _Search:
         part, whole = self.part, self.whole
         posts = self.postings()
         counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-        share = posts.groupBy("sid").agg((F.count(F.lit(1)) / (F.first("n") - F.ceil(F.first("n") * part / whole) + 1)).alias("share"))
+        prefix = F.col("n") - F.ceil(F.col("n") * part / whole) + 1
+        share = (
+            posts.groupBy("sid").agg(F.count(F.lit(1)).alias("k"))
+            .join(self.classes, "sid").select("sid", "n", (F.col("k") / prefix).alias("share"))
+        )
         lists = posts.join(counts, "token").join(share, "sid").checkpoint()
-        active = lists.select("sid").distinct().join(self.classes, "sid")
-        self.texts = (
-            self.docs.join(active, F.col("id").eqNullSafe(F.col("first_id")))
+        active = lists.select("sid").distinct().join(self.classes.select("sid", "first_id"), "sid").checkpoint()
+        # few sets are broadcast (they are counted), others shuffled with the texts
+        chosen = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
+        self.texts = stored(
+            self.docs.join(chosen, F.col("id").eqNullSafe(F.col("first_id")))
             .select("sid", "text")
             .mapInArrow(_matching_text, "sid bigint, text string")
-            .checkpoint()
         )
-        # the hubs of each list; a set meets the two that it shares most lists with
+        # the hubs of each list; a set meets the one that it shares most lists with
         hubs = lists.groupBy("token").agg(F.max(F.struct("share", "sid", "n", "pos")).alias("hub"))
         met = (
             lists.join(hubs, "token")
@@ -303,12 +340,10 @@ class _Search:
             .groupBy("sid", F.col("hub.sid").alias("hub"))
             .agg(F.count(F.lit(1)).alias("k"))
             .groupBy("sid")
-            .agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("k", "hub")))), 1, 2).alias("best"))
-            .select(F.col("sid").alias("a"), F.explode("best").alias("best"))
-            .select("a", F.col("best.hub").alias("b"), F.col("best.k").alias("k"))
+            .agg(F.max(F.struct("k", "hub"))["hub"].alias("hub"))
         )
-        pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("k").alias("k"))
-        answers = self.compare(pairs.select("a", "b")).checkpoint()
+        pairs = met.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+        answers = self.compare(pairs).checkpoint()
         links = answers.filter(self.linked()).select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = components(links)
         rest = self.labelled(lists.drop("share"), roots)
