@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import use_checkpoint_dir
 
@@ -39,3 +40,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{use_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def with_fields(df: DataFrame, fields: str) -> StructType:
+    """The schema of ``df`` followed by these fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import query, table
+from .catalog import query, table, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -209,7 +209,7 @@ def encoded(
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, "piece_ids"])
 
     given = df.select(*kept, df[text].alias("_text"), df[key].cast("string").alias("_key"))
-    return given.mapInArrow(rows, df.select(*kept).schema.add("piece_ids", "array<int>"))
+    return given.mapInArrow(rows, with_fields(df.select(*kept), "piece_ids array<int>"))
 
 
 def decoded(df: DataFrame, ids: str = "piece_ids", path: str = MODEL, name: str = "decoded") -> DataFrame:
@@ -223,7 +223,7 @@ def decoded(df: DataFrame, ids: str = "piece_ids", path: str = MODEL, name: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, name])
 
     given = df.select(*kept, df[ids].alias("_ids"))
-    return given.mapInArrow(rows, df.select(*kept).schema.add(name, "string"))
+    return given.mapInArrow(rows, with_fields(df.select(*kept), f"`{name}` string"))
 
 
 def digest_rows(
@@ -255,8 +255,8 @@ def digest_rows(
             )
 
     given = df.select(key, text, F.col(key).cast("string").alias("_key"))
-    schema = df.select(key).schema.add("n_pieces", "bigint").add("piece_ids_sha256", "string").add("decoded_sha256", "string")
-    return given.mapInArrow(rows, schema)
+    figures = "n_pieces bigint, piece_ids_sha256 string, decoded_sha256 string"
+    return given.mapInArrow(rows, with_fields(df.select(key), figures))
 
 
 @query()
