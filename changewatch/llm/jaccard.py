@@ -86,7 +86,7 @@ def digests(tokens: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarr
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First pass: (id, digest, n) of each document, and (token, seen) of frequent tokens."""
-    names = ["id", "sid", "n", "token", "seen"]
+    names = ["id", "th", "sid", "n", "token", "seen"]
     kept: list[np.ndarray] = []
     held, known = 0, set()
 
@@ -95,7 +95,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = seen >= STRETCH_MIN
         tokens, seen = tokens[often].view(np.int64), seen[often]
         nothing = pa.nulls(len(tokens), pa.int64())
-        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(tokens), pa.array(seen)], names)
+        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(tokens), pa.array(seen)], names)
 
     for batch in batches:
         for first, n_rows, tokens, rows in shingle_sets(batch.column(1)):
@@ -108,9 +108,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(tokens[new[rows]])
             held += len(kept[-1])
             nothing = pa.nulls(n_rows, pa.int64())
-            ids = batch.column(0).slice(first, n_rows)
+            ids = [batch.column(k).slice(first, n_rows) for k in (0, 2)]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(digest, mask=size == 0), pa.array(size), nothing, nothing], names
+                [*ids, pa.array(digest, mask=size == 0), pa.array(size), nothing, nothing], names
             )
             if held >= STRETCH:
                 yield counted()
@@ -250,10 +250,11 @@ class _Search:
         use_checkpoint_dir(self.spark)
         self.part, self.whole = threshold
         self.docs = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-        described = self.docs.mapInArrow(
-            _describe, "id bigint, sid bigint, n bigint, token bigint, seen bigint"
+        hashed = self.docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+        described = hashed.mapInArrow(
+            _describe, "id bigint, th bigint, sid bigint, n bigint, token bigint, seen bigint"
         ).checkpoint()
-        self.described = described.filter("token is null").select("id", "sid", "n")
+        self.described = described.filter("token is null").select("id", "th", "sid", "n")
         self.frequent = described.filter("token is not null").select("token", "seen")
         self.classes = (
             self.described.filter("sid is not null").groupBy("sid").agg(F.min("id").alias("first_id"), F.max("n").alias("n"))
@@ -409,15 +410,18 @@ class _Search:
 
 
 def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(id, n_shingles, component_id) of each row of ``docs``."""
+    """(key, n_shingles, component_id, text_hash) of each row of ``docs``.
+
+    ``text_hash`` is xxhash64 of the text, so that results of an id can be told apart.
+    """
     search = _Search(docs, key, text, threshold)
     roots = search.components().toDF("sid", "root")
     named = search.classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_set = named.join(smallest, "root").select("sid", "component_id")
-    has = search.described.filter("sid is not null").join(by_set, "sid").select("id", "n", "component_id")
-    none = search.described.filter("sid is null").select("id", "n", F.col("id").alias("component_id"))
-    return has.union(none).toDF(key, "n_shingles", "component_id")
+    has = search.described.filter("sid is not null").join(by_set, "sid").select("id", "n", "component_id", "th")
+    none = search.described.filter("sid is null").select("id", "n", F.col("id").alias("component_id"), "th")
+    return has.union(none).toDF(key, "n_shingles", "component_id", "text_hash")
 
 
 OP8_SQL = r"""
@@ -446,4 +450,4 @@ FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = s.doc_
 
 @query(OP8_SQL)
 def op8_jaccard_join(spark, folder):
-    return similar_sets(table(spark, folder, "documents").select("doc_id", "text"))
+    return similar_sets(table(spark, folder, "documents").select("doc_id", "text")).drop("text_hash")

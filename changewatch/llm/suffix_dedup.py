@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import use_checkpoint_dir
-from .catalog import query, table
+from .catalog import query, stored, table, with_fields
 from .vec import Hasher, slices
 
 WINDOW = 200
@@ -278,16 +278,16 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text hash, n_bytes, n_removed, n_spans, kept) of rows (id, text hash, text, spans)."""
-    names = ["id", "th", "n_bytes", "n_removed", "n_spans", "kept"]
+    """(id, text hash, rest, n_bytes, n_removed, n_spans, kept) of rows (id, text hash, rest, text, spans)."""
+    names = ["id", "th", "rest", "n_bytes", "n_removed", "n_spans", "kept"]
     for batch in batches:
-        texts = batch.column(2).cast(pa.large_binary()).fill_null(b"")
+        texts = batch.column(3).cast(pa.large_binary()).fill_null(b"")
         out: list[tuple[int, int, int, bytes]] = []
         held = done = 0
 
         def part() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
-            ids = [batch.column(k).slice(done, len(out)) for k in (0, 1)]
+            ids = [batch.column(k).slice(done, len(out)) for k in (0, 1, 2)]
             return pa.RecordBatch.from_arrays(
                 [*ids, *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names
             )
@@ -295,7 +295,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             text = texts[i].as_py()
             kept, at, removed, spans = [], 0, 0, 0
-            for begin, end in sorted((s["b"], s["e"]) for s in batch.column(3)[i].as_py() or []):
+            for begin, end in sorted((s["b"], s["e"]) for s in batch.column(4)[i].as_py() or []):
                 if begin > at or spans == 0:
                     kept.append(text[at:begin])
                     removed, spans, at = removed + end - begin, spans + 1, end
@@ -311,32 +311,34 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part()
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text_hash, n_bytes, n_removed, n_spans, kept) of each row; kept is binary.
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, text_hash, n_bytes, n_removed, n_spans, kept, *keep) of each row; kept is binary.
 
     ``text_hash`` is xxhash64 of the text, so that results of an id can be told apart.
     """
     use_checkpoint_dir(docs.sparkSession)
+    rest = F.struct(F.lit(0).alias("_"), *keep)
     docs = docs.select(
-        F.col(key).cast("bigint").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text")
+        F.col(key).cast("bigint").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"), rest.alias("rest")
     )
-    found = docs.mapInArrow(_anchor_rows, ANCHOR)
+    found = docs.select("id", "th", "text").mapInArrow(_anchor_rows, ANCHOR)
     twice = found.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("ah")
-    runs = found.join(twice, "ah").checkpoint()
+    runs = stored(found.join(twice, "ah"))
     extents = runs.groupBy("ah", "eh").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "at", "lo", "hi")).alias("one")
     )
-    extents = extents.select("ah", "eh", "n", "one.*").checkpoint()
+    extents = stored(extents.select("ah", "eh", "n", "one.*"))
     kinds = extents.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     # an extent of few windows may be inside another one, so all contexts of an anchor are compared
-    asked = extents.join(kinds, "ah").checkpoint()
+    asked = stored(extents.join(kinds, "ah"))
     total, most = asked.agg(F.count(F.lit(1)), F.max("kinds")).first()
 
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     spots = asked.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(
         F.collect_list(F.struct("ah", "eh", "n", "lo", "hi", "at", "kinds")).alias("spots")
     )
-    contexts = docs.join(spots, same).select("text", "spots").mapInArrow(
+    # all columns, so that both joins of the texts share one shuffle
+    contexts = docs.join(spots, same).select("text", "spots", "rest").mapInArrow(
         _cut_contexts, "ah bigint, eh bigint, n bigint, lo int, hi int, context binary"
     )
     buckets = max(8, math.ceil((total or 0) / CONTEXTS))
@@ -364,10 +366,14 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     spans = whole.union(single).groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(
         F.collect_list(F.struct("b", "e")).alias("spans")
     )
-    cut = docs.join(spans, same, "left").select("id", "th", "text", "spans").mapInArrow(
-        _cut, "id bigint, th bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+    given = docs.join(spans, same, "left").select("id", "th", "rest", "text", "spans")
+    cut = given.mapInArrow(
+        _cut, with_fields(given.select("id", "th", "rest"), "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    )
+    return cut.select(
+        F.col("id").alias(key), F.col("th").alias("text_hash"), "n_bytes", "n_removed", "n_spans", "kept",
+        *[F.col(f"rest.{c}").alias(c) for c in keep],
     )
-    return cut.withColumnsRenamed({"id": key, "th": "text_hash"})
 
 
 OP5_SQL = r"""
