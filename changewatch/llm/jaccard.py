@@ -67,7 +67,9 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         data = lower[data]
         start, end, row = word_spans(data, offsets, space)
         tokens, rows = shingle_hashes(hasher.spans(hasher.sums(data), start, end), row, len(offsets) - 1, WIDTH)
-        order = np.lexsort((tokens, rows))
+        order = np.argsort(tokens)
+        small = rows[order].astype(np.uint16 if len(offsets) < 1 << 16 else np.uint32)
+        order = order[np.argsort(small, kind="stable")]
         tokens, rows = tokens[order], rows[order]
         fresh = np.ones(len(tokens), bool)
         fresh[1:] = (tokens[1:] != tokens[:-1]) | (rows[1:] != rows[:-1])
@@ -128,7 +130,8 @@ def _index(frequent, buckets: int, part: int, whole: int):
     names = ["bucket", "packed", "token", "sid", "pos"]
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        posts = np.unique(np.concatenate(held))  # by token; repeated documents once
+        posts = np.concatenate(held)
+        posts = posts[np.argsort(posts["token"])]
         bucket = ((posts["token"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         first = np.flatnonzero(np.diff(bucket, prepend=-1))
         parts = [_pack(p) for p in np.split(posts, first[1:])]
@@ -140,26 +143,32 @@ def _index(frequent, buckets: int, part: int, whole: int):
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = frequent.value
         held: list[np.ndarray] = []
+        known: set[int] = set()
         for batch in batches:
             for _, n_rows, tokens, rows in shingle_sets(batch.column(0)):
                 digest, size = digests(tokens, rows, n_rows)
-                key = tokens >> np.uint64(1)
-                is_hot = np.zeros(len(tokens), bool)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-                    is_hot = hot[at] == tokens
-                    key[is_hot] = rank[at[is_hot]] | np.uint64(1 << 63)
-                order = np.lexsort((key, rows))
-                tokens, rows, is_hot = tokens[order], rows[order], is_hot[order]
-                begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-                pos = np.arange(len(tokens)) - begin[rows]
-                use = pos < prefix_length(size, part, whole)[rows]
+                at = np.minimum(np.searchsorted(hot, tokens), max(len(hot) - 1, 0))
+                is_hot = hot[at] == tokens if len(hot) else np.zeros(len(tokens), bool)
+                # first the others, which are in hash order already, then the frequent ones by rank
+                last = np.flatnonzero(is_hot)
+                last = last[np.lexsort((rank[at[last]], rows[last]))] if len(last) else last
+                n_hot = np.bincount(rows[last], minlength=n_rows)
+                pos = np.empty(len(tokens), np.int64)
+                for index, count, shift in ((np.flatnonzero(~is_hot), size - n_hot, 0 * size), (last, n_hot, size - n_hot)):
+                    begin = np.cumsum(count) - count
+                    pos[index] = np.arange(len(index)) - begin[rows[index]] + shift[rows[index]]
+                new = np.zeros(n_rows, bool)
+                for i, d in enumerate(digest.tolist()):
+                    if d not in known:  # repeated documents once
+                        known.add(d)
+                        new[i] = True
+                use = (pos < prefix_length(size, part, whole)[rows]) & new[rows]
                 posts = np.zeros(int(use.sum()), POSTING)
                 posts["token"], posts["pos"] = tokens[use], pos[use]
                 posts["sid"] = digest[rows[use]]
                 is_hot = is_hot[use]
                 held.append(posts[~is_hot])
-                often = np.unique(posts[is_hot])
+                often = posts[is_hot]
                 if len(often):
                     n = len(often)
                     columns = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
@@ -168,7 +177,7 @@ def _index(frequent, buckets: int, part: int, whole: int):
                     yield pa.RecordBatch.from_arrays(columns, names)
             if sum(map(len, held)) >= 1_000_000:
                 yield packed(held)
-                held = []
+                held, known = [], set()
         if sum(map(len, held)):
             yield packed(held)
 
@@ -200,7 +209,14 @@ def _lists(bucket: int, group: pa.Table) -> pa.Table:
 
     A bucket holds about POSTINGS_PER_BUCKET postings of tokens that are not frequent.
     """
-    posts = np.unique(np.concatenate([_unpack(p) for p in group.column("packed").to_pylist()]))
+    posts = np.concatenate([_unpack(p) for p in group.column("packed").to_pylist()])
+    token, n = np.unique(posts["token"], return_counts=True)
+    posts = posts[n[np.searchsorted(token, posts["token"])] > 1]
+    posts = posts[np.lexsort((posts["pos"], posts["sid"], posts["token"]))]
+    again = np.zeros(len(posts), bool)  # a set that several stretches have
+    again[1:] = (posts["token"][1:] == posts["token"][:-1]) & (posts["sid"][1:] == posts["sid"][:-1])
+    again[1:] &= posts["pos"][1:] == posts["pos"][:-1]
+    posts = posts[~again]
     same = np.flatnonzero(posts["token"][1:] == posts["token"][:-1])
     posts = posts[np.union1d(same, same + 1)]
     token = posts["token"].astype(np.int64) | bucket << 32
@@ -294,14 +310,26 @@ class _Search:
         return rows.join(F.broadcast(sids) if small else sids, "sid", "left_semi")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, shared, united) of pairs (a, b) of sets."""
-        pairs = pairs.checkpoint()
+        """(a, b, shared, united) of those pairs (a, b) of sets that their lists leave possible.
+
+        What two sets share is at most the tokens of both prefixes, plus what one of them has
+        after its prefix. That needs only the tokens that other sets have in their prefixes, too.
+        """
+        left = self.tokens.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+        right = self.tokens.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+        shared = F.size(F.array_intersect("ta", "tb")) + F.size("ta") - F.size(F.array_distinct("ta"))
+        most = shared + F.greatest(F.col("na") - self.prefix("na"), F.col("nb") - self.prefix("nb"))
+        possible = (self.whole + self.part) * most >= self.part * (F.col("na") + F.col("nb"))
+        pairs = pairs.join(left, "a").join(right, "b").filter(possible).select("a", "b").checkpoint()
         texts = self.only(self.texts, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")))
         left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(_compared, "a bigint, b bigint, shared bigint, united bigint")
 
+    def prefix(self, n: str) -> Column:
+        return F.col(n) - F.ceil(F.col(n) * self.part / self.whole) + 1
+
     def linked(self) -> Column:
         return F.expr(f"{self.whole} * shared >= {self.part} * united")
 
@@ -318,12 +346,12 @@ class _Search:
         part, whole = self.part, self.whole
         posts = self.postings()
         counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-        prefix = F.col("n") - F.ceil(F.col("n") * part / whole) + 1
         share = (
             posts.groupBy("sid").agg(F.count(F.lit(1)).alias("k"))
-            .join(self.classes, "sid").select("sid", "n", (F.col("k") / prefix).alias("share"))
+            .join(self.classes, "sid").select("sid", "n", (F.col("k") / self.prefix("n")).alias("share"))
         )
         lists = posts.join(counts, "token").join(share, "sid").checkpoint()
+        self.tokens = lists.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")).checkpoint()
         active = lists.select("sid").distinct().join(self.classes.select("sid", "first_id"), "sid").checkpoint()
         # few sets are broadcast (they are counted), others shuffled with the texts
         chosen = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
