@@ -322,7 +322,8 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
         F.col(key).cast("bigint").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"), rest.alias("rest")
     )
     found = docs.select("id", "th", "text").mapInArrow(_anchor_rows, ANCHOR)
-    twice = found.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("ah")
+    # read from files, so that AQE can split an anchor that very many texts have
+    twice = found.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("ah").checkpoint()
     runs = stored(found.join(twice, "ah"))
     extents = runs.groupBy("ah", "eh").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "at", "lo", "hi")).alias("one")
