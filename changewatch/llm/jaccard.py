@@ -18,9 +18,9 @@ Two relations between sets then save work:
   sets with the largest share of their prefix in lists, so the likely originals of near
   copies). A hub's answers stand for those of the sets found similar to it: these are
   connected already and are not compared with each other. What is left in a list are
-  sets outside its largest component; they are compared with some members of the others
-  (``PROBES`` rounds), and those still apart with all of them, but for pairs which the
-  distances to a common hub rule out: |d(x, hub) - d(y, hub)| > 1 - t.
+  sets outside its largest component; they are compared with all others of it, but for pairs
+  which their answers to a common hub rule out:
+  |x & y| <= min(|x & hub|, |y & hub|) + min(|x - hub|, |y - hub|).
 
 So components are exact, while a group of m near copies costs about m comparisons.
 Comparisons read both whole texts.
@@ -52,8 +52,6 @@ FREQUENT = 100_000
 STRETCH = 2_000_000
 STRETCH_MIN = 4
 POSTINGS_PER_BUCKET = 128_000
-PROBES = 2
-PROBE_CELL = 8
 
 BROADCAST_ROWS = 500_000
 
@@ -338,7 +336,7 @@ class _Search:
         named = lists.join(roots.toDF("sid", "root"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
         shares = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         major = shares.groupBy("token").agg(
-            F.max(F.struct("k", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("length")
+            F.max(F.struct("k", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("comps")
         )
         return named.join(major.filter("comps > 1"), "token").checkpoint()
 
@@ -373,44 +371,35 @@ class _Search:
         )
         pairs = met.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
         answers = self.compare(pairs).checkpoint()
+        both = answers.select(F.col("a").alias("sid"), F.col("b").alias("hub"), "shared")
+        both = both.union(answers.select("b", "a", "shared"))
+        self.near = both.join(met, ["sid", "hub"], "left_semi").checkpoint()
+        hubs_too = self.near.select(F.col("hub").alias("sid"), "hub").distinct().join(self.classes.select("sid", "n"), "sid")
+        self.near = self.near.union(hubs_too.join(self.near.select("sid"), "sid", "left_anti").select("sid", "hub", "n"))
         links = answers.filter(self.linked()).select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = components(links)
-        rest = self.labelled(lists.drop("share"), roots)
-        for turn in range(PROBES):
-            if rest.isEmpty():
-                return roots
-            # sets outside the largest component of a list, with a cell of its other members
-            cells = F.greatest(F.floor(F.col("length") / PROBE_CELL), F.lit(1))
-            cell = F.pmod(F.xxhash64("sid", F.lit(turn)), cells)
-            mine = rest.filter("comp != major").select(
-                "token", cell.alias("cell"), F.col("sid").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("na"), F.col("pos").alias("pa")
-            )
-            others = rest.select("token", F.pmod(F.xxhash64("sid", F.lit(-1 - turn)), cells).alias("cell"), "sid", "comp", "n", "pos")
-            pairs = (
-                mine.join(others, ["token", "cell"])
-                .filter("comp != comp_a")
-                .filter(_reachable(part, whole, "na", "pa", "n", "pos"))
-                .select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b"))
-                .distinct()
-            )
-            found = self.compare(pairs).filter(self.linked()).select(F.col("a").alias("u"), F.col("b").alias("v"))
-            roots = components(roots.union(found))
-            rest = self.labelled(rest.select("token", "sid", "n", "pos"), roots)
+        rest = self.labelled(lists.drop("share").join(self.near.withColumnRenamed("shared", "with_hub"), "sid", "left"), roots)
         if rest.isEmpty():
             return roots
-        found = self.compare(self.remaining(rest, answers)).filter(self.linked())
+        found = self.compare(self.remaining(rest)).filter(self.linked())
         return components(roots.union(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    def remaining(self, rest: DataFrame, answers: DataFrame) -> DataFrame:
+    def by_hub(self) -> Column:
+        """Whether the answers of a common hub leave a pair possible.
+
+        What two sets share is at most what both share with the hub, as far as the smaller
+        share goes, plus what the one with less beside the hub has there.
+        """
+        same = F.coalesce(F.col("hub") == F.col("hub_a"), F.lit(False))
+        most = F.least("with_hub", "with_a") + F.least(F.col("n") - F.col("with_hub"), F.col("na") - F.col("with_a"))
+        return ~same | ((self.whole + self.part) * most >= self.part * (F.col("n") + F.col("na")))
+
+    def remaining(self, rest: DataFrame) -> DataFrame:
         """All pairs of a list in different components that nothing rules out."""
         part, whole = self.part, self.whole
         # sizes of one class differ by less than a factor of 4/3: linked sets are in the same or neighbouring ones
         size = F.floor(F.log(F.col("n").cast("double")) / math.log(whole / part)).cast("int")
-        far = 1 - part / whole + 1e-9
-        distance = answers.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("d"))
-        distance = distance.select("a", F.col("b").alias("hub"), "d").union(distance.select("b", "a", "d"))
-        nearest = distance.groupBy(F.col("a").alias("sid")).agg(F.min(F.struct("hub", "d")).alias("near"))
-        rows = rest.withColumn("size", size).join(nearest, "sid", "left")
+        rows = rest.withColumn("size", size)
         blocks = rows.groupBy("token", "size").agg(
             F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos_min"),
             F.min("comp").alias("comp_min"), F.max("comp").alias("comp_max"),
@@ -418,20 +407,20 @@ class _Search:
         probes = rows.filter("comp != major").select(
             "token", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"),
             F.col("sid").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("na"), F.col("pos").alias("pa"),
-            F.col("near").alias("near_a"),
+            F.col("hub").alias("hub_a"), F.col("with_hub").alias("with_a"),
         )
         probes = (
             probes.join(blocks, ["token", "size"])
             .filter("comp_min != comp_a or comp_max != comp_a")
             .filter(f"{whole} * n_max >= {part} * na and {whole} * na >= {part} * n_min")
             .filter(f"{whole + part} * least(na - pa, n_max - pos_min) >= {part} * (na + n_min)")
-            .select("token", "size", "a", "comp_a", "na", "pa", "near_a")
+            .select("token", "size", "a", "comp_a", "na", "pa", "hub_a", "with_a")
         )
         return (
             probes.join(rows, ["token", "size"])
             .filter("comp != comp_a")
             .filter(_reachable(part, whole, "na", "pa", "n", "pos"))
-            .filter(~F.coalesce((F.col("near_a.hub") == F.col("near.hub")) & (F.abs(F.col("near_a.d") - F.col("near.d")) > far), F.lit(False)))
+            .filter(self.by_hub())
             .select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b"))
             .distinct()
         )
