@@ -3,10 +3,11 @@
 Encoding follows the merge type of the vocabulary: from single characters on, an agenda
 of neighbouring pairs that form a piece is worked off from the best score (of equal ones
 the leftmost). With ``dropout`` > 0 a candidate taken from the agenda is skipped if a keyed
-hash of (seed, variant, unit, place, piece) falls below it; it can only come back as part of a
+hash of (seed, variant, unit, piece) falls below it; it can only come back as part of a
 new pair. A text is cut into units, which no piece of the vocabulary crosses: white space
-signs and what follows up to the next one. The agenda of a short unit is a list, of a long one
-(over ``LONG`` characters) a heap, with the same result. The variant of a unit is one of ``variants``,
+signs and what follows up to the next one. The agendas of many short units are worked off
+together, as rows of one numpy array; a long unit (over ``LONG`` characters) has a heap of its
+own. The result is the same. The variant of a unit is one of ``variants``,
 chosen by a keyed hash of the document's key and the unit's number, so that a word is cut
 in different ways here and there, while equal (seed, key, text) always give equal ids, on
 whatever executor and however often. Without dropout the ids are those of the vocabulary's own
@@ -30,8 +31,11 @@ import re
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain, compress
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +47,11 @@ SPACE = "▁"
 DROPOUT = 0.1
 SEED = 2024
 VARIANTS = 2
-CACHE = 300_000
+CACHE = 1_000_000
 LONG = 48
-NEVER = float("inf")
+NEVER = 1 << 30
+BATCH = 20_000
+PART = 1 << 21
 
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -64,42 +70,86 @@ class Pieces:
         self.bytes_of = [bytes([byte[i]]) if i in byte else names[i].replace(SPACE, " ").encode() for i in every]
         plain = [i for i in every if not (i in byte or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {names[i]: i for i in plain}
-        self.rank = {names[i]: -model.get_score(i) for i in plain}
+        # place in the order of scores: the best is 0
+        places = {score: k for k, score in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}
+        self.rank = {names[i]: places[model.get_score(i)] for i in plain}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece of this vocabulary goes on after white space; units cannot be cut there")
-        self.limit, self.seed = int(dropout * (1 << 32)), seed
+        # neighbours (left, right) that form a piece, and the piece at each place
+        self.size = len(names)
+        pairs = {}
+        for piece, place in self.rank.items():
+            for cut in range(1, len(piece)):
+                left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 21 | right] = place
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_places = np.array([pairs[k] for k in sorted(pairs)], np.int32)
+        self.at_place = np.zeros(len(places), np.int32)
+        self.at_place[[self.rank[p] for p in self.ids]] = list(self.ids.values())
+        # a character that is no piece stands for itself, beyond the ids
+        self.of_char = np.arange(0x110000, dtype=np.int32) + self.size
+        single = [p for p in self.ids if len(p) == 1]
+        self.of_char[[ord(p) for p in single]] = [self.ids[p] for p in single]
+        self.limit, self.seed = int(dropout * (1 << 24)), seed
         self.escaped = self._in_bytes(SPACE)
-        self.cache: dict[tuple[str, int], list[int]] = {}
+        self.cache: dict[int, dict[str, list[int]]] = {}  # by variant, then unit
 
     def _in_bytes(self, text: str) -> list[int]:
         return [self.byte_id[b] for b in text.encode("utf-8", "replace")]
 
-    def _skipped(self, key: int, at: int, score: float) -> bool:
-        mixed = (key ^ at * 0x9E3779B97F4A7C15 ^ int(score) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
-        mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-        return (mixed >> 32) < self.limit
-
-    def merged(self, unit: str, key: int) -> list[str]:
-        """Pieces of a unit by an agenda in a list; characters that are no piece stay single."""
-        rank, limit = self.rank.get, self.limit
-        parts = list(unit)
-        agenda = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]
-        start = list(range(len(parts)))
-        while agenda:
-            score = min(agenda)
-            if score == NEVER:
-                break
-            i = agenda.index(score)
-            if limit and self._skipped(key, start[i], score):
-                agenda[i] = NEVER
+    def _places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 21 | np.maximum(right, 0)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (right >= 0), self.pair_places[at], NEVER)
+
+    def merged_many(self, units: list[str], keys: np.ndarray) -> list[list[int]]:
+        """Ids of each unit by agendas that are rows of one array: NEVER where no candidate is."""
+        n, width = len(units), max(map(len, units))
+        lengths = np.array([len(u) for u in units])
+        part = np.full((n, width + 1), -1, np.int32)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        part[:, :width][np.arange(width) < lengths[:, None]] = self.of_char[chars]
+        agenda = self._places(part[:, :-1], part[:, 1:]).astype(np.int32)
+        done: list[list[int]] = [[]] * n
+        row = np.arange(n)
+        column = np.arange(width + 1)
+        while len(row):
+            at = agenda.argmin(axis=1)
+            every = np.arange(len(row))
+            score = agenda[every, at]
+            over = score == NEVER
+            if over.any():
+                for i, ids in zip(row[over].tolist(), part[over].tolist(), strict=True):
+                    done[i] = ids[: ids.index(-1)]
+                live = ~over
+                row, part, agenda, keys, at, score = (x[live] for x in (row, part, agenda, keys, at, score))
+                every = np.arange(len(row))
+                if not len(row):
+                    break
+            # the keyed hash of each candidate, as in merged_long
+            mixed = (keys ^ score.astype(np.int64) * 668265263) * 73244475
+            skip = (mixed >> 7 & 0xFFFFFF) < self.limit
+            agenda[every[skip], at[skip]] = NEVER
+            go = every[~skip]
+            if not len(go):
                 continue
-            parts[i] += parts.pop(i + 1)
-            del agenda[i], start[i + 1]
-            if i < len(agenda):
-                agenda[i] = rank(parts[i] + parts[i + 1], NEVER)
-            if i:
-                agenda[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
-        return parts
+            b = at[go]
+            part[go, b] = self.at_place[score[go]]
+            old, was = part[go], agenda[go]
+            moved, places = old.copy(), was.copy()
+            after = column[:-1] > b[:, None]
+            np.copyto(moved[:, :-1], old[:, 1:], where=after)
+            moved[:, -1] = -1
+            np.copyto(places[:, :-1], was[:, 1:], where=after[:, :-1] | (column[: width - 1] == b[:, None]))
+            places[:, -1] = NEVER
+            part[go] = moved
+            ahead = np.arange(len(go))
+            places[ahead, b] = np.where(b < width, self._places(moved[ahead, b], moved[ahead, np.minimum(b + 1, width)]), NEVER)
+            inner = b > 0
+            places[ahead[inner], b[inner] - 1] = self._places(moved[ahead[inner], b[inner] - 1], moved[ahead[inner], b[inner]])
+            agenda[go] = places
+        return done
 
     def merged_long(self, unit: str, key: int) -> list[str]:
         """The same by an agenda in a heap."""
@@ -107,7 +157,7 @@ class Pieces:
         parts: list[str] = list(unit)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[float, int, str]] = []
+        agenda: list[tuple[int, int, str]] = []
 
         def offer(at: int) -> None:
             if after[at] < n:
@@ -123,7 +173,7 @@ class Pieces:
             nxt = after[at]
             if not parts[at] or nxt >= n or parts[at] + parts[nxt] != pair:
                 continue  # one of the two was merged meanwhile
-            if limit and self._skipped(key, at, score):
+            if limit and ((key ^ score * 668265263) * 73244475 >> 7 & 0xFFFFFF) < limit:
                 continue
             parts[at], parts[nxt] = pair, ""
             after[at] = after[nxt]
@@ -134,39 +184,67 @@ class Pieces:
             offer(at)
         return [p for p in parts if p]
 
-    def unit_ids(self, unit: str, variant: int) -> list[int]:
-        got = self.cache.get((unit, variant))
-        if got is None:
-            key = xxhash.xxh64_intdigest(unit.encode("utf-8", "replace"), self.seed + variant) if self.limit else 0
-            got, ids = [], self.ids.get
-            for piece in (self.merged if len(unit) <= LONG else self.merged_long)(unit, key):
-                i = ids(piece)
-                if i is None:
-                    got += self._in_bytes(piece)
-                else:
-                    got.append(i)
-            if len(unit) <= LONG:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[unit, variant] = got
-        return got
-
-    def encode(self, text: str, key: str = "", variants: int = 1) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        ids, number = self.unit_ids, 0
+    def _keys(self, units: list[str], variant: int) -> list[int]:
+        if not self.limit:
+            return [0] * len(units)
+        return [xxhash.xxh32_intdigest(u.encode("utf-8", "replace"), self.seed + variant) for u in units]
+
+    def _spelled(self, ids: list[int]) -> list[int]:
+        """Characters beyond the ids in bytes."""
+        if not ids or max(ids) < self.size:
+            return ids
+        return [b for i in ids for b in ([i] if i < self.size else self._in_bytes(chr(i - self.size)))]
+
+    def _learn(self, units: set[str], kept: dict[str, list[int]], variant: int) -> None:
+        """Puts the ids of units that are not there yet into ``kept``."""
+        units = units.difference(kept)
+        short = sorted((u for u in units if len(u) <= LONG), key=len)
+        for at in range(0, len(short), BATCH):
+            some = short[at : at + BATCH]
+            found = self.merged_many(some, np.array(self._keys(some, variant), np.int64))
+            kept.update(zip(some, map(self._spelled, found), strict=True))
+        for u in units:
+            if len(u) > LONG:
+                parts = self.merged_long(u, self._keys([u], variant)[0])
+                kept[u] = [b for p in parts for b in ([self.ids[p]] if p in self.ids else self._in_bytes(p))]
+
+    def encode_many(self, texts: list[str], keys: list[str], variants: int = 1) -> list[list[int]]:
         several = variants if self.limit else 1
-        turn = xxhash.xxh64_intdigest(key.encode("utf-8", "replace"), self.seed) >> 1
-        # a white space sign of the text itself is spelled in bytes
-        for k, part in enumerate(text.split(SPACE)):
-            if k:
-                out += self.escaped
-            for unit in UNIT.findall(part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE)):
-                number += 1
-                out += ids(unit, ((turn + number * 0x9E3779B1) >> 13) % several)
+        # a white space sign of the text itself is spelled in bytes, so its parts are cut apart
+        cut = [
+            [UNIT.findall((SPACE if not k else "") + part.replace(" ", SPACE)) for k, part in enumerate(text.split(SPACE))] if text else []
+            for text in texts
+        ]
+        flat = [[u for units in parts for u in units] for parts in cut]
+        which: list[list[int]] | None = None
+        if several > 1:
+            turns = [xxhash.xxh64_intdigest(k.encode("utf-8", "replace"), self.seed) >> 1 for k in keys]
+            which = [[((t + k * 0x9E3779B1) >> 13) % several for k in range(len(units))] for t, units in zip(turns, flat, strict=True)]
+        known = [self.cache.setdefault(v, {}) for v in range(several)]
+        for v, kept in enumerate(known):
+            if len(kept) > CACHE:
+                kept.clear()
+            if which is None:
+                self._learn(set().union(*flat), kept, v)
+            else:
+                mine = [compress(units, map(v.__eq__, vs)) for units, vs in zip(flat, which, strict=True)]
+                self._learn(set(chain.from_iterable(mine)), kept, v)
+        out = []
+        for d, parts in enumerate(cut):
+            units = flat[d]
+            got = list(map(known[0].__getitem__, units)) if which is None else [known[v][u] for u, v in zip(units, which[d], strict=True)]
+            if len(parts) > 1:
+                at, pieces = 0, []
+                for k, part in enumerate(parts):
+                    pieces += [self.escaped] * bool(k) + got[at : at + len(part)]
+                    at += len(part)
+                got = pieces
+            out.append(list(chain.from_iterable(got)))
         return out
 
+    def encode(self, text: str, key: str = "", variants: int = 1) -> list[int]:
+        return self.encode_many([text], [key], variants)[0]
+
     def decode(self, ids: list[int]) -> str:
         try:
             joined = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -187,6 +265,17 @@ def _encoder(path: str, dropout: float, seed: int) -> Pieces:
 _loaded: dict[tuple[str, float, int], Pieces] = {}
 
 
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None], list[str]]]:
+    """(rows, texts, keys) of stretches of a batch of bounded size; columns at and at + 1 are text and key."""
+    size = np.cumsum(np.concatenate([[0], pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)]))
+    first = 0
+    while first < batch.num_rows:
+        end = min(max(int(np.searchsorted(size, size[first] + PART, side="right")) - 1, first + 1), batch.num_rows)
+        part = batch.slice(first, end - first)
+        yield part, part.column(at).to_pylist(), [k or "" for k in part.column(at + 1).to_pylist()]
+        first = end
+
+
 def encoded(
     df: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL, dropout: float = DROPOUT,
     seed: int = SEED, variants: int = VARIANTS,
@@ -197,15 +286,10 @@ def encoded(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _encoder(path, dropout, seed)
         for batch in batches:
-            at, texts, keys = 0, batch.column(len(kept)), batch.column(len(kept) + 1)
-            while at < batch.num_rows:  # parts of bounded size
-                ids, held, first = [], 0, at
-                while at < batch.num_rows and held < 1 << 20:
-                    text = texts[at].as_py()
-                    ids.append(None if text is None else pieces.encode(text, keys[at].as_py() or "", variants))
-                    held += len(ids[-1] or ())
-                    at += 1
-                columns = [c.slice(first, at - first) for c in batch.columns[: len(kept)]]
+            for part, texts, keys in _parts(batch, len(kept)):
+                ids = pieces.encode_many([t or "" for t in texts], keys, variants)
+                ids = [None if t is None else x for t, x in zip(texts, ids, strict=True)]
+                columns = part.columns[: len(kept)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, "piece_ids"])
 
     given = df.select(*kept, df[text].alias("_text"), df[key].cast("string").alias("_key"))
@@ -238,21 +322,20 @@ def digest_rows(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _encoder(path, dropout, seed)
         for batch in batches:
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py()
-                if text is None:
-                    out.append((None, None, None))
-                    continue
-                ids = pieces.encode(text, batch.column(2)[i].as_py() or "", variants)
-                packed = array("i", ids).tobytes()
-                back = pieces.decode(ids).encode("utf-8", "replace")
-                out.append((len(ids), sha256(packed).hexdigest(), sha256(back).hexdigest()))
-            n, a, b = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                [key, "n_pieces", "piece_ids_sha256", "decoded_sha256"],
-            )
+            for part, texts, keys in _parts(batch, 1):
+                out: list[tuple] = []
+                for text, ids in zip(texts, pieces.encode_many([t or "" for t in texts], keys, variants), strict=True):
+                    if text is None:
+                        out.append((None, None, None))
+                        continue
+                    packed = array("i", ids).tobytes()
+                    back = pieces.decode(ids).encode("utf-8", "replace")
+                    out.append((len(ids), sha256(packed).hexdigest(), sha256(back).hexdigest()))
+                n, a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
+                    [key, "n_pieces", "piece_ids_sha256", "decoded_sha256"],
+                )
 
     given = df.select(key, text, F.col(key).cast("string").alias("_key"))
     figures = "n_pieces bigint, piece_ids_sha256 string, decoded_sha256 string"

@@ -6,6 +6,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from changewatch.llm import decontaminate, fingerprint, jaccard, pieces, registered, revisits, suffix_dedup, token_counts
@@ -159,8 +160,6 @@ def test_long_texts_are_cut_in_pieces(spark, monkeypatch):
 
 
 def test_deep_shallow_order():
-    import numpy as np
-
     rnd = np.random.default_rng(3)
     rows = rnd.integers(0, 2, (300, 200)).astype(np.uint8)
     rows[50:150, :120] = rows[0, :120]  # long common prefixes
@@ -345,8 +344,9 @@ def test_pieces(spark):
         for key in ("1", "2", ""):
             assert dropped.decode(dropped.encode(t, key, 3)) == t and plain.decode(plain.encode(t, key)) == t
     # both agendas agree, and seeds and documents vary the pieces
-    for unit in texts[-3:] + ["▁understandable"]:
-        assert dropped.merged(unit, 5) == dropped.merged_long(unit, 5)
+    units = ["▁understandable", "▁▁▁a", "x" * 40, "▁été—漢", "a", "▁"]
+    for one, ids in zip(units, dropped.merged_many(units, np.full(len(units), 5, np.int64)), strict=True):
+        assert dropped._spelled(ids) == [b for p in dropped.merged_long(one, 5) for b in ([dropped.ids[p]] if p in dropped.ids else dropped._in_bytes(p))]
     ways = {tuple(pieces.Pieces(pieces.MODEL, 0.2, seed).encode("an understandable sentence about roads")) for seed in range(6)}
     assert len(ways) > 1
     assert len({tuple(dropped.encode("understandable " * 5, str(k), 3)) for k in range(20)}) > 1
