@@ -7,6 +7,7 @@ first, so that the start of the JVM and of the Python workers is not counted.
 
 import json
 import os
+import tempfile
 import time
 
 from changewatch import session
@@ -53,6 +54,7 @@ def main() -> None:
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="16g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="changewatch-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     for name in WARM_UP:

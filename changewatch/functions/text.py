@@ -82,13 +82,23 @@ _NAMED = f"""aggregate(
     it, (acc, n) -> replace(acc, concat('&', n, ';'), element_at({_TABLE}, n)))"""
 
 
+# --- fixed values: code points that browsers give to the numeric references 128 to 159 ---
+WINDOWS_1252 = {
+    0x80: 0x20AC, 0x82: 0x201A, 0x83: 0x0192, 0x84: 0x201E, 0x85: 0x2026, 0x86: 0x2020, 0x87: 0x2021, 0x88: 0x02C6, 0x89: 0x2030,
+    0x8A: 0x0160, 0x8B: 0x2039, 0x8C: 0x0152, 0x8E: 0x017D, 0x91: 0x2018, 0x92: 0x2019, 0x93: 0x201C, 0x94: 0x201D, 0x95: 0x2022,
+    0x96: 0x2013, 0x97: 0x2014, 0x98: 0x02DC, 0x99: 0x2122, 0x9A: 0x0161, 0x9B: 0x203A, 0x9C: 0x0153, 0x9E: 0x017E, 0x9F: 0x0178,
+}
+_C1 = "map(" + ", ".join(f"'{a:08X}', '{b:08X}'" for a, b in WINDOWS_1252.items()) + ")"
+
+
 def _numeric(text: str, prefix: str, digits: str, as_hex: str) -> str:
     """Replace numeric references; "$" and backslash are special in a replacement."""
+    shown = f"coalesce(element_at({_C1}, {as_hex}), {as_hex})"
     return rf"""aggregate(
     filter(array_distinct(regexp_extract_all({text}, r'&#{prefix}({digits});', 1)),
            n -> {as_hex} <> '00000026' AND {as_hex} < '00110000'),
     {text}, (acc, n) -> regexp_replace(acc, concat('&#{prefix}', n, ';'),
-        regexp_replace(decode(unhex({as_hex}), 'UTF-32'), r'([\\$])', r'\\$1')))"""
+        regexp_replace(decode(unhex({shown}), 'UTF-32'), r'([\\$])', r'\\$1')))"""
 
 
 _DECODED = let_sql(
@@ -228,5 +238,6 @@ def is_upcoming(event_date: Column, end_date: Column, status: Column, as_of: Col
 
 
 def as_of_text(as_of: str | None = None) -> Column:
-    """The day of the run as ISO text; today in the session zone if not given."""
-    return F.lit(as_of) if as_of else F.date_format(F.current_date(), "yyyy-MM-dd")
+    """The day of the run as ISO text; today in UTC if not given."""
+    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.lit(as_of) if as_of else F.date_format(utc, "yyyy-MM-dd")

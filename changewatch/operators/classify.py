@@ -104,24 +104,26 @@ def classify_by_function(
 
     ``fn`` gets title, owner, description, infer_status and must return one row per
     input row. Its output is checked: an answer outside the enumerations, or an
-    exception, leaves that record (or batch) unclassified with the error as reason.
+    exception, is an error of that record (``c_error``): the fold then keeps what is
+    stored and the run reports it and tries again. A batch that fails is asked again
+    row by row, so that one bad record does not fail the others.
     """
+    wanted = ["scope", "reasoning", "status"]
 
-    @F.pandas_udf("struct<scope:string,reasoning:string,status:string>")
+    @F.pandas_udf("struct<scope:string,reasoning:string,status:string,error:string>")
     def judged(batch: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(
-            {"scope": None, "reasoning": None, "status": None}, index=batch.index, dtype=object
-        )
+        out = pd.DataFrame({c: None for c in (*wanted, "error")}, index=batch.index, dtype=object)
         asked = batch[batch["title"].notna()]
-        if len(asked):
+        parts = [asked] if len(asked) else []
+        while parts:
+            part = parts.pop()
             try:
-                answers = fn(asked)
-                out.loc[asked.index, ["scope", "reasoning", "status"]] = answers[
-                    ["scope", "reasoning", "status"]
-                ].to_numpy()
-            except Exception as err:  # noqa: BLE001 - one bad batch must not end the run
-                out.loc[asked.index, "scope"] = "unclassified"
-                out.loc[asked.index, "reasoning"] = f"classifier failed: {err}"
+                out.loc[part.index, wanted] = fn(part)[wanted].to_numpy()
+            except Exception as err:  # noqa: BLE001 - one bad record must not end the run
+                if len(part) == 1:
+                    out.loc[part.index, "error"] = f"classifier failed: {err}"
+                else:
+                    parts += [part.iloc[i : i + 1] for i in range(len(part))]
         return out
 
     def classify(df: DataFrame) -> DataFrame:
@@ -132,21 +134,20 @@ def classify_by_function(
             F.col("infer_status"),
         )
         answer = F.col("_answer")
-        ok = answer["scope"].isin(*SCOPES)
+        ok = F.coalesce(answer["scope"].isin(*SCOPES) & answer["reasoning"].isNotNull(), F.lit(False))
+        good = F.col("changed") & ok
         return (
             df.withColumn("_answer", judged(asked))
             .withColumns(
                 {
-                    "c_scope": F.when(F.col("changed"), F.when(ok, answer["scope"]).otherwise("unclassified")),
-                    "c_reasoning": F.when(
-                        F.col("changed"),
-                        F.when(ok & answer["reasoning"].isNotNull(), answer["reasoning"]).otherwise(
-                            "classifier gave no valid answer"
-                        ),
-                    ),
+                    "c_scope": F.when(good, answer["scope"]),
+                    "c_reasoning": F.when(good, answer["reasoning"]),
                     "c_status": F.when(
-                        F.col("changed") & F.col("infer_status") & answer["status"].isin(*STATUSES),
-                        answer["status"],
+                        good & F.col("infer_status") & answer["status"].isin(*STATUSES), answer["status"]
+                    ),
+                    "c_error": F.when(
+                        F.col("changed") & ~ok,
+                        F.coalesce(answer["error"], F.lit("classifier gave no valid answer")),
                     ),
                 }
             )
@@ -200,7 +201,8 @@ def _clock(sentence: Column) -> Column:
 def sentences(html: Column | str) -> Column:
     """Sentences of an HTML fragment, their links kept, as an array."""
     html = F.col(html) if isinstance(html, str) else html
-    blocks = F.regexp_replace(html, r"(?i)</(?:p|li|h[1-6]|div|td|tr)>|<br\s*/?>", "\u0001")
+    lines = F.regexp_replace(html, r"(?i)<br\s*/?>", " ")  # a line break ends no sentence
+    blocks = F.regexp_replace(lines, r"(?i)</(?:p|li|h[1-6]|div|td|tr)>", "\u0001")
     ends = F.regexp_replace(blocks, r"([.!?])(\s+)(<?[A-Z])", "$1\u0001$3")
     # an abbreviated time ends in a full stop too
     whole = F.regexp_replace(ends, r"(?i)([ap]\.m\.)\u0001", "$1 ")
@@ -213,7 +215,8 @@ _KEYWORD = "(?is)" + "|".join(rule.pattern for rule in EVENT_RULES)
 def dated_item(sentence: Column) -> Column:
     """The event a sentence speaks of, NULL if it has no keyword or no date.
 
-    Most sentences have neither, so both are looked for before anything else.
+    Both are looked for in the cleaned text, where entities are decoded and inner tags gone. Only
+    a sentence with a digit, or an entity that may stand for one, is cleaned at all.
     """
 
     def item(t: Column) -> Column:
@@ -224,8 +227,11 @@ def dated_item(sentence: Column) -> Column:
             lambda f: _item(f["text"], f["dates"], f["kind"], sentence),
         )
 
-    speaks = F.regexp_like(sentence, F.lit(_KEYWORD)) & F.regexp_like(sentence, F.lit("[0-9]{4}"))
-    return F.when(speaks, T.let(H.clean_text(sentence), item))
+    def speaking(t: Column) -> Column:
+        speaks = F.regexp_like(t, F.lit(_KEYWORD)) & F.regexp_like(t, F.lit("[0-9]{4}"))
+        return F.when(speaks, item(t))
+
+    return F.when(F.regexp_like(sentence, F.lit("[0-9&]")), T.let(H.clean_text(sentence), speaking))
 
 
 def _item(text: Column, dates: Column, kind: Column, sentence: Column) -> Column:

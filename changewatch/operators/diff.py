@@ -13,7 +13,8 @@ from changewatch.operators import dedupe
 from changewatch.operators.ordered import EVERY, Scan
 from changewatch.session import use_checkpoint_dir
 
-# adds c_scope, c_reasoning and c_status to rows whose ``changed`` is true
+# adds c_scope, c_reasoning and c_status to rows whose ``changed`` is true, and may add
+# c_error: a record whose classification failed keeps its stored scope and status
 Classifier = Callable[[DataFrame], DataFrame]
 
 
@@ -59,6 +60,9 @@ def fold(
     Result: every incoming row as a step (``seq`` >= 0) with ``changed``,
     ``is_new``, ``status_changed`` and ``scope_changed``, and untouched stored rows
     (``seq`` = -1). ``is_final`` marks the row that is the key's new stored state.
+    If the classifier may fail, ``classify_error`` says where it did; the content hash
+    of such a record, and of what follows it unchanged, is NULL, so that the next run
+    takes it as changed and tries again.
     All steps share one shuffle by key: the stored rows join by union.
     """
     kept = ["key", "title", "owner", "areas", "source_url", "raw_status", "content_hash"]
@@ -85,6 +89,9 @@ def fold(
         & content_changed(F.col("_prev"), F.col("_prev.content_hash"), F.col("content_hash")),
     )
     judged = classify(seen)
+    may_fail = "c_error" in judged.columns
+    if not may_fail:
+        judged = judged.withColumn("c_error", F.lit(None).cast("string"))
     if scan.hot:
         # blocks read this twice; a costly classifier must run once
         use_checkpoint_dir(judged.sparkSession)
@@ -94,15 +101,24 @@ def fold(
         judged,
         {
             "_now_scope": F.when(is_stored, F.col("_scope")).when(
-                F.col("changed"),
+                F.col("changed") & F.col("c_error").isNull(),
                 F.struct(F.col("c_scope").alias("scope"), F.col("c_reasoning").alias("reasoning")),
             ),
             "status": F.when(is_stored, F.col("_status"))
             .when(~F.col("infer_status"), F.col("_scraped"))
-            .when(F.col("changed"), F.coalesce("c_status", "_scraped")),
+            .when(F.col("changed") & F.col("c_error").isNull(), F.coalesce("c_status", "_scraped")),
             "_first_stored": F.when(is_stored, F.col("inserted_at")),
+            "_untold": F.when(is_stored, False).when(F.col("changed"), F.col("c_error").isNotNull()),
         },
-    ).withColumn("scope", F.col("_now_scope.scope"))
+    )
+    state = state.withColumns(
+        {
+            # a new record of which nothing is known yet
+            "scope": F.coalesce("_now_scope.scope", F.when(F.col("_untold"), F.lit("unclassified"))),
+            "status": F.coalesce("status", F.when(F.col("_untold"), F.col("_scraped"))),
+            "content_hash": F.when(~F.coalesce("_untold", F.lit(False)), F.col("content_hash")),
+        }
+    )
     compared = scan.is_last(scan.previous(state, ["status", "scope"], "_before"), "is_final")
 
     known = ~is_stored & F.col("_before").isNotNull()
@@ -118,10 +134,11 @@ def fold(
                 "inserted_at": F.coalesce("_first_stored", now),
                 "last_seen_at": F.when(is_stored, F.col("last_seen_at")).otherwise(now),
                 "updated_at": F.when(is_stored, F.col("updated_at")).otherwise(now),
+                **({"classify_error": F.col("c_error")} if may_fail else {}),
             }
         ).drop(
             "_prev", "_before", "_scope", "_status", "_scraped", "_now_scope", "_first_stored",
-            "c_scope", "c_reasoning", "c_status",
+            "c_scope", "c_reasoning", "c_status", "c_error", "_untold",
         )
     ).filter((F.col("seq") >= 0) | F.col("is_final"))
 

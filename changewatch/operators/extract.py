@@ -38,6 +38,20 @@ def parsed(landed: DataFrame, specs: tuple[SourceSpec, ...]) -> DataFrame:
     )
 
 
+def unreadable(pages: DataFrame, specs: tuple[SourceSpec, ...]) -> DataFrame:
+    """Pages of :func:`parsed` from which nothing could be read: source, kind, url."""
+    feeds = [s.name for s in specs if s.layout == "feed"]
+    no_feed = F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>").isNull()
+    is_feed = F.col("source").isin(feeds) & (F.col("kind") == "listing")
+    return pages.filter(F.when(is_feed, no_feed).otherwise(F.col("m").isNull())).select("source", "kind", "url")
+
+
+def unknown(landed: DataFrame, specs: tuple[SourceSpec, ...]) -> DataFrame:
+    """Landed rows that no specification reads: source, kind, url."""
+    read = F.col("source").isin([s.name for s in specs]) & F.col("kind").isin("listing", "detail")
+    return landed.filter(~F.coalesce(read, F.lit(False))).select("source", "kind", "url")
+
+
 def _matches(pages: DataFrame, rules: tuple[Rule, ...]) -> Column:
     return F.col("m") if "m" in pages.columns else select_all("body", rules)
 
@@ -124,7 +138,8 @@ def studies(pages: DataFrame, spec: SourceSpec) -> DataFrame:
     """The records a source lists, each once, with their first-seen position."""
     rows = listing_rows(pages, spec).withColumn("pos", position())
     if spec.layout == "table":
-        fresh = dedupe.until_repeat(rows, pages)
+        # a page that could not be read is no sign that the listing has ended
+        fresh = dedupe.until_repeat(rows, pages.filter("m is not null") if "m" in pages.columns else pages)
         merged = dedupe.merge_by_title(fresh, ["pos"]).withColumnRenamed("first_pos", "pos")
     else:
         merged = dedupe.first_seen(rows, ["source", "source_url"], ["pos"]).withColumn(
@@ -184,12 +199,14 @@ def details(pages: DataFrame, spec: SourceSpec, hash_fallback: bool = True) -> D
     """Description, block HTML, document links and content hash of detail pages.
 
     ``hash_fallback``: a page with nothing to hash is hashed by its fallback text,
-    so that later edits show; False hashes the empty text.
+    so that later edits show; False hashes the empty text. A page that could not be
+    read has NULL everywhere.
     """
     found = pages.select("source", "url", _matches(pages, spec.detail).alias("m"))
     picked = found.select(
         "source",
         "url",
+        F.col("m").isNotNull().alias("readable"),
         of_rule("m", "block").alias("blocks"),
         document_links(of_rule("m", "link"), spec).alias("document_links"),
         first_value("m", "heading", "text").alias("heading"),
@@ -205,6 +222,7 @@ def details(pages: DataFrame, spec: SourceSpec, hash_fallback: bool = True) -> D
     described = picked.select(
         "source",
         "url",
+        "readable",
         F.coalesce(T.blank_to_null(texts), fallback).alias("description"),
         html.alias("engagement_html"),
         "document_links",
@@ -222,7 +240,8 @@ def details(pages: DataFrame, spec: SourceSpec, hash_fallback: bool = True) -> D
         "description",
         "engagement_html",
         "document_links",
-        T.content_hash(hashed, F.col("document_links") if spec.hash_links else None).alias(
-            "content_hash"
-        ),
+        # an unreadable page has no hash, not that of an empty text
+        F.when(
+            F.col("readable"), T.content_hash(hashed, F.col("document_links") if spec.hash_links else None)
+        ).alias("content_hash"),
     )

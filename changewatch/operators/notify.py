@@ -9,19 +9,21 @@ from changewatch.functions import text as T
 from changewatch.model import MESSAGE_FIELDS, MESSAGES_PER_PAYLOAD
 from changewatch.operators.ordered import EVERY, ranked
 
-# --- fixed values: message kinds in display order, and their colours ----------------
+# --- fixed values: message kinds in display order, their titles and field names -----
 KINDS = ("new", "status", "scope", "event", "documents")
-COLOURS = {
-    "new": 0x2ECC71,
-    "status": 0xF1C40F,
-    "scope": 0x3498DB,
-    "event": 0xE67E22,
-    "documents": 0x9B59B6,
+TITLES = {
+    "new": "NEW: ",
+    "status": "UPDATED: ",
+    "scope": "UPDATED: ",
+    "event": "NEW: Public Engagement Announced for ",
+    "documents": "NEW: Documents Published for ",
 }
+STUDY, AREAS, SUMMARY, STATUS = "Study", "Municipalities", "Summary", "Status"
+TYPE, DATE, LOCATION, NOTES, DOCUMENTS = "Type", "Date", "Location", "Notes", "Documents"
 
 STEP = ["study_key", "seq"]
-# documents listed in one message; a longer list continues in a further message
-DOCUMENTS_PER_MESSAGE = 1000
+# lines that are joined in one step; the joined parts then make one list, of any length
+LINES = 1000
 
 
 def _is(change: Column, to: str) -> Column:
@@ -71,35 +73,33 @@ def _message(kind: str, title: Column, url: Column, fields: Column, item: Column
         (F.shiftleft(F.lit(KINDS.index(kind)).cast("bigint"), 58) + (F.lit(0) if item is None else item)).alias("place"),
         title.alias("title"),
         url.alias("url"),
-        F.lit(COLOURS[kind]).alias("color"),
         fields.alias("fields"),
     )
 
 
 def _about() -> list[Column]:
-    return [_field("Study", F.col("title")), _field("Municipalities", T.join_areas("municipalities"))]
+    return [_field(STUDY, F.col("title")), _field(AREAS, T.join_areas("municipalities"))]
 
 
 def change_messages(noted: DataFrame) -> DataFrame:
     """New-study, status-change and scope-change messages of each difference."""
-    summary = _field("Summary", F.col("scope_reasoning"))
+    summary = _field(SUMMARY, F.col("scope_reasoning"))
     status = F.concat(
         T.format_status(F.col("status_changed.from")), F.lit(" → "), T.format_status(F.col("status_changed.to"))
     )
-    updated = F.concat(F.lit("UPDATED: "), "title")
     url = F.col("source_url")
     candidates = F.array(
         F.when(
             F.col("is_new") & (F.col("scope") == "in_scope"),
-            _message("new", F.concat(F.lit("NEW: "), "title"), url, _fields(*_about(), summary)),
+            _message("new", F.concat(F.lit(TITLES["new"]), "title"), url, _fields(*_about(), summary)),
         ),
         F.when(
             ~F.col("is_new") & F.col("status_changed").isNotNull() & F.col("relevant"),
-            _message("status", updated, url, _fields(*_about(), _field("Status", status, True))),
+            _message("status", F.concat(F.lit(TITLES["status"]), "title"), url, _fields(*_about(), _field(STATUS, status, True))),
         ),
         F.when(
             _is(F.col("scope_changed"), "in_scope"),
-            _message("scope", updated, url, _fields(*_about(), summary)),
+            _message("scope", F.concat(F.lit(TITLES["scope"]), "title"), url, _fields(*_about(), summary)),
         ),
     )
     return noted.select(
@@ -121,14 +121,14 @@ def event_messages(noted: DataFrame, events: DataFrame, as_of: Column) -> DataFr
 
     message = _message(
         "event",
-        F.concat(F.lit("NEW: Public Engagement Announced for "), "study"),
+        F.concat(F.lit(TITLES["event"]), "study"),
         F.coalesce("url", "source_url"),
         _fields(
-            _field("Study", F.col("study")),
-            _field("Type", T.format_event_type("type"), True),
-            _field("Date", T.format_date_range("event_date", "end_date"), True),
-            given("Location", "location", True),
-            given("Notes", "notes", False),
+            _field(STUDY, F.col("study")),
+            _field(TYPE, T.format_event_type("type"), True),
+            _field(DATE, T.format_date_range("event_date", "end_date"), True),
+            given(LOCATION, "location", True),
+            given(NOTES, "notes", False),
         ),
         F.col("ord").cast("bigint"),
     )
@@ -136,9 +136,12 @@ def event_messages(noted: DataFrame, events: DataFrame, as_of: Column) -> DataFr
 
 
 def listed_documents(
-    documents: DataFrame, keys: list[str], per_part: int = DOCUMENTS_PER_MESSAGE, every: int = EVERY
+    documents: DataFrame, keys: list[str], per_part: int = LINES, every: int = EVERY
 ) -> DataFrame:
-    """Document labels joined by line in order of ``ord``, in parts of bounded size."""
+    """Document labels joined by line in order of ``ord``: one list per key, whatever its length.
+
+    Lines are joined in parts of ``per_part``, then the parts, so that no task sorts all lines of a key.
+    """
     labelled = documents.select(
         *keys, "ord", T.document_label(F.col("title"), F.col("url"), F.col("published_label")).alias("label")
     )
@@ -147,24 +150,26 @@ def listed_documents(
         placed.withColumn("part", F.floor((F.col("_no") - 1) / per_part).cast("bigint"))
         .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(F.struct("_no", "label"))).alias("_l"))
-        .select(*keys, "part", F.array_join(F.transform("_l", lambda x: x["label"]), "\n").alias("documents"))
+        .select(*keys, "part", F.array_join(F.transform("_l", lambda x: x["label"]), "\n").alias("_text"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("part", "_text"))).alias("_p"))
+        .select(*keys, F.array_join(F.transform("_p", lambda x: x["_text"]), "\n").alias("documents"))
     )
 
 
 def document_messages(
-    noted: DataFrame, documents: DataFrame, per_part: int = DOCUMENTS_PER_MESSAGE, every: int = EVERY
+    noted: DataFrame, documents: DataFrame, per_part: int = LINES, every: int = EVERY
 ) -> DataFrame:
-    """The list of a study's new documents."""
+    """The list of a study's new documents: one message."""
     studies = noted.filter(
         F.col("relevant") & ((F.col("status") != "completed") | F.col("newly_completed"))
     ).select(*STEP, F.col("title").alias("study"), "source_url")
     listed = listed_documents(documents, STEP, per_part, every).join(studies, STEP)
     message = _message(
         "documents",
-        F.concat(F.lit("NEW: Documents Published for "), "study"),
+        F.concat(F.lit(TITLES["documents"]), "study"),
         F.col("source_url"),
-        _fields(_field("Study", F.col("study")), _field("Documents", F.col("documents"))),
-        F.col("part"),
+        _fields(_field(STUDY, F.col("study")), _field(DOCUMENTS, F.col("documents"))),
     )
     return listed.select(*STEP, message.alias("m")).select(*STEP, "m.*")
 
@@ -174,7 +179,7 @@ def messages(
     events: DataFrame,
     documents: DataFrame,
     as_of: Column,
-    per_part: int = DOCUMENTS_PER_MESSAGE,
+    per_part: int = LINES,
     every: int = EVERY,
 ) -> DataFrame:
     """All messages; ``place`` orders those of one step.
@@ -206,7 +211,7 @@ def payloads(
     A payload is a group of at most ``size`` rows, however many messages a study has.
     """
     placed = ranked(all_messages, STEP, "place", "message_no", every)
-    message = F.struct("message_no", "kind", "title", "url", "color", "fields")
+    message = F.struct("message_no", "kind", "title", "url", "fields")
     packed = (
         placed.withColumn("chunk_no", F.floor((F.col("message_no") - 1) / size).cast("bigint"))
         .groupBy(*STEP, "chunk_no")

@@ -36,12 +36,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def build_pages(rows: DataFrame, key: str, piece: Column, before: str, after: str, source: str) -> DataFrame:
     """Landed pages of ``ROWS_PER_PAGE`` consecutive keys each, one piece per row."""
     page_no = F.floor(F.col(key) / ROWS_PER_PAGE).cast("int")
-    # parsing is worth a core per partition, however few bytes the pages have;
-    # a given number of partitions is left alone by AQE
-    cores = rows.sparkSession.sparkContext.defaultParallelism
     return (
         rows.select(page_no.alias("page_no"), key, piece.alias("piece"))
-        .repartition(2 * cores, "page_no")
         .groupBy("page_no")
         .agg(F.array_sort(F.collect_list(F.struct(key, "piece"))).alias("p"))
         .select(

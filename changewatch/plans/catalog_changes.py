@@ -12,11 +12,11 @@ from changewatch.functions import text as T
 from changewatch.model import SNAPSHOT
 from changewatch.operators import classify as C
 from changewatch.operators import diff, notify, quality
-from changewatch.operators.classify import Keyword
+from changewatch.operators.classify import Keyword, classify_by_function
 from changewatch.plans.catalog import ROWS_PER_PAGE, query, table
 from changewatch.plans.catalog_extract import titled
 from changewatch.plans.run import Settings, run
-from changewatch.plans.state import State
+from changewatch.plans.state import QUARANTINE, State
 from changewatch.session import use_checkpoint_dir
 from changewatch.sources.registry import OAKVILLE
 
@@ -323,7 +323,7 @@ SQL_LABEL = "'[' || coalesce(title, url) || '](' || url || ')' || CASE WHEN publ
 
 
 @query(
-    f"""WITH {SQL_DOCUMENTS} SELECT study_key, CAST(0 AS BIGINT) AS part, string_agg({SQL_LABEL}, chr(10) ORDER BY rank, pos) AS documents
+    f"""WITH {SQL_DOCUMENTS} SELECT study_key, string_agg({SQL_LABEL}, chr(10) ORDER BY rank, pos) AS documents
         FROM merged GROUP BY study_key"""
 )
 def listed_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -577,7 +577,7 @@ def role_mentions(spark: SparkSession, sf: str) -> DataFrame:
 def landed_documents(spark: SparkSession, sf: str, day: int) -> DataFrame:
     """Documents as a card listing with one detail page each; some pages change by day."""
     # the given table is one file; landed pages are many
-    docs = table(spark, sf, "documents").repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
+    docs = table(spark, sf, "documents").repartition("doc_id")
     edited = F.when((F.lit(day) > 1) & (F.col("doc_id") % 5 == 0), F.lit(" edited")).otherwise("")
     safe = F.regexp_replace(F.col("text"), "[&<>]", " ")
     details = docs.select(
@@ -648,3 +648,63 @@ def run_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = two_runs(spark, sf)
     outcome = F.when(F.col("is_new"), "new").when(F.col("changed"), "changed").otherwise("unchanged")
     return rows.groupBy(F.lit("oakville").alias("source"), outcome.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _one_run(spark: SparkSession, landed: DataFrame, judge=None) -> State:
+    root = f"{use_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    settings = Settings(specs=(OAKVILLE,), classify=judge or classify, buckets=8)
+    return run(landed, root, "2024-01-01", datetime(2024, 1, 1, tzinfo=timezone.utc), settings)
+
+
+@query(
+    """SELECT 'oakville' AS source, 'record' AS stage, 'unreadable page' AS error, 'https://www.oakville.ca/d/' || doc_id AS url
+         FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 7 = 0
+       UNION ALL SELECT 'oakville', 'record', 'no detail page', 'https://www.oakville.ca/d/' || doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 7 = 1
+       UNION ALL SELECT 'oakville', 'landing', 'no source reads this kind: picture', 'https://www.oakville.ca/d/' || doc_id FROM documents WHERE doc_id % 7 = 2
+       UNION ALL SELECT 'elsewhere', 'landing', 'no source reads this kind: detail', 'https://www.oakville.ca/d/' || doc_id FROM documents WHERE doc_id % 7 = 3
+       UNION ALL SELECT DISTINCT 'oakville', 'listing', 'unreadable page', 'x' || doc_id // 100 FROM documents"""
+)
+def quarantined_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run reports of pages it cannot use: unreadable, missing, of no source."""
+    landed = landed_documents(spark, sf, 1)
+    part = F.pmod(F.regexp_extract("url", "/d/([0-9]+)$", 1).try_cast("bigint"), F.lit(7))
+    detail = F.col("kind") == "detail"
+    pages = landed.filter(~detail | (part != 1)).withColumn("body", F.when(~detail | (part != 0), F.col("body")))
+    strays = landed.filter(detail & part.isin(2, 3)).withColumns({
+        "kind": F.when(part == 2, "picture").otherwise("detail"), "source": F.when(part == 2, OAKVILLE.name).otherwise("elsewhere")})
+    blank = F.lit(None).cast("string")
+    unread = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).cast("int").alias("page_no")).distinct().select(
+        F.lit(OAKVILLE.name).alias("source"), F.lit("listing").alias("kind"), "page_no", F.concat(F.lit("x"), "page_no").alias("url"), blank.alias("body"))
+    state = _one_run(spark, pages.unionByName(strays).unionByName(unread))
+    return state.table("quarantine", QUARANTINE).select("source", "stage", "error", "url")
+
+
+@query(
+    """SELECT 'Study ' || doc_id AS title, CASE WHEN doc_id % 3 = 0 THEN 'unclassified' ELSE 'in_scope' END AS scope,
+              doc_id % 3 <> 0 AS has_hash, CASE WHEN doc_id % 3 = 0 THEN 'classifier gave no valid answer' END AS error
+       FROM documents WHERE doc_id % 4 <> 0"""
+)
+def failed_classifications(spark: SparkSession, sf: str) -> DataFrame:
+    """A plug-in that gives no valid answer for some records: they are reported and stay to be tried again."""
+
+    def answer(batch):
+        number = batch["title"].str.extract(r"([0-9]+)")[0].astype(int)
+        out = batch[["title"]].copy()
+        out["scope"] = ["none of them" if n % 3 == 0 else "in_scope" for n in number]
+        out["reasoning"], out["status"] = "asked", None
+        return out
+
+    state = _one_run(spark, landed_documents(spark, sf, 1), classify_by_function(answer))
+    failed = state.table("quarantine", QUARANTINE).filter("stage = 'classify'").select(F.col("study_key").alias("key"), "error")
+    return state.snapshot().join(failed, "key", "left").select("title", "scope", F.col("content_hash").isNotNull().alias("has_hash"), "error")
+
+
+@query(
+    """SELECT 'studies' AS metric, 'oakville' AS source, CAST(NULL AS VARCHAR) AS category, count(*) AS n FROM documents WHERE doc_id % 4 <> 0
+       UNION ALL SELECT 'outcome', 'oakville', 'new', count(*) FROM documents WHERE doc_id % 4 <> 0"""
+)
+def run_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts that a run writes."""
+    state = _one_run(spark, landed_documents(spark, sf, 1))
+    rows = state.spark.read.parquet(f"{state.root}/metrics/run={state.run}")
+    return rows.filter("metric in ('studies', 'outcome')").groupBy("metric", "source", "category").agg(F.sum("n").alias("n"))

@@ -32,7 +32,6 @@ class Settings:
     hash_fallback: bool = True
     split_sources: bool = False  # key by source as well as owner and title
     every: int = EVERY
-    per_part: int = notify.DOCUMENTS_PER_MESSAGE
 
 
 def records(pages: DataFrame, settings: Settings, buckets: int) -> DataFrame:
@@ -58,7 +57,7 @@ def records(pages: DataFrame, settings: Settings, buckets: int) -> DataFrame:
     # a page landed twice counts once
     details = first_seen(
         reduce(DataFrame.unionByName, described), ["source", "url"], ["content_hash"]
-    ).withColumnRenamed("url", "source_url")
+    ).withColumnRenamed("url", "source_url").drop("readable").withColumn("landed", F.lit(True))
     joined = studies.join(details, ["source", "source_url"], "left").join(
         owners(pages.sparkSession).select(F.col("name").alias("owner"), "owner_id"), "owner", "left"
     )
@@ -68,7 +67,7 @@ def records(pages: DataFrame, settings: Settings, buckets: int) -> DataFrame:
         key.alias("key"),
         bucket_of(key, buckets).alias("bucket"),
         # sources in list order, then page and row
-        (F.shiftleft(F.col("source_ord").cast("bigint"), 56) + F.col("pos")).alias("seq"),
+        sequence(F.col("source_ord"), F.col("pos")).alias("seq"),
         *extract.STUDY_COLUMNS[:-1],
         "infer_status",
         "description",
@@ -76,11 +75,20 @@ def records(pages: DataFrame, settings: Settings, buckets: int) -> DataFrame:
         "document_links",
         "content_hash",
         F.when(F.col("owner_id").isNull(), "unknown owner")
-        .when(F.col("content_hash").isNull(), "no detail page")
+        .when(F.col("landed").isNull(), "no detail page")
+        .when(F.col("content_hash").isNull(), "unreadable page")
         .alias("error"),
     )
 
 
+def sequence(source_ord: Column, pos: Column) -> Column:
+    """Source order, page and row as one bigint; a page number that does not fit is an error."""
+    fits = (source_ord < 128) & (pos < (1 << 56))
+    return F.when(fits, F.shiftleft(source_ord.cast("bigint"), 56) + pos).otherwise(
+        F.raise_error(F.lit("a page number of 16777216 or more, or over 128 sources: seq cannot hold it"))
+    )
+
+
 def run(
     landed: DataFrame,
     state_dir: str,
@@ -168,13 +176,18 @@ def run(
         told = diff.newly_inserted(events, new_events, ["study_key", "fingerprint", "seq"])
     diffs = steps.withColumnsRenamed({"key": "study_key", "areas": "municipalities"})
     messages = state.write(
-        notify.messages(diffs, told, new_documents, as_of_text(as_of), settings.per_part, settings.every),
+        notify.messages(diffs, told, new_documents, as_of_text(as_of), every=settings.every),
         "messages", no,
     )
     state.write(notify.payloads(messages, every=settings.every), "outbox", no)
 
     # 5. report
-    state.write(quarantine(staged, found, at), "quarantine", no)
+    state.write(
+        quarantine(staged, found, at)
+        .unionByName(unread_pages(pages, landed, settings.specs, at))
+        .unionByName(unclassified(steps, at)),
+        "quarantine", no,
+    )
     state.write(metrics(staged, steps, new_events, new_documents), "metrics", no)
     state.commit(no, touched, batch_id)
     return state
@@ -200,6 +213,28 @@ def quarantine(staged: DataFrame, found: DataFrame, at: Column) -> DataFrame:
     return unusable.unionByName(failed).unionByName(invalid).withColumn("at", at)
 
 
+def unread_pages(pages: DataFrame, landed: DataFrame, specs: tuple[SourceSpec, ...], at: Column) -> DataFrame:
+    """Listing pages that could not be read, and landed rows that belong to no source."""
+    none = F.lit(None).cast("string").alias("study_key"), F.lit(None).cast("bigint").alias("seq")
+    bad = extract.unreadable(pages, specs).filter("kind = 'listing'").select(
+        "source", *none, "url", F.lit("listing").alias("stage"), F.lit("unreadable page").alias("error")
+    )
+    stray = extract.unknown(landed, specs).select(
+        "source", *none, "url", F.lit("landing").alias("stage"),
+        F.concat(F.lit("no source reads this kind: "), F.coalesce("kind", F.lit("none"))).alias("error"),
+    )
+    return bad.unionByName(stray).withColumn("at", at)
+
+
+def unclassified(steps: DataFrame, at: Column) -> DataFrame:
+    """Records whose classification failed; their stored scope and status stay."""
+    error = F.col("classify_error") if "classify_error" in steps.columns else F.lit(None).cast("string")
+    return steps.select(
+        "source", F.col("key").alias("study_key"), "seq", F.col("source_url").alias("url"),
+        F.lit("classify").alias("stage"), error.alias("error"),
+    ).filter("error is not null").withColumn("at", at)
+
+
 def metrics(staged: DataFrame, steps: DataFrame, events: DataFrame, documents: DataFrame) -> DataFrame:
     """Counts of a run: ``metric, source, study_key, category, n``."""
     none = F.lit(None).cast("string")

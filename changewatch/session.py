@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,15 +29,39 @@ def build(app: str = "changewatch", master: str | None = None, **extra: str) ->
         builder = builder.master(master)
     for key, value in {**SETTINGS, **{k.replace("__", "."): v for k, v in extra.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, for functions that run there.
+
+    Spark's own file server hands out the archive, so no folder has to be shared. Not needed
+    where the package is installed on all nodes.
+    """
+    if getattr(spark.sparkContext, "_changewatch_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+    path = os.path.join(tempfile.mkdtemp(prefix="changewatch-"), "changewatch.zip")
+    with open(path, "wb") as f:  # on the driver, from where it is sent
+        f.write(held.getvalue())
+    spark.sparkContext.addPyFile(path)
+    spark.sparkContext._changewatch_shipped = True
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """Make ``DataFrame.checkpoint`` usable and return its folder.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``. Only where that
-    is unset one is chosen: a fresh local folder in local mode (tests), else a
-    folder of the warehouse, which executors share.
+    is unset a folder of the warehouse is taken, which executors share.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -42,9 +69,6 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if context.master.startswith("local"):
-            named = tempfile.mkdtemp(prefix="changewatch-ckpt-")
-        else:
-            named = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        named = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     context.setCheckpointDir(named)
     return context.getCheckpointDir()

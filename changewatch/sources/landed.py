@@ -15,14 +15,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LANDED).parquet(path)
 
 
-def read_pages_stream(
-    spark: SparkSession, path: str, max_files: int | None = None
-) -> DataFrame:
+def read_pages_stream(spark: SparkSession, path: str) -> DataFrame:
     """Streaming twin of :func:`read_pages`: each landed file is read once."""
-    reader = spark.readStream.schema(LANDED)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return spark.readStream.schema(LANDED).parquet(path)
 
 
 def feed_items(df: DataFrame, json: Column | str, keep: list[str], fields: tuple[str, ...]) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,6 +17,7 @@ def spark():
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__driver__memory="4g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="changewatch-tests-"),
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

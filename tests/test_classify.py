@@ -28,18 +28,31 @@ def test_function_sees_changed_rows_only_and_is_checked(spark):
         return pd.DataFrame({"scope": ["bad" if t == "Budget" else "in_scope" for t in batch["title"]],
                              "reasoning": batch["title"].str.upper(), "status": "completed"}, index=batch.index)
 
-    got = {r.title: (r.c_scope, r.c_reasoning, r.c_status) for r in C.classify_by_function(judge)(frame(spark)).collect()}
+    rows = C.classify_by_function(judge)(frame(spark)).collect()
+    got = {r.title: (r.c_scope, r.c_reasoning, r.c_status) for r in rows}
     assert got["Speers Road Widening Study"] == ("in_scope", "SPEERS ROAD WIDENING STUDY", "completed")
     assert got["Main Street Watermain"][2] is None
-    assert got["Budget"][0] == "unclassified" and got["Roundabout"] == (None, None, None)
+    assert got["Budget"] == (None, None, None) and got["Roundabout"] == (None, None, None)
+    assert {r.title: r.c_error for r in rows if r.c_error} == {"Budget": "classifier gave no valid answer"}
 
 
-def test_function_failure_leaves_unclassified(spark):
+def test_one_failing_record_does_not_fail_its_batch(spark):
     def judge(batch):
-        raise ValueError("down")
+        if "Budget" in set(batch["title"]):
+            raise ValueError("down")
+        return pd.DataFrame({"scope": "in_scope", "reasoning": "r", "status": None}, index=batch.index)
 
-    rows = C.classify_by_function(judge)(frame(spark)).filter("changed").collect()
-    assert {r.c_scope for r in rows} == {"unclassified"} and "down" in rows[0].c_reasoning
+    rows = {r.title: r for r in C.classify_by_function(judge)(frame(spark).coalesce(1)).filter("changed").collect()}
+    assert rows["Budget"].c_scope is None and "down" in rows["Budget"].c_error
+    assert {r.c_scope for t, r in rows.items() if t != "Budget"} == {"in_scope"}
+
+
+def test_event_rules_see_cleaned_text(spark):
+    pages = ["<p>An open&nbsp;house is planned for June 5, 2025.</p>", "<p>An open <b>house</b> is planned for June 5, 2025.</p>",
+             "<p>A public information<br>centre is planned for June&#32;5, 202&#53;.</p>", "<p>An open house is planned.</p>"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, h string")
+    got = {r.i: [(x.type, x.event_date) for x in r.e] for r in df.select("i", C.items_by_rules("h").alias("e")).collect()}
+    assert got == {0: [("open_house", "2025-06-05")], 1: [("open_house", "2025-06-05")], 2: [("open_house", "2025-06-05")], 3: []}
 
 
 def test_items_by_rules(spark):

@@ -50,7 +50,7 @@ CASES = {
 def result(spark):
     diffs, events, docs = [], [], []
     for name, (x, evs, n, _, _) in CASES.items():
-        diffs.append((name, 1, ["Oakville", "Milton"], "Test Study", "https://example.com/study", x["status"], x["scope"], "because",
+        diffs.append((name, 1, ["Oakville", "Milton"], "Ninth Line Bridge", "https://town.example.org/bridge", x["status"], x["scope"], "because",
                       x["new"], x["st"], x["sc"]))
         events += [(name, 1, i, "open_house", v["start"], v["end"], None, None, None) for i, v in enumerate(evs)]
         docs += [(name, 1, i, f"Doc{i}", f"u{i}", "May" if i else None) for i in range(n)]
@@ -69,14 +69,14 @@ def test_rules(result, name):
 
 def test_message_content(result):
     by = {m.kind: m for m in result[1]["all in order"].messages}
-    study = ("Study", "Test Study", False)
-    assert by["status"].title == "UPDATED: Test Study" and by["status"].color == 0xF1C40F
+    study = ("Study", "Ninth Line Bridge", False)
+    assert by["status"].title == "UPDATED: Ninth Line Bridge"
     assert [tuple(f) for f in by["status"].fields] == [study, ("Municipalities", "Oakville, Milton", False), ("Status", "Unknown → On Going", True)]
     assert [tuple(f) for f in by["event"].fields] == [study, ("Type", "Open House / PIC", True), ("Date", "January 1, 2999", True)]
-    assert by["event"].title == "NEW: Public Engagement Announced for Test Study" and by["event"].url == "https://example.com/study"
+    assert by["event"].title == "NEW: Public Engagement Announced for Ninth Line Bridge" and by["event"].url == "https://town.example.org/bridge"
     assert tuple(by["documents"].fields[1]) == ("Documents", "[Doc0](u0)\n[Doc1](u1) — May", False)
     new = result[1]["new in scope"].messages[0]
-    assert new.title == "NEW: Test Study" and tuple(new.fields[2]) == ("Summary", "because", False)
+    assert new.title == "NEW: Ninth Line Bridge" and tuple(new.fields[2]) == ("Summary", "because", False)
 
 
 @pytest.mark.parametrize("every", [3, 10**6])
@@ -86,9 +86,9 @@ def test_chunks_and_long_document_lists(spark, every):
     docs = spark.createDataFrame([("s", 1, i, f"D{i}", f"u{i}", None) for i in range(25)], DOC)
     m = notify.messages(diffs, events, docs, F.lit("2024-05-05"), per_part=10, every=every)
     rows = notify.payloads(m, every=every).orderBy("chunk_no").collect()
-    assert [len(r.messages) for r in rows] == [10, 10, 7]
+    assert [len(r.messages) for r in rows] == [10, 10, 5]
     assert [r.mention for r in rows] == [True, False, False]
-    assert [x.message_no for r in rows for x in r.messages] == list(range(1, 28))
+    assert [x.message_no for r in rows for x in r.messages] == list(range(1, 26))
     text = "\n".join(x.fields[1].value for r in rows for x in r.messages if x.kind == "documents")
     assert text == "\n".join(f"[D{i}](u{i})" for i in range(25))
     event = rows[0].messages[1]

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from changewatch.plans import catalog
 from check import TABLES, cell
 
 FOLDER = "/root/testdata/sf0.001"
@@ -20,8 +21,9 @@ def db():
     return con
 
 
-# run_counts is an aggregate over two_runs; one of the two long queries is enough here
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"run_counts"}))
+# run_counts is an aggregate over two_runs; one of the two long queries is enough here.
+# Queries of the optional subpackage are tested in tests/llm.
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"run_counts"}))
 def test_query_equals_sql(spark, db, name):
     df = entry.queries()[name](spark, FOLDER)
     rows = df.collect()

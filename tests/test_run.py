@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,52 @@ def test_stream_applies_each_batch_once(spark, tmp_path):
     landed(spark, doc=True).coalesce(1).write.mode("append").parquet(inbox)
     watch(spark, inbox, root, ck, "2025-05-02", at(2), s).awaitTermination(300)
     assert State(spark, root, 2).run == 2 and State(spark, root, 2).documents().count() == 1
+
+
+def quarantined(state):
+    rows = state.table("quarantine", QUARANTINE).filter(F.col("run") == state.run).collect()
+    return sorted((r.source, r.stage, r.error) for r in rows)
+
+
+def test_unreadable_pages_change_nothing_and_are_reported(spark, tmp_path, monkeypatch):
+    root, s = str(tmp_path / "state"), Settings(specs=(HALTON_REGION, OAKVILLE), buckets=2)
+    first = run(landed(spark), root, "2025-05-01", at(1), s)
+    before = {r.title: r for r in first.snapshot().collect()}
+    # a NULL body cannot be read: the middle page of a listing, and a detail page
+    broken = landed(spark).filter("source in ('halton_region', 'oakville')").withColumn(
+        "body", F.when((F.col("url") != "l2") & ~F.col("url").endswith("/speers"), F.col("body")))
+    tail = '<table class="hal-generic-smart-search-results-table"><tbody><tr><td><a href="/late">Late Road Study</a></td><td>Milton</td><td>On-going</td></tr></tbody></table>'
+    extra = spark.createDataFrame([("halton_region", "listing", 3, "l3", tail),
+                                   ("halton_region", "detail", 0, HAL + "/late", '<div class="hal-ea-studies-detail"><div class="hal-ea-studies-detail-bottom"><div class="ck-text">Road widening</div></div></div>'),
+                                   ("nowhere", "listing", 1, "x", "<p>"), ("oakville", "picture", 1, "y", "<p>")], LANDED)
+    state = run(broken.unionByName(extra), root, "2025-05-02", at(2), s)
+    after = {r.title: r for r in state.snapshot().collect()}
+    assert "Late Road Study" in after  # an unreadable page does not end a listing
+    assert after["Speers Road Study"].content_hash == before["Speers Road Study"].content_hash
+    assert after["Speers Road Study"].last_seen_at.day == 1
+    assert quarantined(state) == sorted([
+        ("halton_region", "listing", "unreadable page"), ("halton_region", "record", "no detail page"),
+        ("oakville", "record", "unreadable page"), ("nowhere", "landing", "no source reads this kind: listing"),
+        ("oakville", "landing", "no source reads this kind: picture")])
+
+
+def test_failed_classification_keeps_scope_and_is_retried(spark, tmp_path):
+    root = str(tmp_path / "state")
+
+    def judge(scope):
+        def answer(batch):
+            if scope is None:
+                raise ValueError("down")
+            return pd.DataFrame({"scope": scope, "reasoning": "r", "status": "on_going"}, index=batch.index)
+
+        return Settings(specs=(OAKVILLE,), buckets=2, classify=C.classify_by_function(answer))
+
+    oak = F.col("source") == "oakville"
+    run(landed(spark).filter(oak), root, "2025-05-01", at(1), judge("in_scope"))
+    state = run(landed(spark, "Edited.").filter(oak), root, "2025-05-02", at(2), judge(None))
+    row = {r.title: r for r in state.snapshot().collect()}["Speers Road Study"]
+    assert (row.scope, row.status, row.content_hash) == ("in_scope", "on_going", None)
+    assert [(a, b) for a, b, _ in quarantined(state)] == [("oakville", "classify")]
+    state = run(landed(spark, "Edited.").filter(oak), root, "2025-05-03", at(3), judge("out_of_scope"))
+    row = {r.title: r for r in state.snapshot().collect()}["Speers Road Study"]
+    assert row.scope == "out_of_scope" and row.content_hash is not None and quarantined(state) == []
