@@ -14,6 +14,8 @@ Two relations between sets then save work:
 * *Positions in lists.* A list is cut into blocks of similar set size. A block is skipped
   if the best size and position in it cannot reach the overlap that the threshold asks for;
   the rows of the other blocks face the same test.
+  The last lists of a set by position are skipped: sets that link share k tokens of their prefixes,
+  k by their sizes, so where they first meet each has k lists left.
 * *Answers of similar sets.* Each set is first compared only with the hubs of its lists (the
   sets with the largest share of their prefix in lists, so the likely originals of near
   copies). A hub's answers stand for those of the sets found similar to it: these are
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import use_checkpoint_dir
@@ -348,7 +350,9 @@ class _Search:
             posts.groupBy("sid").agg(F.count(F.lit(1)).alias("k"))
             .join(self.classes, "sid").select("sid", "n", (F.col("k") / self.prefix("n")).alias("share"))
         )
-        lists = posts.join(counts, "token").join(share, "sid").checkpoint()
+        # how many lists a set has from each place on
+        left = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("pos"), "token"))
+        lists = posts.join(counts, "token").join(share, "sid").withColumn("left", left).checkpoint()
         self.tokens = lists.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")).checkpoint()
         active = lists.select("sid").distinct().join(self.classes.select("sid", "first_id"), "sid").checkpoint()
         # few sets are broadcast (they are counted), others shuffled with the texts
@@ -381,8 +385,8 @@ class _Search:
         rest = self.labelled(lists.drop("share").join(self.near.withColumnRenamed("shared", "with_hub"), "sid", "left"), roots)
         if rest.isEmpty():
             return roots
-        found = self.compare(self.remaining(rest)).filter(self.linked())
-        return components(roots.union(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        found = self.compare(self.remaining(rest)).filter(self.linked()).checkpoint()
+        return roots if found.isEmpty() else components(roots.union(found.select("a", "b")))
 
     def by_hub(self) -> Column:
         """Whether the answers of a common hub leave a pair possible.
@@ -399,7 +403,8 @@ class _Search:
         part, whole = self.part, self.whole
         # sizes of one class differ by less than a factor of 4/3: linked sets are in the same or neighbouring ones
         size = F.floor(F.log(F.col("n").cast("double")) / math.log(whole / part)).cast("int")
-        rows = rest.withColumn("size", size)
+        before = Window.partitionBy("sid").orderBy("pos", "token").rowsBetween(-8, -1)
+        rows = rest.withColumns({"size": size, "earlier": F.collect_list("token").over(before)})
         blocks = rows.groupBy("token", "size").agg(
             F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos_min"),
             F.min("comp").alias("comp_min"), F.max("comp").alias("comp_max"),
@@ -407,20 +412,27 @@ class _Search:
         probes = rows.filter("comp != major").select(
             "token", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"),
             F.col("sid").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("na"), F.col("pos").alias("pa"),
-            F.col("hub").alias("hub_a"), F.col("with_hub").alias("with_a"),
+            F.col("left").alias("left_a"), F.col("earlier").alias("earlier_a"), F.col("hub").alias("hub_a"), F.col("with_hub").alias("with_a"),
         )
         probes = (
             probes.join(blocks, ["token", "size"])
             .filter("comp_min != comp_a or comp_max != comp_a")
             .filter(f"{whole} * n_max >= {part} * na and {whole} * na >= {part} * n_min")
             .filter(f"{whole + part} * least(na - pa, n_max - pos_min) >= {part} * (na + n_min)")
-            .select("token", "size", "a", "comp_a", "na", "pa", "hub_a", "with_a")
+            .select("token", "size", "a", "comp_a", "na", "pa", "left_a", "earlier_a", "hub_a", "with_a")
         )
+        # Two sets that link share at least k tokens of their prefixes, so where they meet first each has k lists
+        # left from there on (one less, for tokens that became one list)
+        k = (F.col("na") + F.col("n")) * part / (whole + part) - F.greatest("na", "n") * part / whole - 1e-9
+        enough = F.least("left_a", "left") >= F.ceil(k) - 1
         return (
             probes.join(rows, ["token", "size"])
             .filter("comp != comp_a")
             .filter(_reachable(part, whole, "na", "pa", "n", "pos"))
             .filter(self.by_hub())
+            .filter(enough)
+            # once per pair, as far as can be told: not if they met a few lists before, or meet the other way round
+            .filter(~F.arrays_overlap("earlier_a", "earlier") & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("sid"))))
             .select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b"))
             .distinct()
         )
