@@ -2,16 +2,21 @@
 
 Encoding follows the merge type of the vocabulary: from single characters on, an agenda
 of neighbouring pairs that form a piece is worked off from the best score (of equal ones
-the leftmost). With ``dropout`` > 0 a candidate taken from the agenda is skipped if a keyed
-hash of (seed, variant, unit, piece) falls below it; it can only come back as part of a
-new pair. A text is cut into units, which no piece of the vocabulary crosses: white space
-signs and what follows up to the next one. The agendas of many short units are worked off
-together, as rows of one numpy array; a long unit (over ``LONG`` characters) has a heap of its
-own. The result is the same. The variant of a unit is one of ``variants``,
-chosen by a keyed hash of the document's key and the unit's number, so that a word is cut
-in different ways here and there, while equal (seed, key, text) always give equal ids, on
-whatever executor and however often. Without dropout the ids are those of the vocabulary's own
-encoder.
+the leftmost). With ``dropout`` > 0 each candidate taken from the agenda is skipped with that
+probability; it can only come back as part of a new pair. A text is cut into units, which no
+piece of the vocabulary crosses: white space signs and what follows up to the next one.
+
+Each candidate of each occurrence of a unit has a draw of its own, a keyed hash of (seed, turn,
+document's key, number of the unit in the document, number of the candidate in the agenda of that
+occurrence). So equal (seed, turn, key, text) always give equal ids, on whatever executor and
+however often, while a word is cut anew wherever it occurs; another ``turn`` cuts all of it anew.
+Without dropout the ids are those of the vocabulary's own encoder.
+
+What is kept between occurrences is only what follows from their draws: for a unit and the numbers
+of the candidates skipped so far, the ids if nothing else is skipped. An occurrence makes its draws one
+by one along these states, until one is left without a further skip. States not met before come
+from the agendas of many units worked off together, as rows of one numpy array. A long unit (over
+``LONG`` characters) has a heap of its own. The results are the same.
 
 Decoding is lossless with and without dropout: characters that are no piece become byte pieces,
 and so does the white space sign itself where it occurs in a text.
@@ -31,7 +36,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +46,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import query, table, with_fields
+from .vec import MULTIPLIER, splitmix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT = 0.1
 SEED = 2024
-VARIANTS = 2
-CACHE = 1_000_000
+CACHE = 300_000
 LONG = 48
 NEVER = 1 << 30
 BATCH = 20_000
-PART = 1 << 21
+PART = 1 << 20
 
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+ESCAPED = ""  # stands among the units for a white space sign of the text itself
+
+
+def hashes(keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The draws of these numbers in the streams of these keys (uint64), 24 bits each."""
+    return splitmix(keys + numbers.astype(np.uint64) * np.uint64(MULTIPLIER)) >> np.uint64(40)
+
+
+class Column:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.size, self.room = 0, np.zeros(1024, dtype)
+
+    @property
+    def data(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def add(self, values: np.ndarray | list[int]) -> None:
+        end = self.size + len(values)
+        if end > len(self.room):
+            room = np.zeros(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.size] = self.data
+            self.room = room
+        self.room[self.size : end] = values
+        self.size = end
+
+
+class States:
+    """By state: ids, number of the first candidate not drawn for yet, how many there are, and the
+    state that a skip of each of them leads to (-1: not known yet)."""
+
+    def __init__(self) -> None:
+        self.of_unit: dict[str, int] = {}
+        self.skipped: list[tuple[str, tuple[int, ...]]] = []
+        self.ids, self.begin, self.n_ids = Column(np.int32), Column(np.int64), Column(np.int64)
+        self.first, self.draws = Column(np.int64), Column(np.int64)
+        self.next, self.next_begin = Column(np.int32), Column(np.int64)
+
+    def add(self, skipped: list[tuple[str, tuple[int, ...]]], ids: list[list[int]], draws: np.ndarray) -> int:
+        """The first of these states; ``draws``: how many candidates are drawn for in all, with those up to the last skip."""
+        at = len(self.skipped)
+        first = np.array([x[-1] + 1 if x else 0 for _, x in skipped])
+        n_ids, own = np.array(list(map(len, ids))), draws - first
+        self.skipped += skipped
+        self.begin.add(self.ids.size + np.cumsum(n_ids) - n_ids)
+        self.n_ids.add(n_ids)
+        self.ids.add(np.fromiter(chain.from_iterable(ids), np.int32))
+        self.first.add(first)
+        self.draws.add(own)
+        self.next_begin.add(self.next.size + np.cumsum(own) - own)
+        self.next.add(np.full(int(own.sum()), -1))
+        return at
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, 0 .. n[1] - 1, ..."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
 class Pieces:
-    """The vocabulary, with segmentations of units kept in a cache of bounded size."""
+    """The vocabulary, with states of units kept up to a bounded number."""
 
     def __init__(self, path: str, dropout: float = 0.0, seed: int = 0):
         import sentencepiece
@@ -82,18 +145,22 @@ class Pieces:
             for cut in range(1, len(piece)):
                 left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 21 | right] = place
+                    pairs[left << 21 | right] = place, self.ids[piece]
         self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_places = np.array([pairs[k] for k in sorted(pairs)], np.int32)
+        self.pair_places = np.array([pairs[k][0] for k in sorted(pairs)], np.int32)
+        self.pair_ids = np.array([pairs[k][1] for k in sorted(pairs)], np.int32)
         self.at_place = np.zeros(len(places), np.int32)
         self.at_place[[self.rank[p] for p in self.ids]] = list(self.ids.values())
+        # pieces of equal score share a place: there the pair tells which one it is
+        shared = np.bincount([self.rank[p] for p in self.ids], minlength=len(places)) > 1
+        self.at_place[shared] = -1
         # a character that is no piece stands for itself, beyond the ids
         self.of_char = np.arange(0x110000, dtype=np.int32) + self.size
         single = [p for p in self.ids if len(p) == 1]
         self.of_char[[ord(p) for p in single]] = [self.ids[p] for p in single]
         self.limit, self.seed = int(dropout * (1 << 24)), seed
         self.escaped = self._in_bytes(SPACE)
-        self.cache: dict[int, dict[str, list[int]]] = {}  # by variant, then unit
+        self.states = States()
 
     def _in_bytes(self, text: str) -> list[int]:
         return [self.byte_id[b] for b in text.encode("utf-8", "replace")]
@@ -103,8 +170,15 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == key) & (right >= 0), self.pair_places[at], NEVER)
 
-    def merged_many(self, units: list[str], keys: np.ndarray) -> list[list[int]]:
-        """Ids of each unit by agendas that are rows of one array: NEVER where no candidate is."""
+    def merged_many(self, units: list[str], keys: np.ndarray | None = None, skipped: np.ndarray | None = None) -> list[list[int]]:
+        """Ids of each unit by agendas that are rows of one array: NEVER where no candidate is.
+
+        Candidates are skipped by the draws of ``keys``, or as ``skipped`` (unit, candidate) says.
+        """
+        if skipped is None:
+            skipped = np.zeros((len(units), 1), bool)
+        keys = None if keys is None else keys.astype(np.uint64)
+        number = 0
         n, width = len(units), max(map(len, units))
         lengths = np.array([len(u) for u in units])
         part = np.full((n, width + 1), -1, np.int32)
@@ -123,19 +197,26 @@ class Pieces:
                 for i, ids in zip(row[over].tolist(), part[over].tolist(), strict=True):
                     done[i] = ids[: ids.index(-1)]
                 live = ~over
-                row, part, agenda, keys, at, score = (x[live] for x in (row, part, agenda, keys, at, score))
+                row, part, agenda, at, score = (x[live] for x in (row, part, agenda, at, score))
                 every = np.arange(len(row))
                 if not len(row):
                     break
-            # the keyed hash of each candidate, as in merged_long
-            mixed = (keys ^ score.astype(np.int64) * 668265263) * 73244475
-            skip = (mixed >> 7 & 0xFFFFFF) < self.limit
+            if keys is not None:
+                skip = hashes(keys[row], np.array([number])) < self.limit
+            else:
+                skip = skipped[row, number] if number < skipped.shape[1] else np.zeros(len(row), bool)
+            number += 1
             agenda[every[skip], at[skip]] = NEVER
             go = every[~skip]
             if not len(go):
                 continue
             b = at[go]
-            part[go, b] = self.at_place[score[go]]
+            piece = self.at_place[score[go]]
+            tied = np.flatnonzero(piece < 0)
+            if len(tied):
+                left, right = part[go[tied], b[tied]].astype(np.int64), part[go[tied], b[tied] + 1]
+                piece[tied] = self.pair_ids[np.searchsorted(self.pair_keys, left << 21 | right)]
+            part[go, b] = piece
             old, was = part[go], agenda[go]
             moved, places = old.copy(), was.copy()
             after = column[:-1] > b[:, None]
@@ -153,11 +234,13 @@ class Pieces:
 
     def merged_long(self, unit: str, key: int) -> list[str]:
         """The same by an agenda in a heap."""
-        rank, limit = self.rank.get, self.limit
+        rank, number = self.rank.get, 0
         parts: list[str] = list(unit)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[int, int, str]] = []
+        # each merge offers two candidates at most, besides those at the start
+        skip = (hashes(np.array([key], np.uint64), np.arange(3 * n)) < self.limit).tolist() if self.limit else [False] * (3 * n)
 
         def offer(at: int) -> None:
             if after[at] < n:
@@ -173,7 +256,8 @@ class Pieces:
             nxt = after[at]
             if not parts[at] or nxt >= n or parts[at] + parts[nxt] != pair:
                 continue  # one of the two was merged meanwhile
-            if limit and ((key ^ score * 668265263) * 73244475 >> 7 & 0xFFFFFF) < limit:
+            number += 1
+            if skip[number - 1]:
                 continue
             parts[at], parts[nxt] = pair, ""
             after[at] = after[nxt]
@@ -184,66 +268,103 @@ class Pieces:
             offer(at)
         return [p for p in parts if p]
 
-    def _keys(self, units: list[str], variant: int) -> list[int]:
-        if not self.limit:
-            return [0] * len(units)
-        return [xxhash.xxh32_intdigest(u.encode("utf-8", "replace"), self.seed + variant) for u in units]
-
     def _spelled(self, ids: list[int]) -> list[int]:
         """Characters beyond the ids in bytes."""
         if not ids or max(ids) < self.size:
             return ids
         return [b for i in ids for b in ([i] if i < self.size else self._in_bytes(chr(i - self.size)))]
 
-    def _learn(self, units: set[str], kept: dict[str, list[int]], variant: int) -> None:
-        """Puts the ids of units that are not there yet into ``kept``."""
-        units = units.difference(kept)
-        short = sorted((u for u in units if len(u) <= LONG), key=len)
-        for at in range(0, len(short), BATCH):
-            some = short[at : at + BATCH]
-            found = self.merged_many(some, np.array(self._keys(some, variant), np.int64))
-            kept.update(zip(some, map(self._spelled, found), strict=True))
-        for u in units:
-            if len(u) > LONG:
-                parts = self.merged_long(u, self._keys([u], variant)[0])
-                kept[u] = [b for p in parts for b in ([self.ids[p]] if p in self.ids else self._in_bytes(p))]
-
-    def encode_many(self, texts: list[str], keys: list[str], variants: int = 1) -> list[list[int]]:
-        several = variants if self.limit else 1
-        # a white space sign of the text itself is spelled in bytes, so its parts are cut apart
-        cut = [
-            [UNIT.findall((SPACE if not k else "") + part.replace(" ", SPACE)) for k, part in enumerate(text.split(SPACE))] if text else []
-            for text in texts
-        ]
-        flat = [[u for units in parts for u in units] for parts in cut]
-        which: list[list[int]] | None = None
-        if several > 1:
-            turns = [xxhash.xxh64_intdigest(k.encode("utf-8", "replace"), self.seed) >> 1 for k in keys]
-            which = [[((t + k * 0x9E3779B1) >> 13) % several for k in range(len(units))] for t, units in zip(turns, flat, strict=True)]
-        known = [self.cache.setdefault(v, {}) for v in range(several)]
-        for v, kept in enumerate(known):
-            if len(kept) > CACHE:
-                kept.clear()
-            if which is None:
-                self._learn(set().union(*flat), kept, v)
-            else:
-                mine = [compress(units, map(v.__eq__, vs)) for units, vs in zip(flat, which, strict=True)]
-                self._learn(set(chain.from_iterable(mine)), kept, v)
-        out = []
-        for d, parts in enumerate(cut):
-            units = flat[d]
-            got = list(map(known[0].__getitem__, units)) if which is None else [known[v][u] for u, v in zip(units, which[d], strict=True)]
-            if len(parts) > 1:
-                at, pieces = 0, []
-                for k, part in enumerate(parts):
-                    pieces += [self.escaped] * bool(k) + got[at : at + len(part)]
-                    at += len(part)
-                got = pieces
-            out.append(list(chain.from_iterable(got)))
+    def _learn(self, wanted: list[tuple[str, tuple[int, ...]]]) -> list[int]:
+        """New states of these units (of at most ``LONG`` characters) and skipped candidates."""
+        out = [0] * len(wanted)
+        order = sorted(range(len(wanted)), key=lambda i: len(wanted[i][0]))
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
+            units = [wanted[i][0] for i in some]
+            numbers = [wanted[i][1] for i in some]
+            skipped = np.zeros((len(some), 1 + max(max(x, default=0) for x in numbers)), bool)
+            skipped[np.repeat(np.arange(len(some)), [len(x) for x in numbers]), list(chain.from_iterable(numbers))] = True
+            found = self.merged_many(units, skipped=skipped)
+            # every candidate is merged, and so makes one part less, or is skipped
+            draws = np.array([len(u) - len(ids) + len(x) if self.limit else 0 for u, ids, x in zip(units, found, numbers, strict=True)])
+            first = self.states.add([wanted[i] for i in some], [self._spelled(x) for x in found], draws)
+            for k, i in enumerate(some):
+                out[i] = first + k
         return out
 
-    def encode(self, text: str, key: str = "", variants: int = 1) -> list[int]:
-        return self.encode_many([text], [key], variants)[0]
+    def _drawn(self, state: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The states in which occurrences end, by the draws of their keys."""
+        states, state = self.states, state.copy()
+        live = np.arange(len(state))
+        while len(live):
+            at = state[live]
+            n = states.draws.data[at]
+            k, who = _within(n), np.repeat(np.arange(len(live)), n)
+            skip = np.flatnonzero(hashes(keys[live][who], states.first.data[at][who] + k) < self.limit)
+            skip = skip[np.diff(who[skip], prepend=-1) > 0]  # the first one of each occurrence
+            who, k = who[skip], k[skip]
+            way = states.next_begin.data[at[who]] + k
+            unknown, example = np.unique(way[states.next.data[way] < 0], return_index=True)
+            if len(unknown):
+                example = np.flatnonzero(states.next.data[way] < 0)[example]
+                before = at[who[example]]
+                number = states.first.data[before] + k[example]
+                wanted = []
+                for b, x in zip(before.tolist(), number.tolist(), strict=True):
+                    unit, skips = states.skipped[b]
+                    wanted.append((unit, (*skips, x)))
+                found = self._learn(wanted)
+                states.next.data[unknown] = found
+            live = live[who]
+            state[live] = states.next.data[way]
+        return state
+
+    def encode_flat(self, texts: list[str], keys: list[str], turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text begins and the last one ends)."""
+        if len(self.states.skipped) > CACHE:
+            self.states = States()
+        states = self.states
+        if ESCAPED not in states.of_unit:
+            states.of_unit[ESCAPED] = states.add([(ESCAPED, ())], [self.escaped], np.zeros(1, np.int64))
+        units: list[str] = []
+        n_units = np.zeros(len(texts), np.int64)
+        for d, text in enumerate(texts):
+            had = len(units)
+            # a white space sign of the text itself is spelled in bytes, so its parts are cut apart
+            for k, part in enumerate(text.split(SPACE) if text else []):
+                if k:
+                    units.append(ESCAPED)
+                units += UNIT.findall((SPACE if not k else "") + part.replace(" ", SPACE))
+            n_units[d] = len(units) - had
+        new = [(u, ()) for u in set(units).difference(states.of_unit) if len(u) <= LONG]
+        states.of_unit.update(zip((u for u, _ in new), self._learn(new), strict=True))
+        state = np.array([states.of_unit.get(u, -1) for u in units], np.int64)
+        stream = np.zeros(len(units), np.uint64)
+        if self.limit:
+            mine = [xxhash.xxh64_intdigest(f"{turn} {k}".encode("utf-8", "replace"), self.seed) for k in keys]
+            stream = splitmix(np.repeat(np.array(mine, np.uint64), n_units) ^ splitmix(_within(n_units)))
+            short = np.flatnonzero(state >= 0)
+            state[short] = self._drawn(state[short], stream[short])
+        long = np.flatnonzero(state < 0)
+        begin, n_ids, store = states.begin.data[state], states.n_ids.data[state], states.ids.data
+        if len(long):  # ids behind those of the states
+            extra: list[list[int]] = []
+            for i in long.tolist():
+                parts = self.merged_long(units[i], int(stream[i]))
+                extra.append([b for p in parts for b in ([self.ids[p]] if p in self.ids else self._in_bytes(p))])
+            n_ids[long] = [len(x) for x in extra]
+            begin[long] = len(store) + np.cumsum(n_ids[long]) - n_ids[long]
+            store = np.concatenate([store, np.fromiter(chain.from_iterable(extra), np.int32)])
+        ids = store[np.repeat(begin, n_ids) + _within(n_ids)]
+        ends = np.concatenate([[0], np.cumsum(n_ids)])
+        return ids, ends[np.concatenate([[0], np.cumsum(n_units)])]
+
+    def encode_many(self, texts: list[str], keys: list[str], turn: int = 0) -> list[list[int]]:
+        ids, ends = self.encode_flat(texts, keys, turn)
+        return [x.tolist() for x in np.split(ids, ends[1:-1])] if texts else []
+
+    def encode(self, text: str, key: str = "", turn: int = 0) -> list[int]:
+        return self.encode_many([text], [key], turn)[0]
 
     def decode(self, ids: list[int]) -> str:
         try:
@@ -257,7 +378,8 @@ def _encoder(path: str, dropout: float, seed: int) -> Pieces:
     """The vocabulary as loaded by this Python worker, with its cache."""
     key = (path, dropout, seed)
     if key not in _loaded:
-        _loaded.clear()
+        if len(_loaded) > 1:  # a worker may serve an encoder and a decoder in turn
+            _loaded.clear()
         _loaded[key] = Pieces(path, dropout, seed)
     return _loaded[key]
 
@@ -278,7 +400,7 @@ def _parts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, lis
 
 def encoded(
     df: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL, dropout: float = DROPOUT,
-    seed: int = SEED, variants: int = VARIANTS,
+    seed: int = SEED, turn: int = 0,
 ) -> DataFrame:
     """``df`` with ``piece_ids`` (array<int>) of the text."""
     kept = [c for c in df.columns if c != "piece_ids"]
@@ -287,10 +409,10 @@ def encoded(
         pieces = _encoder(path, dropout, seed)
         for batch in batches:
             for part, texts, keys in _parts(batch, len(kept)):
-                ids = pieces.encode_many([t or "" for t in texts], keys, variants)
-                ids = [None if t is None else x for t, x in zip(texts, ids, strict=True)]
-                columns = part.columns[: len(kept)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))], [*kept, "piece_ids"])
+                ids, ends = pieces.encode_flat([t or "" for t in texts], keys, turn)
+                null = pa.array([t is None for t in texts])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=null)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists], [*kept, "piece_ids"])
 
     given = df.select(*kept, df[text].alias("_text"), df[key].cast("string").alias("_key"))
     return given.mapInArrow(rows, with_fields(df.select(*kept), "piece_ids array<int>"))
@@ -312,7 +434,7 @@ def decoded(df: DataFrame, ids: str = "piece_ids", path: str = MODEL, name: str
 
 def digest_rows(
     df: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL, dropout: float = DROPOUT,
-    seed: int = SEED, variants: int = VARIANTS,
+    seed: int = SEED, turn: int = 0,
 ) -> DataFrame:
     """(key, n_pieces, piece_ids_sha256 of little-endian int32, decoded_sha256) of each row.
 
@@ -324,7 +446,7 @@ def digest_rows(
         for batch in batches:
             for part, texts, keys in _parts(batch, 1):
                 out: list[tuple] = []
-                for text, ids in zip(texts, pieces.encode_many([t or "" for t in texts], keys, variants), strict=True):
+                for text, ids in zip(texts, pieces.encode_many([t or "" for t in texts], keys, turn), strict=True):
                     if text is None:
                         out.append((None, None, None))
                         continue

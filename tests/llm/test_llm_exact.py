@@ -357,3 +357,33 @@ def test_pieces(spark):
     for d, t in EDGES:
         assert (d, hashlib.sha256(t.encode()).hexdigest() if t is not None else None) in figures
     assert pieces.digest_rows(documents(spark, [])).count() == 0
+
+
+def test_pieces_of_each_occurrence():
+    some = pieces.Pieces(pieces.MODEL, 0.1, 7)
+    units = ["▁understandable", "▁roads", "▁é漢", "x" * 60]
+    want = pieces.Pieces(pieces.MODEL, 0.1, 7)
+    # as many ways as chance gives, not one or two for all occurrences
+    n = 4000
+    ids = some.encode("understandable " * n, "1")
+    cut = [tuple(x) for x in np.split(ids, np.flatnonzero(np.isin(ids, [i for p, i in some.ids.items() if p[0] == pieces.SPACE]))[1:])]
+    assert len(set(cut)) > 30
+    # every candidate is drawn for: so many occurrences have no skip at all
+    start = some.states.of_unit["▁understandable"]
+    draws = len("▁understandable") - len(pieces.Pieces(pieces.MODEL).encode("understandable"))
+    streams = np.random.default_rng(1).integers(0, 1 << 63, n).astype(np.uint64)
+    assert some.states.draws.data[start] == draws
+    assert abs((some._drawn(np.full(n, start), streams) == start).mean() - 0.9**draws) < 0.03
+    # in a long unit, a candidate is dropped in one place and not in another
+    assert len(set(want.merged_long("ab" * 3000, 3))) > 2
+    # what is kept of former occurrences changes no ids: each equals a run of the agenda with its own draws
+    text, keys = " ".join(u[1:] for u in units[:3]) + " " + "y" * 60, [str(k) for k in range(300)]
+    again = some.encode_many([text] * 300, keys)
+    for k in (0, 17, 299):
+        assert again[k] == pieces.Pieces(pieces.MODEL, 0.1, 7).encode(text, str(k)) != some.encode(text, str(k), 1)
+    for unit in units[:3]:
+        start = some.states.of_unit[unit]
+        ends = some._drawn(np.full(500, start), streams[:500])
+        for s, ids in zip(ends, want.merged_many([unit] * 500, streams[:500]), strict=True):
+            a, k = some.states.begin.data[s], some.states.n_ids.data[s]
+            assert some.states.ids.data[a : a + k].tolist() == want._spelled(ids)
