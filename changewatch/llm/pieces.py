@@ -33,9 +33,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
-from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -425,10 +423,14 @@ def decoded(df: DataFrame, ids: str = "piece_ids", path: str = MODEL, name: str
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _encoder(path, 0.0, 0)
         for batch in batches:
-            texts = [None if x is None else pieces.decode(x) for x in batch.column(len(kept)).to_pylist()]
+            lists = batch.column(len(kept))
+            ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+            every = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)
+            null = lists.is_null().to_pylist()
+            texts = [None if no else pieces.decode(every[a:b].tolist()) for no, a, b in zip(null, ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, name])
 
-    given = df.select(*kept, df[ids].alias("_ids"))
+    given = df.select(*kept, df[ids].cast("array<int>").alias("_ids"))
     return given.mapInArrow(rows, with_fields(df.select(*kept), f"`{name}` string"))
 
 
@@ -436,32 +438,16 @@ def digest_rows(
     df: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL, dropout: float = DROPOUT,
     seed: int = SEED, turn: int = 0,
 ) -> DataFrame:
-    """(key, n_pieces, piece_ids_sha256 of little-endian int32, decoded_sha256) of each row.
+    """(key, piece_ids, n_pieces, piece_ids_sha256, decoded_sha256) of each row.
 
-    Encodes and decodes in one pass, for where only figures are wanted.
+    The digests are those of the ids joined by commas and of the text that ``decoded`` makes of the ids.
     """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _encoder(path, dropout, seed)
-        for batch in batches:
-            for part, texts, keys in _parts(batch, 1):
-                out: list[tuple] = []
-                for text, ids in zip(texts, pieces.encode_many([t or "" for t in texts], keys, turn), strict=True):
-                    if text is None:
-                        out.append((None, None, None))
-                        continue
-                    packed = array("i", ids).tobytes()
-                    back = pieces.decode(ids).encode("utf-8", "replace")
-                    out.append((len(ids), sha256(packed).hexdigest(), sha256(back).hexdigest()))
-                n, a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                    [key, "n_pieces", "piece_ids_sha256", "decoded_sha256"],
-                )
-
-    given = df.select(key, text, F.col(key).cast("string").alias("_key"))
-    figures = "n_pieces bigint, piece_ids_sha256 string, decoded_sha256 string"
-    return given.mapInArrow(rows, with_fields(df.select(key), figures))
+    both = decoded(encoded(df.select(key, text), text, key, path, dropout, seed, turn).drop(text), path=path)
+    joined = F.array_join(F.col("piece_ids").cast("array<string>"), ",")
+    return both.select(
+        key, "piece_ids", F.when(F.col("piece_ids").isNotNull(), F.size("piece_ids")).cast("bigint").alias("n_pieces"),
+        F.sha2(joined, 256).alias("piece_ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 @query()

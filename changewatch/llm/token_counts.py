@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -114,13 +113,12 @@ def sections_of(fields: list[str], by: str | int) -> tuple[str, np.ndarray, np.n
 
 def attributed(
     df: DataFrame, key: str = "doc_id", fields: tuple[str, ...] = ("text",), by: str | int = "lines",
-    rule: str = "largest", path: str = RANKS, digest: bool = False,
+    rule: str = "largest", path: str = RANKS,
 ) -> DataFrame:
     """(key, n_tokens, n_sections, n_crossing, field_tokens, section_tokens) of each row.
 
     Sections are "fields", "lines" or stretches of ``by`` characters. ``field_tokens`` has a count per field; ``section_tokens`` (field, from, to, tokens) per section,
-    with its span in characters of the whole text. With ``digest`` the sections come as
-    ``sections_sha256``, over "field:from:to:tokens" joined by commas, instead.
+    with its span in characters of the whole text.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -128,7 +126,8 @@ def attributed(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in names[1:]}
+            out: dict[str, list] = {c: [] for c in names[1:-1]}
+            spans: list[tuple[np.ndarray, ...]] = []
             for i in range(batch.num_rows):
                 text, begins, owner = sections_of([batch.column(1 + k)[i].as_py() or "" for k in range(len(fields))], by)
                 ids, offsets = enc.spans(text)
@@ -141,30 +140,28 @@ def attributed(
                 data = np.frombuffer(text.encode(), np.uint8)
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 begin, end = chars[begins], chars[np.append(begins[1:], len(data))]
-                spans = list(zip(owner.tolist(), begin.tolist(), end.tolist(), tokens.tolist(), strict=True))
-                if digest:
-                    joined = ",".join(f"{o}:{b}:{e}:{n}" for o, b, e, n in spans)
-                    out["sections_sha256"].append(sha256(joined.encode()).hexdigest())
-                else:
-                    out["section_tokens"].append([dict(zip(("field", "from", "to", "tokens"), x, strict=True)) for x in spans])
-            columns = [pa.array(out[n], t) for n, t in zip(names[1:], types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+                spans.append((owner, begin, end, tokens))
+            columns = [pa.array(out[n], t) for n, t in zip(names[1:-1], types, strict=True)]
+            ends = np.concatenate([[0], np.cumsum(out["n_sections"])]).astype(np.int32)
+            parts = [pa.array(np.concatenate(x) if spans else [], f.type) for x, f in zip(zip(*spans) if spans else [()] * 4, span, strict=True)]
+            sections = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, fields=list(span)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, sections], names)
 
     span = pa.struct([("field", pa.int32()), ("from", pa.int64()), ("to", pa.int64()), ("tokens", pa.int64())])
-    last = ("sections_sha256", pa.string(), "string") if digest else (
-        "section_tokens", pa.list_(span), "array<struct<field:int,`from`:bigint,`to`:bigint,tokens:bigint>>")
-    names = [key, "n_tokens", "n_sections", "n_crossing", "field_tokens", last[0]]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), last[1]]
+    names = [key, "n_tokens", "n_sections", "n_crossing", "field_tokens", "section_tokens"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     given = df.select(key, *[F.col(f).cast("string").alias(f"_{k}") for k, f in enumerate(fields)])
     counts = "n_tokens bigint, n_sections bigint, n_crossing bigint, field_tokens array<bigint>"
-    return given.mapInArrow(rows, with_fields(df.select(key), f"{counts}, {last[0]} {last[2]}"))
+    sections = "section_tokens array<struct<field:int,`from`:bigint,`to`:bigint,tokens:bigint>>"
+    return given.mapInArrow(rows, with_fields(df.select(key), f"{counts}, {sections}"))
 
 
 @query()
 def op7_token_counts(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    counted = attributed(docs, fields=("source", "text"), by=STRETCH, digest=True)
+    counted = attributed(docs, fields=("source", "text"), by=STRETCH)
+    joined = F.array_join(F.transform("section_tokens", lambda s: F.concat_ws(":", s["field"], s["from"], s["to"], s["tokens"])), ",")
     return counted.select(
         "doc_id", "n_tokens", "n_sections", "n_crossing", F.element_at("field_tokens", 1).alias("source_tokens"),
-        F.element_at("field_tokens", 2).alias("text_tokens"), "sections_sha256",
+        F.element_at("field_tokens", 2).alias("text_tokens"), "section_tokens", F.sha2(joined, 256).alias("sections_sha256"),
     )

@@ -72,7 +72,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Number and digest of the pieces of each document left, and of the text they decode to."""
+    """The piece ids of each document left, with their number and digest and that of the text they decode to."""
     return pieces.digest_rows(docs)
 
 

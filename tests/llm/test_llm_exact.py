@@ -387,3 +387,19 @@ def test_pieces_of_each_occurrence():
         for s, ids in zip(ends, want.merged_many([unit] * 500, streams[:500]), strict=True):
             a, k = some.states.begin.data[s], some.states.n_ids.data[s]
             assert some.states.ids.data[a : a + k].tolist() == want._spelled(ids)
+
+
+def test_queries_give_their_full_results(spark, tmp_path):
+    rows = [(1, "s", "some words of a text " * 90), (2, None, None), (None, "", "é▁漢")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    reader = pieces.Pieces(pieces.MODEL)
+    found = {r.doc_id: r for r in pieces.op10_pieces(spark, str(tmp_path)).collect()}
+    for d, _, t in rows:
+        r = found[d]
+        assert (r.piece_ids is None) == (t is None) and (t is None or reader.decode(r.piece_ids) == t)
+        want = (None,) * 3 if t is None else (len(r.piece_ids), sha(",".join(map(str, r.piece_ids))), sha(t))
+        assert (r.n_pieces, r.piece_ids_sha256, r.decoded_sha256) == want
+    for r in token_counts.op7_token_counts(spark, str(tmp_path)).collect():
+        assert sum(x.tokens for x in r.section_tokens) == r.n_tokens and len(r.section_tokens) == r.n_sections
+        assert r.sections_sha256 == sha(",".join(":".join(map(str, x)) for x in r.section_tokens))
