@@ -65,18 +65,22 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nd
 
 
 def sample_by_label(df: DataFrame, label: Column, text: str, per_label: int) -> DataFrame:
-    """Rows (label, text) of about ``per_label`` rows of each label, chosen by a hash of the row.
+    """Rows (label, text, weight) of about ``per_label`` rows of each label, chosen by a hash of the row.
 
-    A label of fewer rows is taken whole.
+    A label of fewer rows is taken whole. ``weight`` is how many rows with a label and text each row
+    stands for: weights of a label add up to all its rows, however large the table.
     """
     point = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) / float(1 << 30)
     rows = df.select(label.alias("label"), F.col(text).alias("text"), point.alias("point"))
     rows = rows.filter("label is not null and text is not null")
-    counts = df.select(label.alias("label")).groupBy("label").count().filter("label is not null").collect()
-    share = df.sparkSession.createDataFrame([(str(r["label"]), per_label / r["count"]) for r in counts], "_name string, share double")
+    spark = df.sparkSession
+    counts = [(str(r["label"]), r["count"]) for r in rows.groupBy("label").count().collect()]
+    share = spark.createDataFrame([(name, n, per_label / n) for name, n in counts], "_name string, _all bigint, share double")
     # one row per label: a model holds a row of weights for each, so there are few
     chosen = rows.join(F.broadcast(share), F.col("label").cast("string") == F.col("_name")).filter("point < share")
-    return chosen.select("label", "text")
+    got = {str(r["label"]): r["count"] for r in chosen.groupBy("label").count().collect()}
+    weights = spark.createDataFrame([(name, n / got[name]) for name, n in counts if name in got], "_of string, weight double")
+    return chosen.join(F.broadcast(weights), F.col("label").cast("string") == F.col("_of")).select("label", "text", "weight")
 
 
 class Model:
@@ -91,13 +95,14 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", per_languag
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        texts: dict[str, int] = {}
+        texts: dict[str, float] = {}
         for batch in batches:
             labels = np.array(batch.column(0).to_pylist(), dtype=object)
+            stands_for = batch.column(2).to_numpy()
             names = sorted(set(labels))
             number = np.searchsorted(names, labels.astype(str)) if names else np.zeros(0, np.int64)
             for k, name in enumerate(names):
-                texts[name] = texts.get(name, 0) + int((number == k).sum())
+                texts[name] = texts.get(name, 0.0) + float(stands_for[number == k].sum())
                 total.setdefault(name, np.zeros(BUCKETS, np.int64))
             for first, data, offsets in slices(batch.column(1)):
                 for bucket, row in ngram_buckets(data, offsets):
@@ -107,15 +112,15 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", per_languag
                         total[name] += counts[k * BUCKETS : (k + 1) * BUCKETS]
         for name, counts in total.items():
             at = np.flatnonzero(counts)
-            bucket = np.concatenate([at, [-1]])  # -1: how many texts
-            number = np.concatenate([counts[at], [texts[name]]])
+            bucket = np.concatenate([at, [-1]])  # -1: how many texts, with those not in the sample
+            number = np.concatenate([counts[at].astype(float), [texts[name]]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(bucket)), pa.array(bucket.astype(np.int32)), pa.array(number)],
                 ["lang", "bucket", "n"],
             )
 
     sample = sample_by_label(labelled, F.col(lang).cast("string"), text, per_language)
-    counted = sample.select("label", F.lower("text").alias("text")).mapInArrow(count, "lang string, bucket int, n bigint")
+    counted = sample.select("label", F.lower("text").alias("text"), "weight").mapInArrow(count, "lang string, bucket int, n double")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(rows["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS))

@@ -78,11 +78,15 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int) -> Model:
-    """Maximum likelihood with a ridge, by Adam on the whole sample."""
+def train(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarray | None = None) -> Model:
+    """Maximum likelihood with a ridge, by Adam on the whole sample.
+
+    ``weight``: how many ratings each row stands for, so that the shares of the grades are those of all.
+    """
     n = len(grade)
+    many = np.ones(n) if weight is None else weight * (n / weight.sum())
     # thresholds start where the observed shares of grades put them
-    share = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:-1] / n, 0.01, 0.99)
+    share = np.clip(np.cumsum(np.bincount(grade, many, minlength=grades))[:-1] / n, 0.01, 0.99)
     start = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(grades - 1))
     free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     w = np.zeros(BUCKETS)
@@ -95,9 +99,9 @@ def train(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, grade: np.ndar
         s = np.bincount(row, w[bucket] * x, minlength=n)
         above, below = _logistic(edges[grade + 1] - s), _logistic(edges[grade] - s)
         p = np.maximum(above - below, 1e-9)
-        d_s = above + below - 1
-        d_t = np.bincount(grade, above * (1 - above) / p, minlength=grades)[:-1]
-        d_t -= np.bincount(grade, below * (1 - below) / p, minlength=grades)[1:]
+        d_s = many * (above + below - 1)
+        d_t = np.bincount(grade, many * above * (1 - above) / p, minlength=grades)[:-1]
+        d_t -= np.bincount(grade, many * below * (1 - below) / p, minlength=grades)[1:]
         d_free = np.concatenate([[d_t.sum()], [d_t[k + 1 :].sum() * np.exp(free[k + 1]) for k in range(grades - 2)]])
         g_w = -np.bincount(bucket, d_s[row] * x, minlength=BUCKETS) / n + RIDGE * w
         for k, (g, v) in enumerate(((g_w, w), (-d_free / n, free))):
@@ -118,17 +122,17 @@ def fit(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "t
             for first, n_rows, row, bucket, value in features(batch.column(1)):
                 ends = np.searchsorted(row, np.arange(n_rows + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c)) for c in (bucket.astype(np.int32), value.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([pa.array(grades[first : first + n_rows]), *lists], ["grade", "bucket", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(grades[first : first + n_rows]), *lists, batch.column(2).slice(first, n_rows)], ["grade", "bucket", "value", "weight"])
 
     rated = ratings.filter(F.col(grade) >= 0)
     sample = labelled_sample(docs, rated, key, text, grade, per_grade)
-    got = sample.mapInArrow(rows, "grade int, bucket array<int>, value array<float>").toArrow()
+    got = sample.mapInArrow(rows, "grade int, bucket array<int>, value array<float>, weight double").toArrow()
     grades = got.column("grade").to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(0), int(grades[0]) if len(grades) else 0)
     bucket, value = got.column("bucket").combine_chunks(), got.column("value").combine_chunks()
     row = np.repeat(np.arange(len(grades)), np.diff(bucket.offsets.to_numpy()))
-    return train(row, bucket.flatten().to_numpy(), value.flatten().to_numpy().astype(float), grades, int(grades.max()) + 1)
+    return train(row, bucket.flatten().to_numpy(), value.flatten().to_numpy().astype(float), grades, int(grades.max()) + 1, got.column("weight").to_numpy())
 
 
 def graded(df: DataFrame, model: Model, tail: int, text: str = "text") -> DataFrame:

@@ -124,16 +124,20 @@ def estimate(ordinary: np.ndarray, toxic: np.ndarray, corpus: np.ndarray) -> np.
     return out.ravel()
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a little ridge."""
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift of a logistic curve, by Newton steps with a little ridge.
+
+    ``weight``: how many rows each one stands for, so that the shares of the classes are those of all rows.
+    """
+    u = np.ones(len(y)) if weight is None else weight * (len(y) / weight.sum()) if len(y) else weight
     if len(np.unique(y)) < 2:
         return 0.0, 0.0
     scale = float(x.std()) or 1.0
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * x / scale + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((y - p) * x / scale).sum() - 0.01 * a, (y - p).sum() - 0.01 * b])
+        w = u * np.maximum(p * (1 - p), 1e-9)
+        g = np.array([(u * (y - p) * x / scale).sum() - 0.01 * a, (u * (y - p)).sum() - 0.01 * b])
         h = np.array([[(w * (x / scale) ** 2).sum() + 0.01, (w * x / scale).sum()], [(w * x / scale).sum(), w.sum() + 0.01]])
         step = np.linalg.solve(h, g)
         a, b = a + step[0], b + step[1]
@@ -168,12 +172,13 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int) -> DataFrame:
-    """(label, text) of about ``per_label`` documents of each label, chosen among ``labels`` (key, label).
+    """(label, text, weight) of about ``per_label`` documents of each label, chosen among ``labels`` (key, label).
 
+    ``weight`` is how many rows of ``labels`` each one stands for.
     The chosen keys are at most about labels x per_label, so they are broadcast.
     """
     chosen = sample_by_label(labels.select(key, label), F.col(label).cast("int"), key, per_label)
-    return docs.select(key, text).join(F.broadcast(chosen.toDF("label", key)), key).select("label", F.col(text).alias("text"))
+    return docs.select(key, text).join(F.broadcast(chosen.toDF("label", key, "weight")), key).select("label", F.col(text).alias("text"), "weight")
 
 
 def fit(
@@ -194,7 +199,7 @@ def fit(
         return Model(np.zeros(SYMBOLS**ORDER, np.float32), 0.0, 0.0)
     values = estimate(tables[0], tables[1], tables[-1])
     held = differences(check, values).toPandas()
-    return Model(values, *_calibrate(held["difference"].to_numpy(float), held["label"].to_numpy(float)))
+    return Model(values, *_calibrate(held["difference"].to_numpy(float), held["label"].to_numpy(float), held["weight"].to_numpy(float)))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

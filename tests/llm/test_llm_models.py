@@ -101,6 +101,24 @@ def test_ordinal_gradient_learns_order():
     assert (np.diff(model.weights[10:14]) > 0).all() and (np.diff(model.thresholds) > 0).all()
 
 
+def test_samples_keep_the_shares_of_all_rows(spark):
+    """Class shares do not depend on how many rows the sample may take."""
+    rows = [(k, f"word{k % 7} " * 5 + ("bad" if k % 10 == 0 else "good" if k % 3 else "mixed"), "xx" if k % 10 == 0 else "en") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").cache()
+    sample = langid.sample_by_label(docs, F.col("lang"), "text", 150).groupBy("label").agg(F.sum("weight").alias("all"), F.count("*").alias("n"))
+    found = {r.label: r for r in sample.collect()}
+    assert abs(found["xx"]["all"] - 400) < 1e-6 and abs(found["en"]["all"] - 3600) < 1e-6 and found["en"].n < 250
+    model = langid.fit(docs, per_language=150)
+    assert np.allclose(np.exp(model.prior), [3600, 400])
+    # labels that say nothing about the text: only their share can be learned
+    labels = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("t")), F.lit(10)) == 0).cast("int").alias("toxic"))
+    scores = toxicity.score(docs.limit(200), toxicity.fit(docs, labels, per_class=150)).toPandas()["score"]
+    assert scores.mean() < 0.25
+    ratings = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("g")), F.lit(10)) > 0).cast("int").alias("grade"))
+    grades = ordinal.graded(docs.limit(200), ordinal.fit(docs, ratings, per_grade=150), 1).toPandas()
+    assert grades["expected_grade"].mean() > 0.8
+
+
 def test_pipeline_stages_on_edges(spark, tmp_path):
     columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     base = " ".join(f"word{k} letters" for k in range(60))
