@@ -438,19 +438,21 @@ class _Search:
         )
 
 
-def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(key, n_shingles, component_id, text_hash) of each row of ``docs``.
+def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: tuple[int, int] = THRESHOLD, root: bool = False) -> DataFrame:
+    """(key, n_shingles, component_id, text_hash) of each row of ``docs``, with ``root`` also (root).
 
-    ``text_hash`` is xxhash64 of the text, so that results of an id can be told apart.
+    ``text_hash`` is xxhash64 of the text, so that results of an id can be told apart. ``root`` is a set
+    of the component and tells components apart where ids are null or repeat; it is null without a set.
     """
     search = _Search(docs, key, text, threshold)
     roots = search.components().toDF("sid", "root")
     named = search.classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_set = named.join(smallest, "root").select("sid", "component_id")
-    has = search.described.filter("sid is not null").join(by_set, "sid").select("id", "n", "component_id", "th")
-    none = search.described.filter("sid is null").select("id", "n", F.col("id").alias("component_id"), "th")
-    return has.union(none).toDF(key, "n_shingles", "component_id", "text_hash")
+    by_set = named.join(smallest, "root").select("sid", "component_id", "root")
+    has = search.described.filter("sid is not null").join(by_set, "sid").select("id", "n", "component_id", "th", "root")
+    none = search.described.filter("sid is null").select("id", "n", F.col("id").alias("component_id"), "th", F.lit(None).cast("bigint"))
+    found = has.union(none).toDF(key, "n_shingles", "component_id", "text_hash", "root")
+    return found if root else found.drop("root")
 
 
 OP8_SQL = r"""

@@ -38,9 +38,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Keeps of each group of similar documents the one of the smallest id (a row of it, if it repeats)."""
     use_checkpoint_dir(spark)
-    sets = jaccard.similar_sets(docs).filter("n_shingles > 0").checkpoint()
-    first = sets.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    judged = sets.join(first, sets["component_id"].eqNullSafe(first["component_id"])).select("doc_id", "text_hash", "one")
+    sets = jaccard.similar_sets(docs, root=True).filter("n_shingles > 0").checkpoint()
+    first = sets.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    judged = sets.join(first, "root").select("doc_id", "text_hash", "one")
     is_first = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash"))
     kept = _without(docs, judged.filter(~is_first))
     again = judged.filter(is_first).groupBy("doc_id", "text_hash").count().filter("count > 1").drop("count").checkpoint()

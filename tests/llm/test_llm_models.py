@@ -141,3 +141,11 @@ def test_pipeline_stages_on_edges(spark, tmp_path):
     empty = spark.createDataFrame([], columns)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    rows = [(None, one), (None, two), (None, one), (7, two + " end"), (7, three), (8, three)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {(None, one), (None, two), (7, three)}
