@@ -56,10 +56,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Removes repeated passages; bytes left of a character cut in two go as well."""
+    """Removes repeated passages; bytes left of a character cut in two go as well. Other texts stay as they are."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = suffix_dedup.cut_repeats(docs, keep=others)
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
+    cut = suffix_dedup.cut_repeats(docs.withColumn("_none", F.col("text").isNull()), keep=(*others, "_none"))
+    whole = F.udf(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"), "string")
+    rest = whole(F.when(F.col("n_removed") > 0, F.col("kept")))
+    text = F.when(F.col("_none"), F.lit(None)).when(F.col("n_removed") > 0, rest).otherwise(F.col("kept").cast("string"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

@@ -149,3 +149,11 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == {(None, one), (None, two), (7, three)}
+
+
+def test_cut_leaves_other_texts_as_they_are(spark):
+    same = " ".join(f"same{k}" for k in range(60))
+    rows = [(1, "a \ufffd b"), (2, None), (3, "\ufffd x " + same), (4, "y " + same), (5, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()}
+    assert (got[1], got[2], got[5]) == ("a \ufffd b", None, "") and got[3].startswith("\ufffd x") and "same5" not in got[3]
