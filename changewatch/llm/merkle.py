@@ -6,10 +6,10 @@ Subroots, in the order of their groups, become the root in the same way; they ar
 All hashes are SHA-256 in lowercase hex, and a node hashes the hex texts of its children, concatenated.
 
 Places come from a range-partitioned order (``places.placed``), so neither a large group nor a repeated key gathers in one
-task. Levels are built from blocks of ``BLOCK`` consecutive nodes, three levels a round.
+task. Levels are built from blocks of ``ARITY**LEVELS`` consecutive nodes, ``LEVELS`` levels a round.
 
 A proof of a leaf has one step per level, from its own tree to the root: the siblings before and after the node in its
-run. Proofs are made by leaf partitions of at most ``BLOCK`` leaves: each one works out the least set of
+run. Proofs are made by leaf partitions, blocks of so many leaves: each one works out the least set of
 nodes that its leaves cannot derive (the octopus), all of which are fetched by one join; it then derives the nodes that its leaves
 share, once, and writes each leaf's proof from them. ``folded`` recomputes a root from a leaf and its proof by built-in functions.
 
@@ -34,8 +34,7 @@ from .catalog import query, stored, table
 from .places import placed
 
 ARITY = 8
-LEVELS = 3  # levels built in one round
-BLOCK = ARITY**LEVELS
+LEVELS = 3  # levels built in one round; a leaf partition has ARITY**LEVELS leaves
 TOP = -1
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Nodes of upper levels, fetched by many leaf partitions each, are broadcast as far as all of them are so few.
@@ -73,64 +72,73 @@ class Manifest:
     trees: DataFrame  # tree, subroot
     groups: int
     root: str | None
+    levels: int
+
+    @property
+    def block(self) -> Column:
+        """The leaf partition of a row of ``leaves``, within its tree."""
+        return F.floor(F.col("idx") / ARITY**self.levels).alias("block")
 
 
 def _hash(parts: list[str]) -> str:
     return sha256("".join(parts).encode()).hexdigest()
 
 
-def _raise_block(block: pa.Table) -> pa.Table:
-    """The next levels above one block of a tree's level."""
-    tree, level, n = (block.column(c)[0].as_py() for c in ("tree", "level", "n"))
-    idx = block.column("idx").to_numpy()
-    hashes = block.column("hash").take(pa.array(np.argsort(idx))).to_pylist()
-    first, out = int(idx.min()), []
-    for _ in range(LEVELS):
-        if n == 1:
-            break
-        hashes = [_hash(hashes[i : i + ARITY]) for i in range(0, len(hashes), ARITY)]
-        first, level, n = first // ARITY, level + 1, -(-n // ARITY)
-        out += [(tree, level, first + i, n, h) for i, h in enumerate(hashes)]
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-    columns = zip(*out, strict=True) if out else [()] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["tree", "level", "idx", "n", "hash"])
-
-
-def _raised(level: DataFrame, largest: int) -> list[DataFrame]:
+def _raise_blocks(levels: int):
+    def of_block(block: pa.Table) -> pa.Table:
+        """The next levels above one block of a tree's level."""
+        tree, level, n = (block.column(c)[0].as_py() for c in ("tree", "level", "n"))
+        idx = block.column("idx").to_numpy()
+        hashes = block.column("hash").take(pa.array(np.argsort(idx))).to_pylist()
+        first, out = int(idx.min()), []
+        for _ in range(levels):
+            if n == 1:
+                break
+            hashes = [_hash(hashes[i : i + ARITY]) for i in range(0, len(hashes), ARITY)]
+            first, level, n = first // ARITY, level + 1, -(-n // ARITY)
+            out += [(tree, level, first + i, n, h) for i, h in enumerate(hashes)]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+        columns = zip(*out, strict=True) if out else [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["tree", "level", "idx", "n", "hash"])
+
+    return of_block
+
+
+def _raised(level: DataFrame, largest: int, levels: int) -> list[DataFrame]:
     """Tables of the nodes above ``level``, whose trees have at most ``largest`` nodes."""
-    out, at = [], 0
+    out, at, block = [], 0, ARITY**levels
     while largest > 1:
         level = level.filter((F.col("level") == at) & (F.col("n") > 1))
-        level = stored(level.groupBy("tree", F.floor(F.col("idx") / BLOCK)).applyInArrow(_raise_block, NODES))
+        level = stored(level.groupBy("tree", F.floor(F.col("idx") / block)).applyInArrow(_raise_blocks(levels), NODES))
         out.append(level)
-        at, largest = at + LEVELS, -(-largest // BLOCK)
+        at, largest = at + levels, -(-largest // block)
     return out
 
 
-def manifest(rows: DataFrame, group: str, key: str, hash: str = "leaf") -> Manifest:
+def manifest(rows: DataFrame, group: str, key: str, hash: str = "leaf", levels: int = LEVELS) -> Manifest:
     """The manifest of ``rows``, which have a group, a key and a leaf (and may have more columns)."""
     leaves = stored(placed(rows, group, [key, hash]))
     spark = rows.sparkSession
     size = leaves.agg(F.max("n"), F.max("tree")).first()
     if size[0] is None:
         none = spark.createDataFrame([], NODES)
-        return Manifest(leaves, none, none.selectExpr("tree", "hash AS subroot"), 0, None)
+        return Manifest(leaves, none, none.selectExpr("tree", "hash AS subroot"), 0, None, levels)
     largest, groups = size[0], size[1] + 1
     ground = leaves.select("tree", F.lit(0).alias("level"), "idx", "n", F.col(hash).alias("hash"))
-    levels = _raised(ground, largest)
-    tops = [f.filter("n = 1") for f in [ground, *levels]]
+    above = _raised(ground, largest, levels)
+    tops = [f.filter("n = 1") for f in [ground, *above]]
     trees = tops[0]
     for f in tops[1:]:
         trees = trees.union(f)
     trees = stored(trees.select("tree", F.col("hash").alias("subroot")))
     ground = trees.select(F.lit(TOP).cast("bigint").alias("tree"), F.lit(0).alias("level"), F.col("tree").alias("idx"),
                           F.lit(groups).cast("bigint").alias("n"), F.col("subroot").alias("hash"))
-    upper = _raised(ground, groups)
+    upper = _raised(ground, groups, levels)
     nodes = ground
-    for f in [*upper, *levels]:
+    for f in [*upper, *above]:
         nodes = nodes.union(f)
     root = (upper[-1] if upper else ground).filter("n = 1").first()["hash"]
-    return Manifest(leaves, nodes, trees, groups, root)
+    return Manifest(leaves, nodes, trees, groups, root, levels)
 
 
 def _climb(known: np.ndarray, size: int):
@@ -226,12 +234,11 @@ def _fetched(missing: DataFrame, held: Manifest, hash: str) -> DataFrame:
 def multiproofs(held: Manifest, queried: DataFrame | None = None, hash: str = "leaf") -> DataFrame:
     """``queried`` (rows of ``held.leaves``; all, where none are given) with their proofs."""
     queried = held.leaves if queried is None else queried
-    block = F.floor(F.col("idx") / BLOCK).alias("block")
-    wanted = queried.select("tree", "idx", "n").groupBy("tree", block)
+    wanted = queried.select("tree", "idx", "n").groupBy("tree", held.block)
     missing = stored(wanted.applyInArrow(_missing(held.groups), "tree bigint, block bigint, of bigint, level int, idx bigint"))
     given = _fetched(missing, held, hash)
     shape = StructType([*queried.schema.fields, *StructType.fromDDL(f"proof {PROOF}").fields])
-    parts = queried.groupBy("tree", block).cogroup(given.groupBy("tree", "block"))
+    parts = queried.groupBy("tree", held.block).cogroup(given.groupBy("tree", "block"))
     return parts.applyInArrow(_expanded(held.groups, queried.columns, hash), shape)
 
 
