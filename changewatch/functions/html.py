@@ -1,7 +1,7 @@
 """Native HTML extraction for flat shapes: regular expressions inside Catalyst.
 
 Good for elements that do not nest in themselves (a, td, tr, li, p, h1). For
-blocks that may nest (div, section) use ``changewatch.sources.selectors``.
+blocks that may nest (div, section) use ``changewatch.functions.elements``.
 """
 
 from __future__ import annotations

@@ -108,6 +108,10 @@ _DECODED = let_sql(
 )
 
 
+#: SQL text that decodes ``it``, a text with an ampersand.
+DECODED = f"regexp_replace({_DECODED}, r'&(amp|#0*38|#[xX]0*26);', '&')"
+
+
 def decode_entities(c: Column | str) -> Column:
     """Decode ONE layer of character references; plain text passes unchanged.
 
@@ -115,11 +119,7 @@ def decode_entities(c: Column | str) -> Column:
     the HTML 4 table, numeric ones are decoded to their code point, and the
     ampersand itself is decoded last so that ``&amp;lt;`` gives ``&lt;``.
     """
-    return let(
-        _col(c),
-        f"CASE WHEN contains(it, '&') THEN "
-        f"regexp_replace({_DECODED}, r'&(amp|#0*38|#[xX]0*26);', '&') ELSE it END",
-    )
+    return let(_col(c), f"CASE WHEN contains(it, '&') THEN {DECODED} ELSE it END")
 
 
 def sha256_hex(c: Column | str) -> Column:

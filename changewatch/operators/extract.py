@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from changewatch.functions import text as T
 from changewatch.functions import urls as U
+from changewatch.functions.elements import Rule, first_value, of_rule, with_matches
 from changewatch.model import DOCUMENT_LINK
 from changewatch.operators import dedupe
 from changewatch.sources.landed import feed_items
 from changewatch.sources.registry import SourceSpec
-from changewatch.sources.selectors import Rule, first_value, of_rule, select_all, select_by
 
 STUDY_COLUMNS = ["source", "owner", "title", "areas", "status", "raw_status", "source_url", "pos"]
 
@@ -32,9 +32,9 @@ def parsed(landed: DataFrame, specs: tuple[SourceSpec, ...]) -> DataFrame:
     feeds = [s.name for s in specs if s.layout == "feed"]
     is_feed = F.col("source").isin(feeds) & (F.col("kind") == "listing")
     html = F.when(~is_feed, F.col("body"))
-    return landed.filter(F.col("source").isin([s.name for s in specs])).select(
-        "source", "kind", "page_no", "url", F.when(is_feed, F.col("body")).alias("body"),
-        select_by(F.concat_ws("/", "source", "kind"), html, rules).alias("m"),
+    own = landed.filter(F.col("source").isin([s.name for s in specs]))
+    return with_matches(own, html, rules, F.concat_ws("/", "source", "kind")).select(
+        "source", "kind", "page_no", "url", F.when(is_feed, F.col("body")).alias("body"), "m"
     )
 
 
@@ -52,8 +52,8 @@ def unknown(landed: DataFrame, specs: tuple[SourceSpec, ...]) -> DataFrame:
     return landed.filter(~F.coalesce(read, F.lit(False))).select("source", "kind", "url")
 
 
-def _matches(pages: DataFrame, rules: tuple[Rule, ...]) -> Column:
-    return F.col("m") if "m" in pages.columns else select_all("body", rules)
+def _matched(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    return pages if "m" in pages.columns else with_matches(pages, "body", {"": rules})
 
 
 # --- listings -------------------------------------------------------------------------
@@ -123,8 +123,7 @@ def feed_rows(feeds: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def _exploded(pages: DataFrame, spec: SourceSpec) -> DataFrame:
-    found = pages.select("source", "page_no", _matches(pages, spec.listing).alias("m"))
-    return found.select("source", "page_no", F.explode(of_rule("m", "row")).alias("m")).select(
+    return _matched(pages, spec.listing).select("source", "page_no", F.explode(of_rule("m", "row")).alias("m")).select(
         "source", "page_no", F.col("m.idx").alias("row_no"), F.col("m.values").alias("v")
     )
 
@@ -202,8 +201,7 @@ def details(pages: DataFrame, spec: SourceSpec, hash_fallback: bool = True) -> D
     so that later edits show; False hashes the empty text. A page that could not be
     read has NULL everywhere.
     """
-    found = pages.select("source", "url", _matches(pages, spec.detail).alias("m"))
-    picked = found.select(
+    picked = _matched(pages, spec.detail).select(
         "source",
         "url",
         F.col("m").isNotNull().alias("readable"),

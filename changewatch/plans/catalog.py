@@ -38,6 +38,8 @@ def build_pages(rows: DataFrame, key: str, piece: Column, before: str, after: st
     page_no = F.floor(F.col(key) / ROWS_PER_PAGE).cast("int")
     return (
         rows.select(page_no.alias("page_no"), key, piece.alias("piece"))
+        # reading pages costs more than their size says: a few tasks for each core
+        .repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "page_no")
         .groupBy("page_no")
         .agg(F.array_sort(F.collect_list(F.struct(key, "piece"))).alias("p"))
         .select(

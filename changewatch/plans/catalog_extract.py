@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changewatch.functions import html as H
 from changewatch.functions import text as T
 from changewatch.functions import urls as U
+from changewatch.functions.elements import Rule
 from changewatch.operators import dedupe, extract, quality
 from changewatch.plans.catalog import (
     H1_TITLE,
@@ -20,7 +21,6 @@ from changewatch.plans.catalog import (
     table,
 )
 from changewatch.sources.registry import BURLINGTON, BURLINGTON_NEWS, HALTON_REGION, OAKVILLE, SourceSpec
-from changewatch.sources.selectors import Rule
 
 STATUS_TEXT = {"O": "On-going", "F": " COMPLETED ", "P": "Deferred"}
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changewatch.sources.selectors import Rule
+from changewatch.functions.elements import Rule
 
 
 @dataclass(frozen=True)
