@@ -14,6 +14,10 @@ MESSAGES_PER_PAYLOAD = 10
 
 # --- schemas --------------------------------------------------------------------
 LANDED = "source string, kind string, page_no int, url string, body string"
+#: With the moment a page was fetched, which decides between versions of it.
+LANDED_AT = LANDED + ", landed_at timestamp"
+#: A record's place holds its page's number in so many bits.
+PAGE_BITS = 24
 
 LISTING_ROW = (
     "source string, page_no int, row_no int, title string, area string,"

@@ -184,24 +184,25 @@ def _iso_date(found: Column) -> Column:
     return T.let(iso, lambda d: F.when(F.left(d, F.lit(10)).try_cast("date").isNotNull(), d))
 
 
-def _clock(sentence: Column) -> Column:
-    def read(found: Column) -> Column:
-        hour = T.blank_to_null(F.regexp_extract(found, r"^([0-9]+)", 1)).try_cast("int")
-        minute = F.regexp_extract(found, r":([0-9]{2})", 1)
-        full = F.pmod(hour, F.lit(12)) + F.when(F.contains(F.lower(found), F.lit("p")), 12).otherwise(0)
-        return F.when(
-            hour.between(1, 12),
-            F.concat(F.lit("T"), F.lpad(full.cast("string"), 2, "0"), F.lit(":"),
-                     F.when(minute == "", F.lit("00")).otherwise(minute)),
-        )
+def _clock(found: Column) -> Column:
+    """``T18:30`` of a time of day; NULL if it is none."""
+    hour = T.blank_to_null(F.regexp_extract(found, r"^([0-9]+)", 1)).try_cast("int")
+    minute = F.regexp_extract(found, r":([0-9]{2})", 1)
+    full = F.pmod(hour, F.lit(12)) + F.when(F.contains(F.lower(found), F.lit("p")), 12).otherwise(0)
+    return F.when(
+        hour.between(1, 12),
+        F.concat(F.lit("T"), F.lpad(full.cast("string"), 2, "0"), F.lit(":"),
+                 F.when(minute == "", F.lit("00")).otherwise(minute)),
+    )
+
 
-    return T.let(F.regexp_extract(sentence, f"(?i){_TIME}", 0), read)
+BREAK = "\u0002"  # a line break inside a sentence
 
 
 def sentences(html: Column | str) -> Column:
-    """Sentences of an HTML fragment, their links kept, as an array."""
+    """Sentences of an HTML fragment, their links kept, as an array; ``BREAK`` marks their line breaks."""
     html = F.col(html) if isinstance(html, str) else html
-    lines = F.regexp_replace(html, r"(?i)<br\s*/?>", " ")  # a line break ends no sentence
+    lines = F.regexp_replace(html, r"(?i)<br\s*/?>", f" {BREAK} ")  # a line break ends no sentence
     blocks = F.regexp_replace(lines, r"(?i)</(?:p|li|h[1-6]|div|td|tr)>", "\u0001")
     ends = F.regexp_replace(blocks, r"([.!?])(\s+)(<?[A-Z])", "$1\u0001$3")
     # an abbreviated time ends in a full stop too
@@ -209,58 +210,160 @@ def sentences(html: Column | str) -> Column:
     return F.filter(F.split(whole, "\u0001", -1), T.has_text)
 
 
-_KEYWORD = "(?is)" + "|".join(rule.pattern for rule in EVENT_RULES)
+def _across_lines(pattern: str) -> str:
+    return pattern.replace(" ", rf"[\s{BREAK}]+")
+
+
+_KEYWORDS = "|".join(_across_lines(rule.pattern) for rule in EVENT_RULES)
+_RANGES = ("to", "through", "until", "till", "–", "—", "-")
+_RANGE = r"\b(?:to|through|until|till)\b|[–—-]"
+_TOKEN = rf"(?i){_DATE}|{_TIME}|{_KEYWORDS}|{_RANGE}|\bbetween\b|\band\b|{BREAK}"
+#: A range word joins two dates if it is so near to them (a weekday or "on" may stand between).
+_NEAR = 15
+_WORDS = "array<struct<s:int,e:int,line:int,rank:int>>"
+_DATES = "array<struct<s:int,e:int,line:int,day:string,time:string,until:string>>"
+
+
+def _typed_tokens(text: Column) -> Column:
+    """Dates, times, keywords, range words and line breaks of a sentence, in order, with the text length before each."""
+    gaps = F.split(text, _TOKEN, -1)
+
+    def typed(w: Column, k: Column) -> Column:
+        # what a token is shows at its start; only keywords are looked at again
+        digit = F.left(w, F.lit(1)).between("0", "9")
+        iso = digit & (F.substr(w, F.lit(5), F.lit(1)) == "-")
+        is_date = iso | (~digit & F.regexp_like(w, F.lit(rf"(?i)^(?:{_MONTHS})\s")))
+        small = F.lower(w)
+        ranged, other = small.isin(*_RANGES), small.isin("between", "and", BREAK)
+        rank = F.lit(None).cast("int")
+        for at, rule in reversed(list(enumerate(EVENT_RULES))):
+            rank = F.when(F.regexp_like(w, F.lit("(?is)" + _across_lines(rule.pattern))), F.lit(at)).otherwise(rank)
+        return F.struct(
+            F.length(F.get(gaps, k)).alias("gap"), F.length(w).alias("n"),
+            F.when(is_date, _iso_date(w)).alias("day"), F.when(digit & ~iso, _clock(w)).alias("time"),
+            F.when(~digit & ~ranged & ~other, rank).alias("rank"),
+            ranged.alias("range"), (small == "between").alias("between"), (small == "and").alias("both"),
+            F.when(F.contains(w, F.lit(BREAK)), F.size(F.split(w, BREAK, -1)) - 1).otherwise(0).alias("breaks"),
+        )
+
+    return F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), typed)
+
 
+def _scan(tokens: Column) -> Column:
+    """One pass over the tokens: (words, dates), each with its place and line; a date may have a time and an end."""
+
+    def step(a: Column, t: Column) -> Column:
+        start = a["pos"] + t["gap"]
+        end = start + t["n"]
+        line = a["line"] + t["breaks"]
+        last = F.get(a["dates"], F.size(a["dates"]) - 1)
+        follows = F.coalesce(last["line"] == line, F.lit(False))
+        joins = follows & (a["link"] >= 0) & (start - a["link"] <= _NEAR) & last["until"].isNull()
+        timed = follows & last["time"].isNull() & last["until"].isNull()
+        earlier = F.slice(a["dates"], F.lit(1), F.greatest(F.size(a["dates"]) - 1, F.lit(0)))
+
+        def entry(s: Column, ln: Column, day: Column, time: Column, until: Column) -> Column:
+            names = (s.alias("s"), end.alias("e"), ln.alias("line"), day.alias("day"), time.alias("time"), until.alias("until"))
+            return F.array(F.struct(*names)).cast(_DATES)
+
+        none = F.lit(None).cast("string")
+        dates = (
+            F.when(t["day"].isNotNull() & joins, F.concat(earlier, entry(last["s"], line, last["day"], last["time"], t["day"])))
+            .when(t["day"].isNotNull(), F.concat(a["dates"], entry(start, line, t["day"], a["pending"], none)))
+            .when(t["time"].isNotNull() & timed, F.concat(earlier, entry(last["s"], line, last["day"], t["time"], none)))
+            .otherwise(a["dates"])
+        )
+        word = F.array(F.struct(start.alias("s"), end.alias("e"), line.alias("line"), t["rank"].alias("rank"))).cast(_WORDS)
+        ranged = follows & (start - last["e"] <= _NEAR) & (t["range"] | (t["both"] & a["between"]))
+        return F.struct(
+            end.alias("pos"), line.alias("line"),
+            # a time before its date waits for it; the first of several counts
+            F.when(t["day"].isNotNull() | (t["breaks"] > 0), none)
+            .when(t["time"].isNotNull() & ~follows, F.coalesce(a["pending"], t["time"])).otherwise(a["pending"]).alias("pending"),
+            F.when(ranged, end).when(t["time"].isNotNull(), a["link"]).otherwise(F.lit(-1)).alias("link"),
+            ((a["between"] | t["between"]) & (t["breaks"] == 0)).alias("between"),
+            F.when(t["rank"].isNotNull(), F.concat(a["words"], word)).otherwise(a["words"]).alias("words"),
+            dates.alias("dates"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("pos"), F.lit(0).alias("line"), F.lit(None).cast("string").alias("pending"), F.lit(-1).alias("link"),
+        F.lit(False).alias("between"), F.array().cast(_WORDS).alias("words"), F.array().cast(_DATES).alias("dates"),
+    )
+    return F.aggregate(tokens, start, step, lambda a: F.struct(a["words"].alias("words"), a["dates"].alias("dates")))
 
-def dated_item(sentence: Column) -> Column:
-    """The event a sentence speaks of, NULL if it has no keyword or no date.
 
-    Both are looked for in the cleaned text, where entities are decoded and inner tags gone. Only
-    a sentence with a digit, or an entity that may stand for one, is cleaned at all.
+def _kind(date: Column, words: Column, dates: Column) -> Column:
+    """The keyword nearest to a date: on its own line, else on lines without dates.
+
+    A keyword that is nearer to another date counts only if there is no other; earlier rules count first where two are equally near.
     """
+    def apart(w: Column, d: Column) -> Column:
+        return F.greatest(w["s"] - d["e"], d["s"] - w["e"], F.lit(0))
+
+    def distance(w: Column) -> Column:
+        taken = F.exists(dates, lambda d: (d["line"] == w["line"]) & (apart(w, d) < apart(w, date)))
+        return F.struct(w["line"] != date["line"], taken, apart(w, date), w["rank"].alias("rank"))
+
+    usable = F.filter(words, lambda w: (w["line"] == date["line"]) | ~F.exists(dates, lambda d: d["line"] == w["line"]))
+    rank = F.array_min(F.transform(usable, distance))["rank"]
+    return F.get(F.array(*(F.lit(rule.label) for rule in EVENT_RULES)), rank)
+
+
+_KEYWORD = "(?is)" + _KEYWORDS
+
+
+def dated_items(sentence: Column) -> Column:
+    """The events a sentence speaks of, as an array: one for each date, or range of dates, that has a keyword.
 
-    def item(t: Column) -> Column:
-        dates = F.transform(F.regexp_extract_all(t, F.lit(f"(?i){_DATE}"), F.lit(0)), _iso_date)
-        kind = by_rules(t, EVENT_RULES, "", "")["label"]
+    Dates and keywords are looked for in the cleaned text, where entities are decoded and inner tags gone. Only
+    a sentence with a digit, or an entity that may stand for one, is cleaned at all. Where several lines
+    of a sentence have dates, place, link and notes of an event are those of its line.
+    """
+    none = F.array().cast(f"array<{EXTRACTED_ITEM}>")
+
+    def items(t: Column) -> Column:
         return T.let(
-            F.struct(t.alias("text"), dates.alias("dates"), kind.alias("kind")),
-            lambda f: _item(f["text"], f["dates"], f["kind"], sentence),
+            F.struct(_scan(_typed_tokens(t)).alias("f"), F.split(t, BREAK, -1).alias("lines"), F.split(sentence, BREAK, -1).alias("raw")),
+            lambda x: F.filter(F.transform(x["f"]["dates"], lambda d: _item(d, x, t, sentence)), lambda i: i.isNotNull()),
         )
 
     def speaking(t: Column) -> Column:
         speaks = F.regexp_like(t, F.lit(_KEYWORD)) & F.regexp_like(t, F.lit("[0-9]{4}"))
-        return F.when(speaks, item(t))
+        return F.when(speaks, items(t)).otherwise(none)
 
-    return F.when(F.regexp_like(sentence, F.lit("[0-9&]")), T.let(H.clean_text(sentence), speaking))
+    return F.when(F.regexp_like(sentence, F.lit("[0-9&]")), T.let(H.clean_text(sentence), speaking)).otherwise(none)
 
 
-def _item(text: Column, dates: Column, kind: Column, sentence: Column) -> Column:
-    first = F.get(dates, F.lit(0))
-    timed = F.when(
-        F.length(first) == 10, F.concat(first, F.coalesce(_clock(text), F.lit("")))
-    ).otherwise(first)
-    due = (kind == "comment_deadline") & (F.size(dates) == 1)
-    place = F.regexp_extract(text, r"\b(?:at|At) (?:the )?([A-Z][\w'&.\-]*(?: [A-Z0-9][\w'&.\-]*)*)", 1)
-    place = F.regexp_replace(place, r"[.\-]+$", "")
-    return F.when(
-        (kind != "") & (F.size(dates) > 0),
-        F.struct(
-            kind.alias("type"),
+def _item(date: Column, found: Column, text: Column, sentence: Column) -> Column:
+    dates, words = found["f"]["dates"], found["f"]["words"]
+    several = F.exists(dates, lambda d: d["line"] != date["line"])
+    own = T.collapse_ws(F.when(several, F.get(found["lines"], date["line"])).otherwise(F.regexp_replace(text, BREAK, " ")))
+    markup = F.when(several, F.get(found["raw"], date["line"])).otherwise(sentence)
+    timed = F.when(F.length(date["day"]) == 10, F.concat(date["day"], F.coalesce(date["time"], F.lit("")))).otherwise(date["day"])
+
+    def item(x: Column) -> Column:
+        due = (x["kind"] == "comment_deadline") & date["until"].isNull()
+        place = F.regexp_extract(x["text"], r"\b(?:at|At) (?:the )?([A-Z][\w'&.\-]*(?: [A-Z0-9][\w'&.\-]*)*)", 1)
+        place = F.regexp_replace(place, r"[.\-]+$", "")
+        return F.struct(
+            x["kind"].alias("type"),
             F.when(~due, timed).alias("event_date"),
-            F.when(due, timed).otherwise(F.get(dates, F.lit(1))).alias("end_date"),
-            F.when(F.regexp_like(text, F.lit(r"(?i)\bonline\b|\bvirtual")), F.lit("Online"))
+            F.when(due, timed).otherwise(date["until"]).alias("end_date"),
+            F.when(F.regexp_like(x["text"], F.lit(r"(?i)\bonline\b|\bvirtual")), F.lit("Online"))
             .otherwise(T.blank_to_null(place))
             .alias("location"),
-            T.blank_to_null(T.decode_entities(F.regexp_extract(sentence, 'href="([^"]+)"', 1))).alias("url"),
-            text.alias("notes"),
-        ).cast(EXTRACTED_ITEM),
-    )
+            T.blank_to_null(T.decode_entities(F.regexp_extract(markup, 'href="([^"]+)"', 1))).alias("url"),
+            x["text"].alias("notes"),
+        ).cast(EXTRACTED_ITEM)
+
+    return T.let(F.struct(_kind(date, words, dates).alias("kind"), own.alias("text")), lambda x: F.when(x["kind"].isNotNull(), item(x)))
 
 
 def items_by_rules(html: Column | str) -> Column:
     """``array<item>`` of a page's dated events; no HTML, no work."""
     html = F.col(html) if isinstance(html, str) else html
-    found = F.filter(F.transform(sentences(html), dated_item), lambda x: x.isNotNull())
+    found = F.flatten(F.transform(sentences(html), dated_items))
     return F.when(T.has_text(html), found).otherwise(F.array().cast(f"array<{EXTRACTED_ITEM}>"))
 
 

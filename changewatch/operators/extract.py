@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from changewatch.functions import text as T
 from changewatch.functions import urls as U
 from changewatch.functions.elements import Rule, first_value, of_rule, with_matches
-from changewatch.model import DOCUMENT_LINK
+from changewatch.model import DOCUMENT_LINK, PAGE_BITS
 from changewatch.operators import dedupe
-from changewatch.sources.landed import feed_items
+from changewatch.sources.landed import feed_items, page_key, without_rows
 from changewatch.sources.registry import SourceSpec
 
 STUDY_COLUMNS = ["source", "owner", "title", "areas", "status", "raw_status", "source_url", "pos"]
@@ -26,18 +26,46 @@ def position(page_no: Column | str = "page_no", row_no: Column | str = "row_no")
 def parsed(landed: DataFrame, specs: tuple[SourceSpec, ...]) -> DataFrame:
     """One pass over the landed pages of all sources: matches in ``m``, feeds as text.
 
-    Written as a table it takes the place of the pages in all that follows.
+    Written as a table it takes the place of the pages in all that follows. ``version`` and ``row`` tell rows of one
+    page apart (:func:`single`). Listing pages without a usable number are left out (:func:`misnumbered`).
     """
     rules = {f"{s.name}/{kind}": r for s in specs for kind, r in (("listing", s.listing), ("detail", s.detail))}
     feeds = [s.name for s in specs if s.layout == "feed"]
     is_feed = F.col("source").isin(feeds) & (F.col("kind") == "listing")
     html = F.when(~is_feed, F.col("body"))
-    own = landed.filter(F.col("source").isin([s.name for s in specs]))
+    own = landed.filter(F.col("source").isin([s.name for s in specs]) & ((F.col("kind") != "listing") | numbered()))
     return with_matches(own, html, rules, F.concat_ws("/", "source", "kind")).select(
-        "source", "kind", "page_no", "url", F.when(is_feed, F.col("body")).alias("body"), "m"
+        "source", "kind", "page_no", "url", F.when(is_feed, F.col("body")).alias("body"), "m",
+        F.xxhash64("body").alias("version"), F.monotonically_increasing_id().alias("row"),
     )
 
 
+def single(pages: DataFrame) -> DataFrame:
+    """``pages``, a table of :func:`parsed`, with each page once; of several texts that of the smallest hash. No text is shuffled."""
+    names = ["_source", "_kind", "_url", "_page_no"]
+    keys = [k.alias(n) for k, n in zip(page_key(), names, strict=True)]
+    rows = pages.select(*keys, "version", "row")
+    twice = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min(F.struct("version", "row")).alias("one")).filter("n > 1").checkpoint()
+    if twice.isEmpty():
+        return pages
+    same = F.lit(True)
+    for n in names:
+        same = same & rows[n].eqNullSafe(twice[n])
+    spare = rows.join(twice, same).filter("row <> one.row").select(F.col("row").alias("_row")).checkpoint()
+    return without_rows(pages, spare, F.col("row") == F.col("_row"))
+
+
+def numbered() -> Column:
+    """Whether a listing page's number can be part of its rows' places."""
+    return F.coalesce(F.col("page_no").between(0, (1 << PAGE_BITS) - 1), F.lit(False))
+
+
+def misnumbered(landed: DataFrame, specs: tuple[SourceSpec, ...]) -> DataFrame:
+    """Listing pages left out for want of a usable number: source, kind, url."""
+    listing = F.col("source").isin([s.name for s in specs]) & (F.col("kind") == "listing")
+    return landed.filter(listing & ~numbered()).select("source", "kind", "url")
+
+
 def unreadable(pages: DataFrame, specs: tuple[SourceSpec, ...]) -> DataFrame:
     """Pages of :func:`parsed` from which nothing could be read: source, kind, url."""
     feeds = [s.name for s in specs if s.layout == "feed"]

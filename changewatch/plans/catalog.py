@@ -33,13 +33,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table given as one small file, dealt out as landed pages are: reading a page costs more than its size says."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def build_pages(rows: DataFrame, key: str, piece: Column, before: str, after: str, source: str) -> DataFrame:
     """Landed pages of ``ROWS_PER_PAGE`` consecutive keys each, one piece per row."""
     page_no = F.floor(F.col(key) / ROWS_PER_PAGE).cast("int")
     return (
-        rows.select(page_no.alias("page_no"), key, piece.alias("piece"))
-        # reading pages costs more than their size says: a few tasks for each core
-        .repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "page_no")
+        spread(rows.select(page_no.alias("page_no"), key, piece.alias("piece")), "page_no")
         .groupBy("page_no")
         .agg(F.array_sort(F.collect_list(F.struct(key, "piece"))).alias("p"))
         .select(

@@ -13,7 +13,7 @@ from changewatch.model import SNAPSHOT
 from changewatch.operators import classify as C
 from changewatch.operators import diff, notify, quality
 from changewatch.operators.classify import Keyword, classify_by_function
-from changewatch.plans.catalog import ROWS_PER_PAGE, query, table
+from changewatch.plans.catalog import ROWS_PER_PAGE, query, spread, table
 from changewatch.plans.catalog_extract import titled
 from changewatch.plans.run import Settings, run
 from changewatch.plans.state import QUARANTINE, State
@@ -488,7 +488,35 @@ def dated_events(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == "signup", F.concat(F.lit("Signed up on "), day))
     )
     html = F.concat(F.lit("<p>Some words. Others follow!</p><p>"), F.regexp_replace(sentence, r"\. See (.*)\.$", " $1."), F.lit("</p>"))
-    pages = table(spark, sf, "events").select("event_id", html.alias("html"))
+    pages = spread(table(spark, sf, "events"), "event_id").select("event_id", html.alias("html"))
+    return pages.select("event_id", F.explode(C.items_by_rules("html")).alias("i")).select(
+        "event_id", "i.type", "i.event_date", "i.end_date", "i.location", "i.url"
+    )
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%dT%H:%M') AS moment,
+                  strftime(ts + INTERVAL 5 DAYS, '%Y-%m-%d') AS later, strftime(ts + INTERVAL 9 DAYS, '%Y-%m-%d') AS last, event_id % 2 = 0 AS even FROM events)
+       SELECT event_id, 'open_house' AS type, moment AS event_date, CAST(NULL AS VARCHAR) AS end_date, 'Hall ' || user_id AS location,
+              'https://www.example.ca/e?n=' || event_id || '&x' AS url FROM e
+       UNION ALL SELECT event_id, 'open_house', later, NULL, NULL, NULL FROM e WHERE even
+       UNION ALL SELECT event_id, 'comment_deadline', CASE WHEN even THEN later END, last, NULL, NULL FROM e
+       UNION ALL SELECT event_id, 'hearing', last, NULL, 'Online', NULL FROM e WHERE NOT even"""
+)
+def dated_event_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Several events in the lines of one block: line breaks, ranges, inner tags and entities."""
+    day = lambda n: F.date_format(F.col("ts") + F.expr(f"INTERVAL {n} DAYS"), "MMMM d, yyyy")
+    clock = F.concat(F.date_format("ts", "h:mm "), F.when(F.hour("ts") < 12, "a.m.").otherwise("p.m."))
+    even = F.col("event_id") % 2 == 0
+    first = F.concat(F.lit('<p>Open&nbsp;<b>house</b>: '), day(0), F.lit(", "), clock, F.lit(" at Hall "), "user_id",
+                     F.lit(', <a href="https://www.example.ca/e?n='), "event_id", F.lit('&amp;x">map</a>'))
+    html = F.concat(
+        first,
+        F.when(even, F.concat(F.lit("<br>Open house <i>again</i>: "), day(5), F.lit("<br/>Comments from&#32;"), day(5), F.lit(" &ndash; "), day(9)))
+        .otherwise(F.concat(F.lit("<br />Written comments<br>are due on "), day(9), F.lit("<BR>The public hearing is online: "), day(9))),
+        F.lit("<br>See the notice</p>"),
+    )
+    pages = spread(table(spark, sf, "events"), "event_id").select("event_id", html.alias("html"))
     return pages.select("event_id", F.explode(C.items_by_rules("html")).alias("i")).select(
         "event_id", "i.type", "i.event_date", "i.end_date", "i.location", "i.url"
     )
@@ -662,7 +690,8 @@ def _one_run(spark: SparkSession, landed: DataFrame, judge=None) -> State:
        UNION ALL SELECT 'oakville', 'record', 'no detail page', 'https://www.oakville.ca/d/' || doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 7 = 1
        UNION ALL SELECT 'oakville', 'landing', 'no source reads this kind: picture', 'https://www.oakville.ca/d/' || doc_id FROM documents WHERE doc_id % 7 = 2
        UNION ALL SELECT 'elsewhere', 'landing', 'no source reads this kind: detail', 'https://www.oakville.ca/d/' || doc_id FROM documents WHERE doc_id % 7 = 3
-       UNION ALL SELECT DISTINCT 'oakville', 'listing', 'unreadable page', 'x' || doc_id // 100 FROM documents"""
+       UNION ALL SELECT DISTINCT 'oakville', 'listing', 'unreadable page', 'x' || doc_id // 100 FROM documents
+       UNION ALL SELECT DISTINCT 'oakville', 'listing', 'bad page number', 'y' || doc_id // 100 FROM documents"""
 )
 def quarantined_pages(spark: SparkSession, sf: str) -> DataFrame:
     """What a run reports of pages it cannot use: unreadable, missing, of no source."""
@@ -675,7 +704,12 @@ def quarantined_pages(spark: SparkSession, sf: str) -> DataFrame:
     blank = F.lit(None).cast("string")
     unread = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).cast("int").alias("page_no")).distinct().select(
         F.lit(OAKVILLE.name).alias("source"), F.lit("listing").alias("kind"), "page_no", F.concat(F.lit("x"), "page_no").alias("url"), blank.alias("body"))
-    state = _one_run(spark, pages.unionByName(strays).unionByName(unread))
+    # listing pages without a number, of a negative one, or of one too large
+    kind_of = F.pmod("page_no", F.lit(3))
+    number = F.when(kind_of == 0, F.lit(None)).when(kind_of == 1, F.lit(-1)).otherwise(F.lit(1 << 24)).cast("int")
+    lost = unread.select("source", "kind", number.alias("page_no"), F.concat(F.lit("y"), "page_no").alias("url"),
+                         F.lit('<div class="widget-page-cards"><a class="card" href="/z"><b class="card-title">Z</b></a></div>').alias("body"))
+    state = _one_run(spark, pages.unionByName(strays).unionByName(unread).unionByName(lost))
     return state.table("quarantine", QUARANTINE).select("source", "stage", "error", "url")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changewatch.functions import html as H
@@ -14,12 +17,15 @@ from changewatch.plans.catalog import (
     H1_TITLE,
     build_pages,
     query,
+    spread,
     sql_collapse,
     sql_decode,
     sql_encode,
     sql_strip,
     table,
 )
+from changewatch.session import use_checkpoint_dir
+from changewatch.sources.landed import newest, read_pages
 from changewatch.sources.registry import BURLINGTON, BURLINGTON_NEWS, HALTON_REGION, OAKVILLE, SourceSpec
 
 STATUS_TEXT = {"O": "On-going", "F": " COMPLETED ", "P": "Deferred"}
@@ -63,6 +69,36 @@ def landed_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    """SELECT url, 'detail' AS kind, CASE WHEN page_id % 3 = 0 THEN sha256('new' || html) ELSE sha256(html) END AS body_hash,
+              CASE WHEN page_id % 3 = 0 THEN 3 WHEN page_id % 3 = 1 THEN 2 END AS day FROM pages
+       UNION ALL SELECT 'list', 'listing', sha256('page ' || page_id), CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END FROM pages"""
+)
+def newest_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Versions of landed pages, each with its moment: the newest of each page, read from a landing folder."""
+    pages = table(spark, sf, "pages")
+
+    def version(kind: str, day: int | None, body: Column, rows: Column | bool = True) -> DataFrame:
+        number = F.col("page_id").cast("int") if kind == "listing" else F.lit(day)
+        return pages.filter(F.lit(rows) if rows is True else rows).select(
+            F.lit("s").alias("source"), F.lit(kind).alias("kind"), number.alias("page_no"),
+            (F.lit("list") if kind == "listing" else F.col("url")).alias("url"), body.alias("body"),
+            F.to_timestamp(F.lit(f"2025-01-0{day}" if day else None)).alias("landed_at"))
+
+    third, second = F.col("page_id") % 3, F.col("page_id") % 2
+    landed = [
+        version("detail", None, F.when(third == 2, F.col("html")).otherwise(F.lit("without time"))),
+        version("detail", 2, F.when(third == 1, F.col("html")).otherwise(F.lit("older")), third < 2),
+        version("detail", 3, F.concat(F.lit("new"), "html"), third == 0), version("detail", 1, F.lit("oldest"), third == 0),
+        version("listing", 1, F.when(second == 1, F.concat(F.lit("page "), "page_id")).otherwise(F.lit("older"))),
+        version("listing", 2, F.concat(F.lit("page "), "page_id"), second == 0),
+    ]
+    folder = f"{use_checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
+    reduce(DataFrame.unionByName, landed).write.partitionBy("source", "kind").parquet(folder)
+    found = newest(read_pages(spark, folder))
+    return found.select("url", "kind", T.sha256_hex("body").alias("body_hash"), F.dayofmonth("landed_at").alias("day"))
+
+
 FEED_PATH = BURLINGTON_NEWS.path_prefix
 
 
@@ -250,7 +286,7 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_LINKS_SQL} SELECT page_id, title, url FROM links WHERE rn = 1")
 def page_links_by_selector(spark: SparkSession, sf: str) -> DataFrame:
     """The same links by the selector tier."""
-    pages = table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("url"), F.col("html").alias("body"))
+    pages = spread(table(spark, sf, "pages"), "page_id").select(F.lit("pages").alias("source"), F.col("page_id").alias("url"), F.col("html").alias("body"))
     return (
         extract.details(pages, _PAGES_SPEC)
         .select(F.col("url").alias("page_id"), F.explode("document_links").alias("l"))
@@ -269,7 +305,7 @@ def page_links_by_selector(spark: SparkSession, sf: str) -> DataFrame:
 )
 def page_details(spark: SparkSession, sf: str) -> DataFrame:
     """Block text, or heading and main text where the block is empty; content hash."""
-    pages = table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("url"), F.col("html").alias("body"))
+    pages = spread(table(spark, sf, "pages"), "page_id").select(F.lit("pages").alias("source"), F.col("page_id").alias("url"), F.col("html").alias("body"))
     return extract.details(pages, _PAGES_SPEC, hash_fallback=False).select(
         F.col("url").alias("page_id"), "description", F.size("document_links").cast("bigint").alias("n_links"), "content_hash"
     )

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from changewatch.functions.text import as_of_text, record_key
 from changewatch.operators import classify as C
 from changewatch.operators import diff, extract, notify
-from changewatch.operators.dedupe import first_seen
 from changewatch.operators.ordered import EVERY
 from changewatch.plans.state import State, bucket_of
-from changewatch.sources.landed import union_sources
+from changewatch.sources.landed import newest, union_sources
+from changewatch.session import use_checkpoint_dir
 from changewatch.sources.registry import ACTIVE, SourceSpec, owners
 
 
@@ -37,7 +37,7 @@ class Settings:
 def records(pages: DataFrame, settings: Settings, buckets: int) -> DataFrame:
     """Listed records of all sources with their details, one row each.
 
-    ``pages`` is the table of :func:`changewatch.operators.extract.parsed`.
+    ``pages`` is the table of :func:`changewatch.operators.extract.parsed`, each page once.
 
     ``error`` says why a record cannot be processed: it is then quarantined while
     the rest goes on.
@@ -54,10 +54,7 @@ def records(pages: DataFrame, settings: Settings, buckets: int) -> DataFrame:
             extract.details(own.filter(F.col("kind") == "detail"), spec, settings.hash_fallback)
         )
     studies = union_sources(listed)
-    # a page landed twice counts once
-    details = first_seen(
-        reduce(DataFrame.unionByName, described), ["source", "url"], ["content_hash"]
-    ).withColumnRenamed("url", "source_url").drop("readable").withColumn("landed", F.lit(True))
+    details = reduce(DataFrame.unionByName, described).withColumnRenamed("url", "source_url").withColumn("landed", F.lit(True))
     joined = studies.join(details, ["source", "source_url"], "left").join(
         owners(pages.sparkSession).select(F.col("name").alias("owner"), "owner_id"), "owner", "left"
     )
@@ -82,11 +79,8 @@ def records(pages: DataFrame, settings: Settings, buckets: int) -> DataFrame:
 
 
 def sequence(source_ord: Column, pos: Column) -> Column:
-    """Source order, page and row as one bigint; a page number that does not fit is an error."""
-    fits = (source_ord < 128) & (pos < (1 << 56))
-    return F.when(fits, F.shiftleft(source_ord.cast("bigint"), 56) + pos).otherwise(
-        F.raise_error(F.lit("a page number of 16777216 or more, or over 128 sources: seq cannot hold it"))
-    )
+    """Source order, page and row as one bigint; pages whose number does not fit were left out before."""
+    return F.shiftleft(source_ord.cast("bigint"), 56) + pos
 
 
 def run(
@@ -104,6 +98,9 @@ def run(
     """
     spark: SparkSession = landed.sparkSession
     settings = settings or Settings()
+    if len(settings.specs) > 128:
+        raise ValueError("over 128 sources: a record's place cannot hold them")
+    use_checkpoint_dir(spark)
     classify = settings.classify or C.classify_by_rules()
     state = State(spark, state_dir, settings.buckets)
     if batch_id is not None and state.batch_id is not None and batch_id <= state.batch_id:
@@ -112,9 +109,10 @@ def run(
     at = F.lit((now or datetime.now(timezone.utc)).astimezone(timezone.utc)).cast("timestamp")
 
     # 1. extract
-    pages = state.write(
+    landed = newest(landed)
+    pages = extract.single(state.write(
         extract.parsed(landed, settings.specs), "parsed", no, by=("source", "kind")
-    )
+    ))
     staged = state.write(records(pages, settings, state.buckets), "staged", no)
     good = staged.filter(F.col("error").isNull())
     touched = sorted(r.bucket for r in good.select("bucket").distinct().collect())
@@ -223,7 +221,10 @@ def unread_pages(pages: DataFrame, landed: DataFrame, specs: tuple[SourceSpec, .
         "source", *none, "url", F.lit("landing").alias("stage"),
         F.concat(F.lit("no source reads this kind: "), F.coalesce("kind", F.lit("none"))).alias("error"),
     )
-    return bad.unionByName(stray).withColumn("at", at)
+    lost = extract.misnumbered(landed, specs).select(
+        "source", *none, "url", F.lit("listing").alias("stage"), F.lit("bad page number").alias("error")
+    )
+    return bad.unionByName(stray).unionByName(lost).withColumn("at", at)
 
 
 def unclassified(steps: DataFrame, at: Column) -> DataFrame:

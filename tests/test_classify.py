@@ -55,6 +55,39 @@ def test_event_rules_see_cleaned_text(spark):
     assert got == {0: [("open_house", "2025-06-05")], 1: [("open_house", "2025-06-05")], 2: [("open_house", "2025-06-05")], 3: []}
 
 
+EVENTS = [
+    ("Open house: June 5, 2025<br>Workshop: July 8, 2025", [("open_house", "2025-06-05", None)]),
+    ("Open house: June 5, 2025<br/>Comments due July 8, 2025<br>Public hearing: <b>August</b> 9, 2025, 7 p.m.",
+     [("open_house", "2025-06-05", None), ("comment_deadline", None, "2025-07-08"), ("hearing", "2025-08-09T19:00", None)]),
+    ("Open houses:<br>June 5, 2025, 6 p.m.<br>June&nbsp;12, 2025<br>2025-06-19 at 10:30 a.m.",
+     [("open_house", "2025-06-05T18:00", None), ("open_house", "2025-06-12", None), ("open_house", "2025-06-19T10:30", None)]),
+    ("Comments are taken from June 1, 2025 to Monday, June 30, 2025 and the hearing is on July 2, 2025",
+     [("comment_deadline", "2025-06-01", "2025-06-30"), ("hearing", "2025-07-02", None)]),
+    ("Send feedback between June 1, 2025 and June 30, 2025", [("comment_deadline", "2025-06-01", "2025-06-30")]),
+    ("An open house on June 5, 2025 and another on June 6, 2025", [("open_house", "2025-06-05", None), ("open_house", "2025-06-06", None)]),
+    ("From 6 p.m. to 8 p.m. on June 5, 2025 an open house takes place", [("open_house", "2025-06-05T18:00", None)]),
+    ("The hearing of June 5, 2025 &ndash; June 6, 2025", [("hearing", "2025-06-05", "2025-06-06")]),
+    ("Public hearing on the<br>crossing is on<br>June 5, 2025", [("hearing", "2025-06-05", None)]),
+    ("The hearing is on February 30, 2025", []), ("Built in 2025 after a hearing", []),
+]
+
+
+def test_several_events_in_lines_and_sentences(spark):
+    df = spark.createDataFrame([(i, f"<p>{h}</p>") for i, (h, _) in enumerate(EVENTS)], "i int, h string")
+    got = {r.i: [(x.type, x.event_date, x.end_date) for x in r.e] for r in df.select("i", C.items_by_rules("h").alias("e")).collect()}
+    for i, (html, want) in enumerate(EVENTS):
+        assert got[i] == want, html
+
+
+def test_events_of_lines_keep_their_own_place_and_link(spark):
+    html = ('Open house: June 5, 2025 at Town Hall, <a href="/one">map</a><br>Open house: June 6, 2025, online<br>'
+            'Hearing: June 7, 2025 at Hall Two <a href="/two?a&amp;b">more</a>')
+    row = spark.createDataFrame([(html,)], "h string").select(C.items_by_rules("h").alias("e")).first()
+    assert [(x.location, x.url, x.notes) for x in row.e] == [
+        ("Town Hall", "/one", "Open house: June 5, 2025 at Town Hall, map"), ("Online", None, "Open house: June 6, 2025, online"),
+        ("Hall Two", "/two?a&b", "Hearing: June 7, 2025 at Hall Two more")]
+
+
 def test_items_by_rules(spark):
     html = ('<p>An open house will be held on June 5, 2025 at 6:30 p.m. at Town Hall. See <a href="https://x.ca/a?b&amp;c">more</a>.</p>'
             "<ul><li>Comments are due by July 1st, 2025.</li><li>Comment period: 2025-06-01 to 2025-06-30</li></ul>"
