@@ -12,11 +12,11 @@ occurrence). So equal (seed, turn, key, text) always give equal ids, on whatever
 however often, while a word is cut anew wherever it occurs; another ``turn`` cuts all of it anew.
 Without dropout the ids are those of the vocabulary's own encoder.
 
-What is kept between occurrences is only what follows from their draws: for a unit and the numbers
-of the candidates skipped so far, the ids if nothing else is skipped. An occurrence makes its draws one
-by one along these states, until one is left without a further skip. States not met before come
-from the agendas of many units worked off together, as rows of one numpy array. A long unit (over
-``LONG`` characters) has a heap of its own. The results are the same.
+What is kept between occurrences is only what follows from their draws: the ids of a unit if nothing
+is skipped, and if only one candidate is. States not met before come from the agendas of many units
+worked off together, as rows of one numpy array. An occurrence that skips more has an agenda of its own in
+such an array, of which nothing is kept. A long unit (over ``LONG`` characters) has a heap of its own. The
+results are the same.
 
 Decoding is lossless with and without dropout: characters that are no piece become byte pieces,
 and so does the white space sign itself where it occurs in a text.
@@ -50,7 +50,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT = 0.1
 SEED = 2024
-CACHE = 300_000
+CACHE = 500_000
 LONG = 48
 NEVER = 1 << 30
 BATCH = 20_000
@@ -86,29 +86,31 @@ class Column:
 
 
 class States:
-    """By state: ids, number of the first candidate not drawn for yet, how many there are, and the
-    state that a skip of each of them leads to (-1: not known yet)."""
+    """By state: its unit, the candidate that is skipped (-1: none), the ids, number of the first candidate not drawn
+    for yet, how many there are, and the state that a skip of each of them leads to (-1: not known yet)."""
 
     def __init__(self) -> None:
         self.of_unit: dict[str, int] = {}
-        self.skipped: list[tuple[str, tuple[int, ...]]] = []
-        self.ids, self.begin, self.n_ids = Column(np.int32), Column(np.int64), Column(np.int64)
-        self.first, self.draws = Column(np.int64), Column(np.int64)
+        self.units: list[str] = []
+        self.ids, self.begin, self.n_ids = Column(np.int32), Column(np.int64), Column(np.int32)
+        self.first, self.draws = Column(np.int32), Column(np.int32)
         self.next, self.next_begin = Column(np.int32), Column(np.int64)
 
-    def add(self, skipped: list[tuple[str, tuple[int, ...]]], ids: list[list[int]], draws: np.ndarray) -> int:
-        """The first of these states; ``draws``: how many candidates are drawn for in all, with those up to the last skip."""
-        at = len(self.skipped)
-        first = np.array([x[-1] + 1 if x else 0 for _, x in skipped])
-        n_ids, own = np.array(list(map(len, ids))), draws - first
-        self.skipped += skipped
+    def add(self, units: list[str], skipped: np.ndarray, ids: np.ndarray, n_ids: np.ndarray, draws: np.ndarray) -> int:
+        """The first of these states; ``draws``: how many candidates are drawn for in all, with those up to the skipped one."""
+        at = len(self.units)
+        first = skipped + 1
+        own = draws - first
+        self.units += units
         self.begin.add(self.ids.size + np.cumsum(n_ids) - n_ids)
         self.n_ids.add(n_ids)
-        self.ids.add(np.fromiter(chain.from_iterable(ids), np.int32))
+        self.ids.add(ids)
         self.first.add(first)
         self.draws.add(own)
-        self.next_begin.add(self.next.size + np.cumsum(own) - own)
-        self.next.add(np.full(int(own.sum()), -1))
+        # from a state with a skip no further one is kept
+        ways = np.where(skipped < 0, own, 0)
+        self.next_begin.add(self.next.size + np.cumsum(ways) - ways)
+        self.next.add(np.full(int(ways.sum()), -1))
         return at
 
 
@@ -171,10 +173,10 @@ class Pieces:
     def merged_many(self, units: list[str], keys: np.ndarray | None = None, skipped: np.ndarray | None = None) -> list[list[int]]:
         """Ids of each unit by agendas that are rows of one array: NEVER where no candidate is.
 
-        Candidates are skipped by the draws of ``keys``, or as ``skipped`` (unit, candidate) says.
+        Candidates are skipped by the draws of ``keys``, or, one of each unit, as ``skipped`` says (-1: none).
         """
         if skipped is None:
-            skipped = np.zeros((len(units), 1), bool)
+            skipped = np.full(len(units), -1)
         keys = None if keys is None else keys.astype(np.uint64)
         number = 0
         n, width = len(units), max(map(len, units))
@@ -202,7 +204,7 @@ class Pieces:
             if keys is not None:
                 skip = hashes(keys[row], np.array([number])) < self.limit
             else:
-                skip = skipped[row, number] if number < skipped.shape[1] else np.zeros(len(row), bool)
+                skip = skipped[row] == number
             number += 1
             agenda[every[skip], at[skip]] = NEVER
             go = every[~skip]
@@ -266,64 +268,85 @@ class Pieces:
             offer(at)
         return [p for p in parts if p]
 
-    def _spelled(self, ids: list[int]) -> list[int]:
-        """Characters beyond the ids in bytes."""
-        if not ids or max(ids) < self.size:
-            return ids
-        return [b for i in ids for b in ([i] if i < self.size else self._in_bytes(chr(i - self.size)))]
-
-    def _learn(self, wanted: list[tuple[str, tuple[int, ...]]]) -> list[int]:
-        """New states of these units (of at most ``LONG`` characters) and skipped candidates."""
-        out = [0] * len(wanted)
-        order = sorted(range(len(wanted)), key=lambda i: len(wanted[i][0]))
+    def _spelled(self, ids: np.ndarray, n_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters beyond the ids in bytes; with the new numbers of ids."""
+        beyond = np.flatnonzero(ids >= self.size)
+        if not len(beyond):
+            return ids, n_ids
+        spelled = [self._in_bytes(chr(i - self.size)) for i in ids[beyond].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[beyond] = list(map(len, spelled))
+        ends = np.cumsum(n_ids)
+        whole = np.concatenate([[0], np.cumsum(times)])
+        out = np.repeat(ids, times)
+        out[np.repeat(whole[beyond], times[beyond]) + _within(times[beyond])] = list(chain.from_iterable(spelled))
+        return out, whole[ends] - whole[ends - n_ids]
+
+    def _by_length(self, units: list[str], keys: np.ndarray | None, skipped: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(which units, their ids, how many each has) of units of at most ``LONG`` characters, of like lengths together."""
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(lengths, kind="stable")
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            units = [wanted[i][0] for i in some]
-            numbers = [wanted[i][1] for i in some]
-            skipped = np.zeros((len(some), 1 + max(max(x, default=0) for x in numbers)), bool)
-            skipped[np.repeat(np.arange(len(some)), [len(x) for x in numbers]), list(chain.from_iterable(numbers))] = True
-            found = self.merged_many(units, skipped=skipped)
+            own = [units[i] for i in some.tolist()]
+            found = self.merged_many(own, None if keys is None else keys[some], None if skipped is None else skipped[some])
+            n_ids = np.fromiter(map(len, found), np.int64, len(found))
+            yield some, np.fromiter(chain.from_iterable(found), np.int32, int(n_ids.sum())), n_ids
+
+    def _learn(self, units: list[str], skipped: np.ndarray) -> np.ndarray:
+        """New states of these units, each with the candidate that is skipped in it (-1: none)."""
+        out = np.zeros(len(units), np.int64)
+        for some, ids, n_ids in self._by_length(units, None, skipped):
+            own = [units[i] for i in some.tolist()]
             # every candidate is merged, and so makes one part less, or is skipped
-            draws = np.array([len(u) - len(ids) + len(x) if self.limit else 0 for u, ids, x in zip(units, found, numbers, strict=True)])
-            first = self.states.add([wanted[i] for i in some], [self._spelled(x) for x in found], draws)
-            for k, i in enumerate(some):
-                out[i] = first + k
+            lengths = np.fromiter(map(len, own), np.int64, len(own))
+            draws = lengths - n_ids + (skipped[some] >= 0) if self.limit else skipped[some] + 1
+            out[some] = self.states.add(own, skipped[some], *self._spelled(ids, n_ids), draws) + np.arange(len(some))
         return out
 
-    def _drawn(self, state: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The states in which occurrences end, by the draws of their keys."""
+    def _drawn(self, state: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states in which occurrences end, by the draws of their keys; and which occurrences skip more than one candidate."""
         states, state = self.states, state.copy()
         live = np.arange(len(state))
-        while len(live):
+        more = np.zeros(0, np.int64)
+        for skips in range(2):
             at = state[live]
             n = states.draws.data[at]
             k, who = _within(n), np.repeat(np.arange(len(live)), n)
             skip = np.flatnonzero(hashes(keys[live][who], states.first.data[at][who] + k) < self.limit)
             skip = skip[np.diff(who[skip], prepend=-1) > 0]  # the first one of each occurrence
             who, k = who[skip], k[skip]
+            if skips:
+                more = live[who]
+                break
             way = states.next_begin.data[at[who]] + k
             unknown, example = np.unique(way[states.next.data[way] < 0], return_index=True)
             if len(unknown):
                 example = np.flatnonzero(states.next.data[way] < 0)[example]
-                before = at[who[example]]
-                number = states.first.data[before] + k[example]
-                wanted = []
-                for b, x in zip(before.tolist(), number.tolist(), strict=True):
-                    unit, skips = states.skipped[b]
-                    wanted.append((unit, (*skips, x)))
-                found = self._learn(wanted)
-                states.next.data[unknown] = found
+                units = [states.units[b] for b in at[who[example]].tolist()]
+                states.next.data[unknown] = self._learn(units, k[example])
             live = live[who]
             state[live] = states.next.data[way]
-        return state
+        return state, more
+
+    def _own_agendas(self, units: list[str], keys: np.ndarray) -> list[list[int]]:
+        """Ids of occurrences by agendas of their own."""
+        out: list[list[int]] = [[]] * len(units)
+        for some, ids, n_ids in self._by_length(units, keys, None):
+            ids, n_ids = self._spelled(ids, n_ids)
+            ends = np.cumsum(n_ids)
+            for i, begin, end in zip(some.tolist(), (ends - n_ids).tolist(), ends.tolist(), strict=True):
+                out[i] = ids[begin:end].tolist()
+        return out
 
     def encode_flat(self, texts: list[str], keys: list[str], turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text begins and the last one ends)."""
-        if len(self.states.skipped) > CACHE:
+        if len(self.states.units) > CACHE:
             self.states = States()
         states = self.states
         if ESCAPED not in states.of_unit:
-            states.of_unit[ESCAPED] = states.add([(ESCAPED, ())], [self.escaped], np.zeros(1, np.int64))
+            states.of_unit[ESCAPED] = states.add(
+                [ESCAPED], np.array([-1]), np.array(self.escaped, np.int32), np.array([len(self.escaped)]), np.zeros(1, np.int64))
         units: list[str] = []
         n_units = np.zeros(len(texts), np.int64)
         for d, text in enumerate(texts):
@@ -334,20 +357,25 @@ class Pieces:
                     units.append(ESCAPED)
                 units += UNIT.findall((SPACE if not k else "") + part.replace(" ", SPACE))
             n_units[d] = len(units) - had
-        new = [(u, ()) for u in set(units).difference(states.of_unit) if len(u) <= LONG]
-        states.of_unit.update(zip((u for u, _ in new), self._learn(new), strict=True))
+        new = [u for u in set(units).difference(states.of_unit) if len(u) <= LONG]
+        states.of_unit.update(zip(new, self._learn(new, np.full(len(new), -1)).tolist(), strict=True))
         state = np.array([states.of_unit.get(u, -1) for u in units], np.int64)
         stream = np.zeros(len(units), np.uint64)
+        extra: list[list[int]] = []  # ids that are not those of a state
         if self.limit:
             mine = [xxhash.xxh64_intdigest(f"{turn} {k}".encode("utf-8", "replace"), self.seed) for k in keys]
             stream = splitmix(np.repeat(np.array(mine, np.uint64), n_units) ^ splitmix(_within(n_units)))
             short = np.flatnonzero(state >= 0)
-            state[short] = self._drawn(state[short], stream[short])
+            state[short], more = self._drawn(state[short], stream[short])
+            more = short[more]
+            extra += self._own_agendas([units[i] for i in more.tolist()], stream[more])
+            state[more] = -1
         long = np.flatnonzero(state < 0)
-        begin, n_ids, store = states.begin.data[state], states.n_ids.data[state], states.ids.data
+        if self.limit:
+            long = np.concatenate([more, np.setdiff1d(long, more)])
+        begin, n_ids, store = states.begin.data[state], states.n_ids.data[state].astype(np.int64), states.ids.data
         if len(long):  # ids behind those of the states
-            extra: list[list[int]] = []
-            for i in long.tolist():
+            for i in long[len(extra) :].tolist():
                 parts = self.merged_long(units[i], int(stream[i]))
                 extra.append([b for p in parts for b in ([self.ids[p]] if p in self.ids else self._in_bytes(p))])
             n_ids[long] = [len(x) for x in extra]
@@ -417,21 +445,12 @@ def encoded(
 
 
 def decoded(df: DataFrame, ids: str = "piece_ids", path: str = MODEL, name: str = "decoded") -> DataFrame:
-    """``df`` with the text that the ids stand for."""
-    kept = [c for c in df.columns if c != name]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _encoder(path, 0.0, 0)
-        for batch in batches:
-            lists = batch.column(len(kept))
-            ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-            every = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)
-            null = lists.is_null().to_pylist()
-            texts = [None if no else pieces.decode(every[a:b].tolist()) for no, a, b in zip(null, ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, name])
-
-    given = df.select(*kept, df[ids].cast("array<int>").alias("_ids"))
-    return given.mapInArrow(rows, with_fields(df.select(*kept), f"`{name}` string"))
+    """``df`` with the text that the ids stand for: the bytes of each piece, joined inside the JVM."""
+    every = F.split(F.lit(",".join(b.hex() for b in _encoder(path, 0.0, 0).bytes_of)), ",", -1)
+    spelled = F.transform(F.col(ids).cast("array<int>"), lambda i: F.coalesce(F.when(i >= 0, F.get(every, i)), F.lit("ff")))
+    text = F.make_valid_utf8(F.unhex(F.array_join(spelled, "")).cast("string"))
+    # without the white space that encoding put in front
+    return df.withColumn(name, F.substr(text, F.lit(2)))
 
 
 def digest_rows(

@@ -346,7 +346,7 @@ def test_pieces(spark):
     # both agendas agree, and seeds and documents vary the pieces
     units = ["▁understandable", "▁▁▁a", "x" * 40, "▁été—漢", "a", "▁"]
     for one, ids in zip(units, dropped.merged_many(units, np.full(len(units), 5, np.int64)), strict=True):
-        assert dropped._spelled(ids) == [b for p in dropped.merged_long(one, 5) for b in ([dropped.ids[p]] if p in dropped.ids else dropped._in_bytes(p))]
+        assert spelled(dropped, ids) == [b for p in dropped.merged_long(one, 5) for b in ([dropped.ids[p]] if p in dropped.ids else dropped._in_bytes(p))]
     ways = {tuple(pieces.Pieces(pieces.MODEL, 0.2, seed).encode("an understandable sentence about roads")) for seed in range(6)}
     assert len(ways) > 1
     assert len({tuple(dropped.encode("understandable " * 5, str(k), 3)) for k in range(20)}) > 1
@@ -359,6 +359,10 @@ def test_pieces(spark):
     assert pieces.digest_rows(documents(spark, [])).count() == 0
 
 
+def spelled(vocabulary, ids):
+    return vocabulary._spelled(np.array(ids, np.int32), np.array([len(ids)]))[0].tolist()
+
+
 def test_pieces_of_each_occurrence():
     some = pieces.Pieces(pieces.MODEL, 0.1, 7)
     units = ["▁understandable", "▁roads", "▁é漢", "x" * 60]
@@ -373,7 +377,10 @@ def test_pieces_of_each_occurrence():
     draws = len("▁understandable") - len(pieces.Pieces(pieces.MODEL).encode("understandable"))
     streams = np.random.default_rng(1).integers(0, 1 << 63, n).astype(np.uint64)
     assert some.states.draws.data[start] == draws
-    assert abs((some._drawn(np.full(n, start), streams) == start).mean() - 0.9**draws) < 0.03
+    ends, more = some._drawn(np.full(n, start), streams)
+    ends[more] = -1
+    assert abs((ends == start).mean() - 0.9**draws) < 0.03
+    assert abs(len(more) / n - (1 - 0.9**draws - draws * 0.1 * 0.9 ** (draws - 1))) < 0.05
     # in a long unit, a candidate is dropped in one place and not in another
     assert len(set(want.merged_long("ab" * 3000, 3))) > 2
     # what is kept of former occurrences changes no ids: each equals a run of the agenda with its own draws
@@ -383,10 +390,14 @@ def test_pieces_of_each_occurrence():
         assert again[k] == pieces.Pieces(pieces.MODEL, 0.1, 7).encode(text, str(k)) != some.encode(text, str(k), 1)
     for unit in units[:3]:
         start = some.states.of_unit[unit]
-        ends = some._drawn(np.full(500, start), streams[:500])
-        for s, ids in zip(ends, want.merged_many([unit] * 500, streams[:500]), strict=True):
+        ends, more = some._drawn(np.full(500, start), streams[:500])
+        kept = np.setdiff1d(np.arange(500), more)
+        assert len(kept) < 500 or draws < 2 or unit != units[0]
+        for s, ids in zip(ends[kept], want.merged_many([unit] * len(kept), streams[:500][kept]), strict=True):
             a, k = some.states.begin.data[s], some.states.n_ids.data[s]
-            assert some.states.ids.data[a : a + k].tolist() == want._spelled(ids)
+            assert some.states.ids.data[a : a + k].tolist() == spelled(want, ids)
+        own = want.merged_many([unit] * len(more), streams[:500][more]) if len(more) else []
+        assert some._own_agendas([unit] * len(more), streams[:500][more]) == [spelled(want, ids) for ids in own]
 
 
 def test_queries_give_their_full_results(spark, tmp_path):
