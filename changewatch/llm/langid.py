@@ -138,13 +138,15 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (the probability of the predicted language)."""
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.prior))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only texts go to Python, once, and only predictions come back: the other columns wait in the JVM
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         languages, weights, prior = shared.value
-        for batch in batches:
-            n = batch.num_rows
+        for texts in batches:
+            n = len(texts)
             total = np.zeros((len(languages), n))
             seen = np.zeros(n, np.int64)
-            for first, data, offsets in slices(batch.column(n_columns)):
+            for first, data, offsets in slices(texts):
                 rows = len(offsets) - 1
                 for bucket, row in ngram_buckets(data, offsets):
                     seen[first : first + rows] += np.bincount(row, minlength=rows)
@@ -158,15 +160,11 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 name[seen == 0], score[seen == 0] = UNDETERMINED, 0.0
             else:
                 name, score = np.full(n, UNDETERMINED, object), np.zeros(n)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n_columns], pa.array(name, pa.string()), pa.array(score)], out_names
-            )
+            yield pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(score)], names=["lang", "score"])
 
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    n_columns, out_names = len(kept), [*kept, "lang_pred", "score"]
-    given = df.select(*kept, F.lower(df[text]).alias("_lowered"))
-    schema = given.drop("_lowered").schema.add("lang_pred", "string").add("score", "double")
-    return given.mapInArrow(scored, schema)
+    return df.select(*kept, scored(F.lower(df[text])).alias("_of")).select(
+        *kept, F.col("_of.lang").alias("lang_pred"), F.col("_of.score").alias("score"))
 
 
 def accepted(least: float = 0.5) -> Column:
