@@ -47,10 +47,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
     if again.isEmpty():
         return kept
     # repeated rows of one id and text: one of each
-    rows = kept.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = kept.withColumns({"_text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     marks = again.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-    place = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("lang", "source", "n_chars"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    place = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(*others, "text"))
     single = rows.join(marks, same, "left_semi").withColumn("_place", place).filter("_place = 1")
     return rows.join(marks, same, "left_anti").select(*docs.columns).union(single.select(*docs.columns))
 
