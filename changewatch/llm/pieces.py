@@ -50,10 +50,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT = 0.1
 SEED = 2024
-CACHE = 1_000_000
+CACHE = 500_000
 LONG = 48
 NEVER = 1 << 30
-BATCH = 20_000
+BATCH = 8_000
 PART = 1 << 20
 
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
