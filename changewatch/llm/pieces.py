@@ -50,7 +50,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT = 0.1
 SEED = 2024
-CACHE = 500_000
+CACHE = 250_000
 LONG = 48
 NEVER = 1 << 30
 BATCH = 8_000
