@@ -1,174 +1,264 @@
-"""Toxicity by class-conditional Kneser-Ney models of character sequences.
-
-Two models of order ``ORDER``, one of toxic and one of ordinary texts, share all lower orders.
-With absolute discount D, in class c, for a symbol z after the context h:
-
-    P_c(z | h) = max(n_c(h z) - D, 0) / n_c(h) + D kinds_c(h .) / n_c(h) * B(z | h without its first)
-
-B is the shared backoff: a Kneser-Ney model of the next lower order from continuation counts
-(of how many different contexts a sequence is the end) over the whole corpus. So an expression
-that is rare in the labelled texts is mostly described by the shared part, alike in both classes.
-The score of a text is a logistic function of the difference of its two log-likelihoods divided
-by its length; the two parameters of that function are fitted on labelled texts that the models
-have not seen. Words of any inflection are covered, as sequences cross neither texts nor
-anything else.
-
-Texts are read as symbols: letters a to z (upper case is lowered), one symbol for digits, one for
-white space and other ASCII characters, and HIGH symbols for the bytes of other characters. With
-``SYMBOLS`` symbols a model is a table of SYMBOLS ** ORDER differences (21 MB), which bounds
-what is gathered and broadcast. Class counts come from a bounded sample of labelled texts (about
-``per_class`` of each class, chosen by a hash of the key); backoff counts from all texts.
-
-Defined cases: an empty text (null included) has difference 0, so the score of no evidence.
-Without labelled texts of both classes all scores are 0.5. Where a document id has several
-labels, one toxic label decides. Other columns, whatever their names, are not read.
+"""Toxicity by class-conditional Kneser-Ney models of word sequences.
+
+Two models of order 2, one of toxic and one of ordinary texts, end in the same backoff. With
+discount D, in class c, for a word w after the word v (or the start of a sentence):
+
+    P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v .) + L_c(v) P_c(w)
+    P_c(w)     = max(n_c(w) - D, 0) / n_c(.) + L_c B(w)
+
+n_c(v w) counts the sampled texts of the class that have w after v, and n_c(w) after how many different words w stands
+in them: words of a few copied passages count little, however many copies the sample has. L is the share that D took away
+(1 after words that the class has never seen), and B is shared: the continuation counts of the whole corpus, i.e. after how
+many different words w stands anywhere, plus a half for every word. So an expression rare
+in the labelled texts falls back on the same counts in both classes and tells them apart no more.
+
+A difference is log P_toxic - log P_ordinary, less that of a word which neither class has after v: how much a class
+leaves to the backoff depends on the size of its sample and is no evidence. So it is
+log (max(n_c(v w) - D, 0) / (n_c(v .) L_c(v)) + P_c(w)) for each class, less log L_c. It is normalised by length over three stretches: the worst single word in its
+context, the worst sentence (with ``PRIOR`` words of no evidence, as some have two words) and the whole text.
+One insult in a long text shows in the first two. A logistic curve of the three gives the score; it, D (of ``DISCOUNTS``) and
+the order (2, or 1 where pairs of words do not help) are fitted, by likelihood, on labelled texts that the models have not seen.
+
+Continuation counts are a table of all words of all texts: (word, context) pairs are made distinct by task,
+then by a shuffle on both, then counted, so a frequent word is spread over tasks. Class counts come from a bounded sample of
+labelled texts (about ``per_class`` of each class, chosen by a hash of the row); sequences of a single
+sampled text, or context, are added up but not passed on, since every D takes them away whole. What is broadcast are the other
+sequences of the sample, so it is bounded by it. Words are told apart by 64-bit hashes, contexts of a word by 32-bit ones.
+
+Words are runs of letters, digits and other characters from U+0080 on, lower-cased; sentences end at ``.!?`` or a line.
+
+Defined cases: a text without words (empty, null) has no evidence at all: three zeros, and the score of
+those. Equal texts have equal scores. A text of any length is read whole. Without labelled texts of both classes all scores
+are 0.5. Where a document id has several labels, one toxic label decides. A repeated row counts as often as it stands there.
+An empty table gives no rows. Other columns, whatever their names, are passed through; one named as the score is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import use_checkpoint_dir
 from .catalog import fold, query, table
 from .langid import sample_by_label
-from .vec import slices
+from .vec import MULTIPLIER, Hasher, slices, splitmix, word_spans
 
 PER_CLASS = 3000
-ORDER = 4
-HIGH = 20
-SYMBOLS = 28 + HIGH
-DISCOUNT = 0.75
-
+DISCOUNTS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+ORDERS = (1, 2)
+PRIOR = 5
+STRETCH = 2_000_000
+START = np.uint64(0)
+
+
+@dataclass
+class Words:
+    """Words of a slice of texts: hash, hash of the word before (or START), row, number of the sentence."""
+
+    word: np.ndarray
+    before: np.ndarray
+    row: np.ndarray
+    sentence: np.ndarray
+
+
+def words(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """(first row, rows, words) by slice of lower-cased texts."""
+    breaks = np.ones(256, bool)
+    breaks[48:58] = breaks[97:123] = breaks[128:] = False
+    ends = np.zeros(256, bool)
+    ends[[10, 13, 33, 46, 63]] = True
+    hasher = Hasher(6)
+    for first, data, offsets in slices(column):
+        start, end, row = word_spans(data, offsets, breaks)
+        word = hasher.spans(hasher.sums(data), start, end)
+        stops = np.cumsum(ends[data])
+        fresh = np.ones(len(start), bool)
+        if len(start):
+            fresh[1:] = (row[1:] != row[:-1]) | (stops[start[1:]] != stops[start[:-1]])
+        before = np.concatenate([[START], word[:-1]]).astype(np.uint64)[: len(word)]
+        before[fresh] = START
+        yield first, len(offsets) - 1, Words(word, before, row, np.cumsum(fresh) - 1)
 
-def symbol_table() -> np.ndarray:
-    """Byte to symbol: 0 for breaks, 1 for digits, then letters, then other bytes."""
-    t = np.zeros(256, np.int32)
-    t[48:58] = 1
-    t[97:123] = t[65:91] = np.arange(2, 28)
-    t[128:] = 28 + np.arange(128) % HIGH
-    return t
 
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return splitmix(before * np.uint64(MULTIPLIER) + splitmix(word))
 
-def grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, gram, row offsets) by slice: at each byte the ORDER symbols that end there.
 
-    Before its start a text counts as breaks.
-    """
-    symbols = symbol_table()
-    for first, data, offsets in slices(column):
-        s = symbols[data]
-        since = np.arange(len(s)) - np.repeat(offsets[:-1], np.diff(offsets))
-        gram = np.zeros(len(s), np.int32)
-        for back in range(ORDER - 1, -1, -1):
-            gram *= SYMBOLS
-            gram[back:] += np.where(since[back:] >= back, s[: len(s) - back], 0)
-        yield first, gram, offsets
-
-
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, gram, n) of rows (label, text), once per task."""
-    total: dict[int, np.ndarray] = {}
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, before, word, n) of rows (label, text): in how many texts the word comes after ``before``."""
     for batch in batches:
         label = np.array(batch.column(0).to_pylist(), np.int64)
-        for first, gram, offsets in grams(batch.column(1)):
-            of = np.repeat(label[first : first + len(offsets) - 1], np.diff(offsets))
-            for c in np.unique(of).tolist():
-                found, n = np.unique(gram[of == c], return_counts=True)
-                total.setdefault(c, np.zeros(SYMBOLS**ORDER, np.int64))[found] += n
-    for c, counts in total.items():
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["label", "gram", "n"]
-        )
-
-
-def gram_counts(df: DataFrame) -> DataFrame:
-    """(label, gram, n) over rows (label, text): at most SYMBOLS ** ORDER rows per label."""
-    rows = df.select("label", F.lower("text").alias("text")).mapInArrow(_gram_counts, "label int, gram int, n bigint")
-    return rows.groupBy("label", "gram").agg(F.sum("n").alias("n"))
-
-
-def _interpolated(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Discounted shares of counts (context, symbol), with the rest given to ``lower``."""
-    seen = counts.sum(axis=1, keepdims=True)
-    kinds = (counts > 0).sum(axis=1, keepdims=True)
-    own = np.maximum(counts - DISCOUNT, 0) / np.maximum(seen, 1)
-    return own + np.where(seen > 0, DISCOUNT * kinds / np.maximum(seen, 1), 1.0) * lower
-
-
-def shared_backoff(corpus: np.ndarray) -> np.ndarray:
-    """B(symbol | ORDER - 2 symbols), from the counts of grams of the whole corpus."""
-    exists = corpus.reshape((SYMBOLS,) * ORDER) > 0
-    levels = []
-    for _ in range(ORDER - 1):  # continuation counts, order by order down to single symbols
-        levels.append(exists.sum(axis=0).astype(float))
-        exists = levels[-1] > 0
-    p = np.full((1, SYMBOLS), 1 / SYMBOLS)
-    for counts in reversed(levels):
-        counts = counts.reshape(-1, SYMBOLS)
-        p = _interpolated(counts, np.tile(p, (len(counts) // len(p), 1)))
-    return p
-
-
-def estimate(ordinary: np.ndarray, toxic: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-    """By gram, how much likelier its last symbol is among toxic texts (difference of logs)."""
-    shared = np.maximum(shared_backoff(corpus), 1e-12)
-    out = np.zeros((SYMBOLS, SYMBOLS ** (ORDER - 1)), np.float32)
-    for s in range(SYMBOLS):  # by first symbol: the tables are large
-        both = [_interpolated(c.reshape(SYMBOLS, -1, SYMBOLS)[s], shared) for c in (ordinary, toxic)]
-        out[s] = (np.log(both[1]) - np.log(both[0])).ravel()
-    return out.ravel()
-
-
-def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a little ridge.
+        for first, _, w in words(batch.column(1)):
+            of = label[first + w.row].astype(np.uint64)
+            key = pair_keys(w.before, w.word)
+            _, at = np.unique(splitmix(key + splitmix(w.row)), return_index=True)  # once per text
+            _, one, n = np.unique(splitmix(key[at] + splitmix(of[at])), return_index=True, return_counts=True)
+            at = at[one]
+            columns = [of[at].astype(np.int32), w.before[at].view(np.int64), w.word[at].view(np.int64), n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["label", "before", "word", "n"])
+
+
+def class_counts(df: DataFrame) -> DataFrame:
+    """(label, single, before, word, n) over rows (label, text): of pairs, and of words the number of their contexts."""
+    rows = df.select("label", F.lower("text").alias("text")).mapInArrow(_class_counts, "label int, before bigint, word bigint, n bigint")
+    pairs = rows.groupBy("label", "before", "word").agg(F.sum("n").alias("n")).checkpoint()
+    singles = pairs.groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))
+    columns = ["label", "single", "before", "word", "n"]
+    return pairs.withColumn("single", F.lit(False)).select(*columns).union(
+        singles.withColumns({"single": F.lit(True), "before": F.lit(0).cast("bigint")}).select(*columns))
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (word, context) of a stretch of texts."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def distinct() -> pa.RecordBatch:
+        word, context = (np.concatenate(part) for part in zip(*kept, strict=True))
+        _, at = np.unique(splitmix(word) + context.astype(np.uint64) * np.uint64(MULTIPLIER), return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(word[at].view(np.int64)), pa.array(context[at].view(np.int32))], ["word", "context"])
+
+    for batch in batches:
+        for _, _, w in words(batch.column(0)):
+            kept.append((w.word, (w.before >> np.uint64(32)).astype(np.uint32)))
+            held += len(w.word)
+            if held >= STRETCH:
+                yield distinct()
+                kept, held = [], 0
+    if held:
+        yield distinct()
+
+
+def continuations(df: DataFrame, text: str = "text") -> DataFrame:
+    """(word, contexts) of all words of all texts: after how many different words each stands."""
+    rows = df.select(F.lower(df[text]).alias("text")).mapInArrow(_contexts, "word bigint, context int")
+    return rows.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("contexts"))
+
+
+def _sorted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(keys)
+    return tuple(a[order] for a in (keys, *values))
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``wanted`` are in the sorted ``keys``, the place of each there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[place] == wanted, place
+
+
+@dataclass
+class Grams:
+    """Both class models for one discount; columns are (ordinary, toxic)."""
+
+    word: np.ndarray  # sorted hashes, with P_c(w)
+    word_p: np.ndarray
+    pair: np.ndarray  # sorted keys of pairs, with max(n - D, 0) / (n_c(v .) L_c(v))
+    pair_p: np.ndarray
+    unseen: float  # difference of a word of neither class
+
+    def differences(self, w: Words) -> np.ndarray:
+        """log P_toxic(w | v) - log P_ordinary(w | v) for each word, less that of a word of neither class after v."""
+        p = np.ones((len(w.word), 2))  # words of neither class have no evidence
+        known, at = _at(self.word, w.word)
+        p[known] = self.word_p[at[known]]
+        also = np.flatnonzero(known)  # the word of a known pair is known
+        seen, at = _at(self.pair, pair_keys(w.before[also], w.word[also]))
+        p[also[seen]] += self.pair_p[at[seen]]
+        log = np.log(p)
+        return log[:, 1] - log[:, 0] - np.where(known, self.unseen, 0.0)
+
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """Differences of the worst word, of the worst sentence and of the text, by row of lower-cased texts."""
+        out = np.zeros((len(column), 3))
+        for first, rows, w in words(column):
+            d = self.differences(w)
+            if not len(d):
+                continue
+            length = np.bincount(w.sentence)
+            sentence = np.bincount(w.sentence, d) / (length + PRIOR)
+            begin = np.flatnonzero(np.diff(w.row, prepend=-1))
+            row = w.row[begin]
+            out[first + row, 0] = np.maximum.reduceat(d, begin)
+            out[first + row, 1] = np.maximum.reduceat(sentence[w.sentence], begin)
+            out[first : first + rows, 2] = np.bincount(w.row, d, minlength=rows) / np.maximum(np.bincount(w.row, minlength=rows), 1)
+        return out
+
+
+def estimate(grams, totals, corpus: tuple[int, int], discount: float, order: int = 2) -> Grams:
+    """Models from counts: ``grams`` (single, before, word, n0, n1, contexts), ``totals`` of each class and context.
+
+    ``totals`` has rows (single, before, c, n, left) with the sum of n and of min(n, discount). ``corpus`` is (distinct pairs, distinct words). Sequences that D takes away in both classes are left out.
+    """
+    pairs, kinds = corpus
+    is_single = grams["single"].to_numpy(bool)
+    n = grams[["n0", "n1"]].to_numpy(float)
+    word = grams["word"].to_numpy(np.int64).view(np.uint64)
+    matters = n.max(axis=1, initial=0) > discount
+    of_all = totals["single"].to_numpy(bool)
+    sums, left = np.ones(2), np.ones(2)
+    for c, total, rest in totals.loc[of_all, ["c", "n", "left"]].itertuples(index=False):
+        sums[int(c)], left[int(c)] = total, rest / total
+    use = is_single & matters
+    backoff = (grams["contexts"].to_numpy(float)[use] + 0.5) / (pairs + 0.5 * max(kinds, 1))
+    single = _sorted(word[use], np.maximum(n[use] - discount, 0) / sums + left * backoff[:, None])
+    use = ~is_single & matters & (order > 1)
+    before = grams["before"].to_numpy(np.int64).view(np.uint64)
+    context, number = np.unique(before[use], return_inverse=True)
+    weight = np.ones((len(context), 2))  # n_c(v .) L_c(v)
+    rows = totals[~of_all]
+    known, at = _at(context, rows["before"].to_numpy(np.int64).view(np.uint64))
+    weight[at[known], rows["c"].to_numpy(int)[known]] = rows["left"].to_numpy(float)[known]
+    pair = _sorted(pair_keys(before[use], word[use]), np.maximum(n[use] - discount, 0) / weight[number])
+    return Grams(*single, *pair, float(np.log(left[1]) - np.log(left[0])))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(weights, shift, mean log loss) of a logistic curve, by Newton steps with a little ridge.
 
     ``weight``: how many rows each one stands for, so that the shares of the classes are those of all rows.
+    No evidence counts against its sense: columns that would get a negative weight are left out.
     """
-    u = np.ones(len(y)) if weight is None else weight * (len(y) / weight.sum()) if len(y) else weight
     if len(np.unique(y)) < 2:
-        return 0.0, 0.0
-    scale = float(x.std()) or 1.0
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x / scale + b, -30, 30)))
-        w = u * np.maximum(p * (1 - p), 1e-9)
-        g = np.array([(u * (y - p) * x / scale).sum() - 0.01 * a, (u * (y - p)).sum() - 0.01 * b])
-        h = np.array([[(w * (x / scale) ** 2).sum() + 0.01, (w * x / scale).sum()], [(w * x / scale).sum(), w.sum() + 0.01]])
-        step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
+        return np.zeros(x.shape[1]), 0.0, np.inf
+    weights, shift, loss = _newton(x, y, weight)
+    if (weights < 0).any():
+        rest, weights = weights >= 0, np.zeros(x.shape[1])
+        weights[rest], shift, loss = logistic(x[:, rest], y, weight)
+    return weights, shift, loss
+
+
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float, float]:
+    u = weight * (len(y) / weight.sum())
+    scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
+    z = np.column_stack([x / scale, np.ones(len(x))])
+    theta = np.zeros(z.shape[1])
+    ridge = np.r_[np.ones(x.shape[1]), 0.01]
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
+        step = np.linalg.solve((z.T * (u * np.maximum(p * (1 - p), 1e-6))) @ z + np.diag(ridge), z.T @ (u * (y - p)) - ridge * theta)
+        theta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return a / scale, b
-
-
-def differences(df: DataFrame, values: np.ndarray, text: str = "text", name: str = "difference") -> DataFrame:
-    """``df`` without its text and with the mean difference per symbol of each text."""
-    shared = df.sparkSession.sparkContext.broadcast(values)
-    kept = [c for c in df.columns if c not in (text, name)]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mean = np.zeros(batch.num_rows)
-            for first, gram, offsets in grams(batch.column(len(kept))):
-                n = len(offsets) - 1
-                row = np.repeat(np.arange(n), np.diff(offsets))
-                mean[first : first + n] = np.bincount(row, shared.value[gram], minlength=n) / np.maximum(np.diff(offsets), 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(mean)], [*kept, name])
-
-    given = df.select(*kept, F.lower(df[text]).alias(text))
-    return given.mapInArrow(rows, given.drop(text).schema.add(name, "double"))
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ theta, -30, 30))), 1e-12, 1 - 1e-12)
+    loss = -(u * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
+    return theta[:-1] / scale, float(theta[-1]), float(loss)
 
 
+@dataclass
 class Model:
-    """Differences by gram, and slope and shift of the logistic function."""
+    """Models of both classes, the discount and order taken, and the logistic curve of the evidence."""
 
-    def __init__(self, values: np.ndarray, slope: float, shift: float):
-        self.values, self.slope, self.shift = values, slope, shift
+    grams: Grams | None
+    choice: tuple[float, int]
+    weights: np.ndarray
+    shift: float
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int) -> DataFrame:
@@ -181,31 +271,68 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     return docs.select(key, text).join(F.broadcast(chosen.toDF("label", key, "weight")), key).select("label", F.col(text).alias("text"), "weight")
 
 
+def counted(learn: DataFrame, docs: DataFrame, text: str):
+    """(grams, totals by discount, corpus) for ``estimate``, of sampled texts (label, text) and all texts."""
+    counts = class_counts(learn).checkpoint()
+    left = [F.sum(F.least(F.col("n"), F.lit(d))).alias(f"left{i}") for i, d in enumerate(DISCOUNTS)]
+    by_class = (F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1))
+    grams = counts.groupBy("single", "before", "word").agg(*by_class).filter(F.greatest("n0", "n1") > min(DISCOUNTS)).checkpoint()
+    contexts = continuations(docs, text).checkpoint()
+    pairs, kinds = contexts.agg(F.coalesce(F.sum("contexts"), F.lit(0)), F.count(F.lit(1))).first()
+    singles = grams.filter("single").join(contexts, "word", "left")
+    singles = singles.select("single", "before", "word", "n0", "n1", F.coalesce("contexts", F.lit(0)).alias("contexts"))
+    others = grams.filter("not single").withColumn("contexts", F.lit(0).cast("bigint")).select(*singles.columns)
+    used = grams.select("single", "before").distinct()
+    totals = counts.join(used, ["single", "before"], "left_semi").groupBy("single", "before", F.col("label").alias("c"))
+    totals = totals.agg(F.sum("n").alias("n"), *left).toPandas()
+    by_discount = [totals[["single", "before", "c", "n"]].assign(left=totals[f"left{i}"]) for i in range(len(DISCOUNTS))]
+    return singles.union(others).toPandas(), by_discount, (pairs, kinds)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
     per_class: int = PER_CLASS,
 ) -> Model:
     """Learn from ``labels`` (key, 0/1 label) of some documents, and from all texts of ``docs``."""
+    spark = docs.sparkSession
+    use_checkpoint_dir(spark)
     part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(5))
     learn, check = (
         labelled_sample(docs, labels.filter(rows), key, text, label, per_class) for rows in (part > 0, part == 0)
     )
-    every = docs.select(F.lit(-1).alias("label"), F.col(text).alias("text"))
-    tables = {c: np.zeros(SYMBOLS**ORDER, np.int64) for c in (-1, 0, 1)}
-    for rows in (gram_counts(learn).toPandas(), gram_counts(every).toPandas()):
-        for c, part in rows.groupby("label"):
-            tables[c][part["gram"].to_numpy()] = part["n"].to_numpy()
-    if not tables[0].any() or not tables[1].any():
-        return Model(np.zeros(SYMBOLS**ORDER, np.float32), 0.0, 0.0)
-    values = estimate(tables[0], tables[1], tables[-1])
-    held = differences(check, values).toPandas()
-    return Model(values, *_calibrate(held["difference"].to_numpy(float), held["label"].to_numpy(float), held["weight"].to_numpy(float)))
+    grams, totals, corpus = counted(learn, docs, text)
+    if {0, 1} - set(totals[0]["c"]):
+        return Model(None, (0.0, 0), np.zeros(3), 0.0)
+    choices = [(k, d, order) for k, d in enumerate(DISCOUNTS) for order in ORDERS]
+    models = [estimate(grams, totals[k], corpus, d, order) for k, d, order in choices]
+    shared = spark.sparkContext.broadcast(models)
+
+    @F.arrow_udf("array<double>")
+    def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = np.concatenate([m.evidence(texts) for m in shared.value], axis=1)
+            yield pa.array(list(found), pa.list_(pa.float64()))
+
+    held = check.select("label", "weight", evidence(F.lower("text")).alias("found")).toPandas()
+    found = np.stack(held["found"]) if len(held) else np.zeros((0, 3 * len(models)))
+    curves = [logistic(found[:, 3 * k : 3 * k + 3], held["label"].to_numpy(float), held["weight"].to_numpy(float)) for k in range(len(models))]
+    best = min(range(len(models)), key=lambda k: curves[k][2])
+    return Model(models[best], choices[best][1:], *curves[best][:2])
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``df`` without its text and with the probability of being toxic."""
-    z = F.col("_difference") * float(model.slope) + float(model.shift)
-    return differences(df, model.values, text, "_difference").withColumn(name, 1 / (1 + F.exp(-z))).drop("_difference")
+    kept = [c for c in df.columns if c not in (text, name)]
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = shared.value
+        for texts in batches:
+            found = of.grams.evidence(texts) if of.grams else np.zeros((len(texts), 3))
+            yield pa.array(1 / (1 + np.exp(-(found @ of.weights + of.shift))))
+
+    return df.select(*kept, probability(F.lower(df[text])).alias(name))
 
 
 @query()

@@ -1,8 +1,11 @@
 """Trained operators by held-out accuracy, and the pipeline."""
 
 import os
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,12 +66,78 @@ def test_toxicity(spark):
     assert toxicity.score(edges(spark).filter("false"), model).count() == 0
 
 
-def test_shared_backoff_is_a_distribution():
-    rng = np.random.default_rng(1)
-    counts = np.zeros(toxicity.SYMBOLS**toxicity.ORDER, np.int64)
-    counts[rng.integers(0, len(counts), 5000)] = rng.integers(1, 9, 5000)
-    p = toxicity.shared_backoff(counts)
-    assert p.shape == (toxicity.SYMBOLS ** (toxicity.ORDER - 2), toxicity.SYMBOLS) and np.allclose(p.sum(axis=1), 1)
+BIG = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(BIG), reason="no test tables here")
+def test_toxicity_of_held_out_labels(spark):
+    found = registered.QUERIES["op6_toxicity"](spark, BIG).toPandas()
+    held = found[found["held_out"]].merge(spark.read.parquet(f"{BIG}/labels.parquet").toPandas(), on="doc_id")
+    y, s = held["toxic"].to_numpy(), held["score"].to_numpy()
+    assert auc(y, s) > 0.93 and (s[y == 1] > np.quantile(s[y == 0], 0.99)).mean() >= 0.8
+    assert ((s >= 0.5) & (y == 0)).sum() < 0.02 * (y == 0).sum()
+
+
+def plain_sentences(text):
+    return [q for q in (re.findall(r"[0-9a-z\x80-\U0010ffff]+", s) for s in re.split(r"[.!?\n\r]", (text or "").lower())) if q]
+
+
+def plain_difference(word, before, texts, corpus, d):
+    """The two models by their formulas, over lists of (label, text) and of all texts."""
+    contexts = {(v, w) for t in corpus for q in plain_sentences(t) for v, w in zip([None, *q], q)}
+    backoff = (sum(w == word for _, w in contexts) + 0.5) / (len(contexts) + 0.5 * len({w for _, w in contexts}))
+    logs, left = [], []
+    for c in (1, 0):
+        single, pair = Counter(), Counter()
+        for label, t in texts:
+            if label == c:
+                pair.update({(v, w) for q in plain_sentences(t) for v, w in zip([None, *q], q)})
+        single.update(w for _, w in pair)
+        total = sum(single.values())
+        left.append(sum(min(n, d) for n in single.values()) / total)
+        p = max(single[word] - d, 0) / total + left[-1] * backoff
+        after = {k: n for k, n in pair.items() if k[0] == before}
+        taken = sum(min(n, d) for n in after.values())  # n(v .) L(v)
+        logs.append(np.log(p + (max(pair[before, word] - d, 0) / taken if after else 0)))
+    return logs[0] - logs[1] - np.log(left[0] / left[1])
+
+
+def test_class_models_by_their_formulas(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = np.array("a b c d e f g h é 漢字 x1".split())
+    texts = [(int(k % 3 == 0), ". ".join(" ".join(rng.choice(vocabulary, rng.integers(1, 6), p=np.arange(1, 12) / 66)) for _ in range(3)) + "!" * (k % 2)
+              + (" b a Bad\n" if k % 3 == 0 and k % 2 else "")) for k in range(40)]
+    corpus = [t for _, t in texts] + ["new words. a b new", None, ""]
+    learn = spark.createDataFrame(texts, "label int, text string").repartition(3)
+    docs = spark.createDataFrame([(t,) for t in corpus], "body string").repartition(3)
+    grams, totals, size = toxicity.counted(learn, docs, "body")
+    asked = ["a b bad. Bad a! b, a", "unknown bad 漢字", "", None, "é\na x1 unknown"]
+    for d, total in zip(toxicity.DISCOUNTS, totals):
+        model = toxicity.estimate(grams, total, size, d)
+        expected = []
+        for t in asked:
+            by_sentence = [[plain_difference(w, v, texts, corpus, d) for v, w in zip([None, *q], q)] for q in plain_sentences(t)]
+            flat = [x for q in by_sentence for x in q]
+            worst = max((sum(q) / (len(q) + toxicity.PRIOR) for q in by_sentence), default=0)
+            expected.append([max(flat, default=0), worst, np.mean(flat) if flat else 0])
+        got = model.evidence(pa.array([None if t is None else t.lower() for t in asked], pa.string()))
+        assert np.allclose(got, expected, atol=1e-9), d
+
+
+def test_toxicity_reads_whole_texts_and_repeats(spark):
+    """An insult at the end of a long text counts; equal texts have equal scores; repeats are rows."""
+    rows = [(k, f"word{k % 9} and word{k % 7} so on. " * 3 + ("you are vile. " if k % 4 == 0 else "you are kind. ")) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    long = "word1 and word2 so on. " * 20_000
+    asked = spark.createDataFrame([(1, long + "you are vile."), (1, long + "you are vile."), (2, long), (3, None), (4, "")], "score bigint, text string")
+    got = toxicity.score(asked.withColumn("id", F.col("score")), model).collect()
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.id, set()).add(r.score)
+    assert len(got) == 5 and all(len(v) == 1 for v in by_id.values())
+    assert min(by_id[1]) > 0.5 > max(by_id[2]) and by_id[3] == by_id[4] and max(by_id[3]) < 0.5
 
 
 @needs_tables
