@@ -17,7 +17,8 @@ leaves to the backoff depends on the size of its sample and is no evidence. So i
 log (max(n_c(v w) - D, 0) / (n_c(v .) L_c(v)) + P_c(w)) for each class, less log L_c. It is normalised by length over three stretches: the worst single word in its
 context, the worst sentence (with ``PRIOR`` words of no evidence, as some have two words) and the whole text.
 One insult in a long text shows in the first two. A logistic curve of the three gives the score; it, D (of ``DISCOUNTS``) and
-the order (2, or 1 where pairs of words do not help) are fitted, by likelihood, on labelled texts that the models have not seen.
+the order (2, or 1 where pairs of words do not help) are fitted, by likelihood, on the sampled texts, each
+judged without what it gave to the counts (leaving one out).
 
 Continuation counts are a table of all words of all texts: (word, context) pairs are made distinct by task,
 then by a shuffle on both, then counted, so a frequent word is spread over tasks. Class counts come from a bounded sample of
@@ -27,8 +28,8 @@ sequences of the sample, so it is bounded by it. Words are told apart by 64-bit
 
 Words are runs of letters, digits and other characters from U+0080 on, lower-cased; sentences end at ``.!?`` or a line.
 
-Defined cases: a text without words (empty, null) has no evidence at all: three zeros, and the score of
-those. Equal texts have equal scores. A text of any length is read whole. Without labelled texts of both classes all scores
+Defined cases: a text without evidence (empty, null, all words unknown) scores the share of toxic rows among labelled
+ones. Equal texts have equal scores. A text of any length is read whole. Without labelled texts of both classes all scores
 are 0.5. Where a document id has several labels, one toxic label decides. A repeated row counts as often as it stands there.
 An empty table gives no rows. Other columns, whatever their names, are passed through; one named as the score is replaced.
 """
@@ -40,7 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import use_checkpoint_dir
@@ -157,28 +158,42 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Grams:
     """Both class models for one discount; columns are (ordinary, toxic)."""
 
-    word: np.ndarray  # sorted hashes, with P_c(w)
-    word_p: np.ndarray
-    pair: np.ndarray  # sorted keys of pairs, with max(n - D, 0) / (n_c(v .) L_c(v))
-    pair_p: np.ndarray
-    unseen: float  # difference of a word of neither class
-
-    def differences(self, w: Words) -> np.ndarray:
-        """log P_toxic(w | v) - log P_ordinary(w | v) for each word, less that of a word of neither class after v."""
+    discount: float
+    word: np.ndarray  # sorted hashes
+    word_n: np.ndarray
+    backoff: np.ndarray  # B(w)
+    pair: np.ndarray  # sorted keys of pairs
+    pair_n: np.ndarray
+    pair_left: np.ndarray  # n_c(v .) L_c(v)
+    sums: np.ndarray  # n_c(.)
+    left: np.ndarray  # L_c
+
+    def differences(self, w: Words, label: np.ndarray | None = None) -> np.ndarray:
+        """log P_toxic(w | v) - log P_ordinary(w | v) for each word, less that of a word of neither class after v.
+
+        With the labels of sampled texts by row, each is judged without what it gave to the counts of its class.
+        """
         p = np.ones((len(w.word), 2))  # words of neither class have no evidence
+        own = np.zeros((len(w.word), 2))
+        if label is not None and len(w.word):
+            _, first = np.unique(splitmix(pair_keys(w.before, w.word) + splitmix(w.row)), return_index=True)
+            _, word = np.unique(splitmix(w.word + splitmix(w.row)), return_inverse=True)
+            own[np.arange(len(own)), label[w.row]] = np.bincount(word[first])[word]
         known, at = _at(self.word, w.word)
-        p[known] = self.word_p[at[known]]
+        at = at[known]
+        p[known] = np.maximum(self.word_n[at] - own[known] - self.discount, 0) / self.sums + self.left * self.backoff[at, None]
         also = np.flatnonzero(known)  # the word of a known pair is known
         seen, at = _at(self.pair, pair_keys(w.before[also], w.word[also]))
-        p[also[seen]] += self.pair_p[at[seen]]
+        at, also = at[seen], also[seen]
+        p[also] += np.maximum(self.pair_n[at] - (own[also] > 0) - self.discount, 0) / self.pair_left[at]
         log = np.log(p)
-        return log[:, 1] - log[:, 0] - np.where(known, self.unseen, 0.0)
+        return log[:, 1] - log[:, 0] - np.where(known, np.log(self.left[1] / self.left[0]), 0.0)
 
-    def evidence(self, column: pa.Array) -> np.ndarray:
+    def evidence(self, column: pa.Array, label: np.ndarray | None = None) -> np.ndarray:
         """Differences of the worst word, of the worst sentence and of the text, by row of lower-cased texts."""
         out = np.zeros((len(column), 3))
         for first, rows, w in words(column):
-            d = self.differences(w)
+            d = self.differences(w, None if label is None else label[first : first + rows])
             if not len(d):
                 continue
             length = np.bincount(w.sentence)
@@ -194,47 +209,40 @@ class Grams:
 def estimate(grams, totals, corpus: tuple[int, int], discount: float, order: int = 2) -> Grams:
     """Models from counts: ``grams`` (single, before, word, n0, n1, contexts), ``totals`` of each class and context.
 
-    ``totals`` has rows (single, before, c, n, left) with the sum of n and of min(n, discount). ``corpus`` is (distinct pairs, distinct words). Sequences that D takes away in both classes are left out.
+    ``totals`` has rows (single, before, c, n, left) with the sum of n and of min(n, discount). ``corpus`` is
+    (distinct pairs, distinct words). Sequences that D takes away in both classes are left out.
     """
     pairs, kinds = corpus
     is_single = grams["single"].to_numpy(bool)
     n = grams[["n0", "n1"]].to_numpy(float)
     word = grams["word"].to_numpy(np.int64).view(np.uint64)
+    before = grams["before"].to_numpy(np.int64).view(np.uint64)
     matters = n.max(axis=1, initial=0) > discount
     of_all = totals["single"].to_numpy(bool)
     sums, left = np.ones(2), np.ones(2)
     for c, total, rest in totals.loc[of_all, ["c", "n", "left"]].itertuples(index=False):
         sums[int(c)], left[int(c)] = total, rest / total
-    use = is_single & matters
+    use_pairs = ~is_single & matters & (order > 1)
+    use = is_single & (matters | np.isin(word, word[use_pairs]))
     backoff = (grams["contexts"].to_numpy(float)[use] + 0.5) / (pairs + 0.5 * max(kinds, 1))
-    single = _sorted(word[use], np.maximum(n[use] - discount, 0) / sums + left * backoff[:, None])
-    use = ~is_single & matters & (order > 1)
-    before = grams["before"].to_numpy(np.int64).view(np.uint64)
+    single = _sorted(word[use], n[use], backoff)
+    use = use_pairs
     context, number = np.unique(before[use], return_inverse=True)
-    weight = np.ones((len(context), 2))  # n_c(v .) L_c(v)
+    weight = np.ones((len(context), 2))
     rows = totals[~of_all]
     known, at = _at(context, rows["before"].to_numpy(np.int64).view(np.uint64))
     weight[at[known], rows["c"].to_numpy(int)[known]] = rows["left"].to_numpy(float)[known]
-    pair = _sorted(pair_keys(before[use], word[use]), np.maximum(n[use] - discount, 0) / weight[number])
-    return Grams(*single, *pair, float(np.log(left[1]) - np.log(left[0])))
+    pair = _sorted(pair_keys(before[use], word[use]), n[use], weight[number])
+    return Grams(discount, *single, *pair, sums, left)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float, float]:
     """(weights, shift, mean log loss) of a logistic curve, by Newton steps with a little ridge.
 
     ``weight``: how many rows each one stands for, so that the shares of the classes are those of all rows.
-    No evidence counts against its sense: columns that would get a negative weight are left out.
     """
     if len(np.unique(y)) < 2:
         return np.zeros(x.shape[1]), 0.0, np.inf
-    weights, shift, loss = _newton(x, y, weight)
-    if (weights < 0).any():
-        rest, weights = weights >= 0, np.zeros(x.shape[1])
-        weights[rest], shift, loss = logistic(x[:, rest], y, weight)
-    return weights, shift, loss
-
-
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float, float]:
     u = weight * (len(y) / weight.sum())
     scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
     z = np.column_stack([x / scale, np.ones(len(x))])
@@ -259,6 +267,7 @@ class Model:
     choice: tuple[float, int]
     weights: np.ndarray
     shift: float
+    share: float  # of toxic rows among all labelled ones
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int) -> DataFrame:
@@ -276,7 +285,10 @@ def counted(learn: DataFrame, docs: DataFrame, text: str):
     counts = class_counts(learn).checkpoint()
     left = [F.sum(F.least(F.col("n"), F.lit(d))).alias(f"left{i}") for i, d in enumerate(DISCOUNTS)]
     by_class = (F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1))
-    grams = counts.groupBy("single", "before", "word").agg(*by_class).filter(F.greatest("n0", "n1") > min(DISCOUNTS)).checkpoint()
+    grams = counts.groupBy("single", "before", "word").agg(*by_class).withColumn("most", F.greatest("n0", "n1"))
+    # a word is kept with each of its pairs
+    of_word = F.max("most").over(Window.partitionBy("word"))
+    grams = grams.withColumn("of_word", of_word).filter(F.when(F.col("single"), F.col("of_word")).otherwise(F.col("most")) > min(DISCOUNTS)).checkpoint()
     contexts = continuations(docs, text).checkpoint()
     pairs, kinds = contexts.agg(F.coalesce(F.sum("contexts"), F.lit(0)), F.count(F.lit(1))).first()
     singles = grams.filter("single").join(contexts, "word", "left")
@@ -296,28 +308,28 @@ def fit(
     """Learn from ``labels`` (key, 0/1 label) of some documents, and from all texts of ``docs``."""
     spark = docs.sparkSession
     use_checkpoint_dir(spark)
-    part = F.pmod(F.xxhash64(key, F.lit("part")), F.lit(5))
-    learn, check = (
-        labelled_sample(docs, labels.filter(rows), key, text, label, per_class) for rows in (part > 0, part == 0)
-    )
+    learn = labelled_sample(docs, labels, key, text, label, per_class)
     grams, totals, corpus = counted(learn, docs, text)
     if {0, 1} - set(totals[0]["c"]):
-        return Model(None, (0.0, 0), np.zeros(3), 0.0)
+        return Model(None, (0.0, 0), np.zeros(3), 0.0, 0.5)
     choices = [(k, d, order) for k, d in enumerate(DISCOUNTS) for order in ORDERS]
     models = [estimate(grams, totals[k], corpus, d, order) for k, d, order in choices]
     shared = spark.sparkContext.broadcast(models)
 
-    @F.arrow_udf("array<double>")
-    def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            found = np.concatenate([m.evidence(texts) for m in shared.value], axis=1)
-            yield pa.array(list(found), pa.list_(pa.float64()))
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = np.array(batch.column(0).to_pylist(), np.int64)
+            found = np.concatenate([m.evidence(batch.column(2), label) for m in shared.value], axis=1)
+            found = pa.array(list(found), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], found], ["label", "weight", "found"])
 
-    held = check.select("label", "weight", evidence(F.lower("text")).alias("found")).toPandas()
-    found = np.stack(held["found"]) if len(held) else np.zeros((0, 3 * len(models)))
+    held = learn.select("label", "weight", F.lower("text").alias("text"))
+    held = held.mapInArrow(evidence, "label int, weight double, found array<double>").toPandas()
+    found = np.stack(held["found"])
     curves = [logistic(found[:, 3 * k : 3 * k + 3], held["label"].to_numpy(float), held["weight"].to_numpy(float)) for k in range(len(models))]
     best = min(range(len(models)), key=lambda k: curves[k][2])
-    return Model(models[best], choices[best][1:], *curves[best][:2])
+    share = float(np.average(held["label"], weights=held["weight"]))
+    return Model(models[best], choices[best][1:], *curves[best][:2], share)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -330,7 +342,8 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
         of = shared.value
         for texts in batches:
             found = of.grams.evidence(texts) if of.grams else np.zeros((len(texts), 3))
-            yield pa.array(1 / (1 + np.exp(-(found @ of.weights + of.shift))))
+            z = np.clip(found @ of.weights + of.shift, -700, 700)
+            yield pa.array(np.where(found.any(axis=1), 1 / (1 + np.exp(-z)), of.share))
 
     return df.select(*kept, probability(F.lower(df[text])).alias(name))
 
