@@ -20,8 +20,8 @@ One insult in a long text shows in the first two. A logistic curve of the three
 the order (2, or 1 where pairs of words do not help) are fitted, by likelihood, on the sampled texts, each
 judged without what it gave to the counts (leaving one out).
 
-Continuation counts are a table of all words of all texts: (word, context) pairs are made distinct by task,
-then by a shuffle on both, then counted, so a frequent word is spread over tasks. Class counts come from a bounded sample of
+Continuation counts are a table of all words of all texts: (word, context) pairs are made distinct by task
+and packed by buckets of words, then counted by bucket. Words frequent in the sample are spread over buckets by their contexts. Class counts come from a bounded sample of
 labelled texts (about ``per_class`` of each class, chosen by a hash of the row); sequences of a single
 sampled text, or context, are added up but not passed on, since every D takes them away whole. What is broadcast are the other
 sequences of the sample, so it is bounded by it. Words are told apart by 64-bit hashes, contexts of a word by 32-bit ones.
@@ -54,6 +54,8 @@ DISCOUNTS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 ORDERS = (1, 2)
 PRIOR = 5
 STRETCH = 2_000_000
+PAIR_BYTES = 8_000_000
+HOT_CONTEXTS = 200
 START = np.uint64(0)
 
 
@@ -114,31 +116,64 @@ def class_counts(df: DataFrame) -> DataFrame:
         singles.withColumns({"single": F.lit(True), "before": F.lit(0).cast("bigint")}).select(*columns))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, context) of a stretch of texts."""
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
+def _contexts(hot, buckets: int):
+    """(bucket, packed) of the distinct (word, context) of a stretch: words, how many contexts each has, contexts."""
 
-    def distinct() -> pa.RecordBatch:
+    def distinct(kept: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         word, context = (np.concatenate(part) for part in zip(*kept, strict=True))
         _, at = np.unique(splitmix(word) + context.astype(np.uint64) * np.uint64(MULTIPLIER), return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(word[at].view(np.int64)), pa.array(context[at].view(np.int32))], ["word", "context"])
-
-    for batch in batches:
-        for _, _, w in words(batch.column(0)):
-            kept.append((w.word, (w.before >> np.uint64(32)).astype(np.uint32)))
-            held += len(w.word)
-            if held >= STRETCH:
-                yield distinct()
-                kept, held = [], 0
-    if held:
-        yield distinct()
-
-
-def continuations(df: DataFrame, text: str = "text") -> DataFrame:
-    """(word, contexts) of all words of all texts: after how many different words each stands."""
-    rows = df.select(F.lower(df[text]).alias("text")).mapInArrow(_contexts, "word bigint, context int")
-    return rows.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("contexts"))
+        word, context = word[at], context[at]
+        spread = np.where(_at(hot.value, word)[0], context, 0).astype(np.uint64)
+        bucket = splitmix(word + spread * np.uint64(MULTIPLIER)) % np.uint64(buckets)
+        order = np.lexsort((context, word, bucket))
+        word, context, bucket = word[order], context[order], bucket[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        packed = []
+        for start, end in zip(first, [*first[1:], len(word)], strict=True):
+            one, n = np.unique(word[start:end], return_counts=True)
+            packed.append(np.int64(len(one)).tobytes() + one.tobytes() + n.astype(np.uint32).tobytes() + context[start:end].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(packed, pa.binary())], ["bucket", "packed"])
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            for _, _, w in words(batch.column(0)):
+                kept.append((w.word, (w.before >> np.uint64(32)).astype(np.uint32)))
+                held += len(w.word)
+                if held >= STRETCH:
+                    yield distinct(kept)
+                    kept, held = [], 0
+        if held:
+            yield distinct(kept)
+
+    return stretches
+
+
+def _counted_contexts(group: pa.Table) -> pa.Table:
+    """(word, contexts) of a bucket."""
+    parts = []
+    for packed in group.column("packed").to_pylist():
+        k = int(np.frombuffer(packed, np.int64, 1)[0])
+        word, n = np.frombuffer(packed, np.uint64, k, 8), np.frombuffer(packed, np.uint32, k, 8 + 8 * k)
+        parts.append((np.repeat(word, n), np.frombuffer(packed, np.uint32, -1, 8 + 12 * k)))
+    word, context = (np.concatenate(part) for part in zip(*parts, strict=True))
+    _, at = np.unique(splitmix(word) + context.astype(np.uint64) * np.uint64(MULTIPLIER), return_index=True)
+    word, n = np.unique(word[at], return_counts=True)
+    return pa.table({"word": pa.array(word.view(np.int64)), "contexts": pa.array(n.astype(np.int64))})
+
+
+def continuations(df: DataFrame, text: str = "text", hot: np.ndarray | None = None) -> DataFrame:
+    """(word, contexts) of all words of all texts: after how many different words each stands.
+
+    ``hot``: words (hashes) to spread over buckets by context; the result does not depend on it.
+    """
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    hot = np.zeros(0, np.uint64) if hot is None else np.sort(hot)
+    task = _contexts(df.sparkSession.sparkContext.broadcast(hot), max(8, size // PAIR_BYTES))
+    rows = df.select(F.lower(df[text]).alias("text")).mapInArrow(task, "bucket bigint, packed binary")
+    partly = rows.groupBy("bucket").applyInArrow(_counted_contexts, "word bigint, contexts bigint")
+    return partly.groupBy("word").agg(F.sum("contexts").alias("contexts"))
 
 
 def _sorted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -289,7 +324,9 @@ def counted(learn: DataFrame, docs: DataFrame, text: str):
     # a word is kept with each of its pairs
     of_word = F.max("most").over(Window.partitionBy("word"))
     grams = grams.withColumn("of_word", of_word).filter(F.when(F.col("single"), F.col("of_word")).otherwise(F.col("most")) > min(DISCOUNTS)).checkpoint()
-    contexts = continuations(docs, text).checkpoint()
+    # bounded by the sample, and only a matter of where pairs are counted
+    hot = grams.filter(F.col("single") & (F.col("most") >= HOT_CONTEXTS)).select("word").toPandas()["word"]
+    contexts = continuations(docs, text, hot.to_numpy(np.int64).view(np.uint64)).checkpoint()
     pairs, kinds = contexts.agg(F.coalesce(F.sum("contexts"), F.lit(0)), F.count(F.lit(1))).first()
     singles = grams.filter("single").join(contexts, "word", "left")
     singles = singles.select("single", "before", "word", "n0", "n1", F.coalesce("contexts", F.lit(0)).alias("contexts"))

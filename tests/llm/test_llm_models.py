@@ -111,6 +111,9 @@ def test_class_models_by_their_formulas(spark):
     learn = spark.createDataFrame(texts, "label int, text string").repartition(3)
     docs = spark.createDataFrame([(t,) for t in corpus], "body string").repartition(3)
     grams, totals, size = toxicity.counted(learn, docs, "body")
+    plain = toxicity.continuations(docs, "body")
+    spread = toxicity.continuations(docs, "body", plain.toPandas()["word"].to_numpy(np.int64).view(np.uint64))
+    assert sorted(plain.collect()) == sorted(spread.collect()) and plain.count() == size[1]
     asked = ["a b bad. Bad a! b, a", "unknown bad 漢字", "", None, "é\na x1 unknown"]
     for d, total in zip(toxicity.DISCOUNTS, totals):
         model = toxicity.estimate(grams, total, size, d)
