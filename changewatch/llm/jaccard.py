@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import use_checkpoint_dir
+from ..session import shuffles_freed, use_checkpoint_dir
 from .catalog import query, stored, table
 from .components import components
 from .vec import Hasher, lower_table, shingle_hashes, slices, space_table, splitmix, word_spans
@@ -297,17 +297,18 @@ class _Search:
 
         def lists(group: pa.Table) -> pa.Table:
             bucket = group.column("bucket")[0].as_py()
-            if bucket >= 0:
-                return _lists(bucket, group)
-            return group.select(["token", "sid", "pos"]).group_by(["token", "sid", "pos"]).aggregate([])
+            hot = bucket < 0
+            found = group.select(["token", "sid", "pos"]).group_by(["token", "sid", "pos"]).aggregate([]) if hot else _lists(bucket, group)
+            return found.append_column("hot", pa.array(np.full(len(found), hot)))
 
-        return tagged.groupBy("bucket").applyInArrow(lists, "token bigint, sid bigint, pos int").checkpoint()
+        return tagged.groupBy("bucket").applyInArrow(lists, "token bigint, sid bigint, pos int, hot boolean").checkpoint()
 
-    def only(self, rows: DataFrame, sids: DataFrame) -> DataFrame:
-        """Rows of these sets; few sets are broadcast (they are counted), others shuffled."""
-        sids = sids.distinct().checkpoint()
-        small = sids.count() <= BROADCAST_ROWS
-        return rows.join(F.broadcast(sids) if small else sids, "sid", "left_semi")
+    def texts(self, sids: DataFrame) -> DataFrame:
+        """(sid, text) of these sets; few sets are broadcast (they are counted), others shuffled with the documents."""
+        wanted = sids.distinct().join(self.classes.select("sid", "first_id"), "sid").checkpoint()
+        chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        found = self.docs.join(chosen, F.col("id").eqNullSafe(F.col("first_id"))).select("sid", "text")
+        return stored(found.mapInArrow(_matching_text, "sid bigint, text string"))
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, shared, united) of those pairs (a, b) of sets that their lists leave possible.
@@ -321,7 +322,7 @@ class _Search:
         most = shared + F.greatest(F.col("na") - self.prefix("na"), F.col("nb") - self.prefix("nb"))
         possible = (self.whole + self.part) * most >= self.part * (F.col("na") + F.col("nb"))
         pairs = pairs.join(left, "a").join(right, "b").filter(possible).select("a", "b").checkpoint()
-        texts = self.only(self.texts, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")))
+        texts = self.texts(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")))
         left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -345,23 +346,18 @@ class _Search:
     def components(self) -> DataFrame:
         part, whole = self.part, self.whole
         posts = self.postings()
-        counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
+        # of tokens that are not frequent, only those of several sets are left
+        often = posts.filter("hot")
+        several = often.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
+        several = posts.filter("not hot").union(often.join(several, "token", "left_semi")).drop("hot")
         share = (
             posts.groupBy("sid").agg(F.count(F.lit(1)).alias("k"))
             .join(self.classes, "sid").select("sid", "n", (F.col("k") / self.prefix("n")).alias("share"))
         )
         # how many lists a set has from each place on
         left = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("pos"), "token"))
-        lists = posts.join(counts, "token").join(share, "sid").withColumn("left", left).checkpoint()
+        lists = several.join(share, "sid").withColumn("left", left).checkpoint()
         self.tokens = lists.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens")).checkpoint()
-        active = lists.select("sid").distinct().join(self.classes.select("sid", "first_id"), "sid").checkpoint()
-        # few sets are broadcast (they are counted), others shuffled with the texts
-        chosen = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
-        self.texts = stored(
-            self.docs.join(chosen, F.col("id").eqNullSafe(F.col("first_id")))
-            .select("sid", "text")
-            .mapInArrow(_matching_text, "sid bigint, text string")
-        )
         # the hubs of each list; a set meets the one that it shares most lists with
         hubs = lists.groupBy("token").agg(F.max(F.struct("share", "sid", "n", "pos")).alias("hub"))
         met = (
@@ -372,6 +368,7 @@ class _Search:
             .agg(F.count(F.lit(1)).alias("k"))
             .groupBy("sid")
             .agg(F.max(F.struct("k", "hub"))["hub"].alias("hub"))
+            .checkpoint()
         )
         pairs = met.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
         answers = self.compare(pairs).checkpoint()
@@ -403,8 +400,8 @@ class _Search:
         part, whole = self.part, self.whole
         # sizes of one class differ by less than a factor of 4/3: linked sets are in the same or neighbouring ones
         size = F.floor(F.log(F.col("n").cast("double")) / math.log(whole / part)).cast("int")
-        before = Window.partitionBy("sid").orderBy("pos", "token").rowsBetween(-8, -1)
-        rows = rest.withColumns({"size": size, "earlier": F.collect_list("token").over(before)})
+        order = Window.partitionBy("sid").orderBy("pos", "token")
+        rows = rest.withColumns({"size": size, "before": F.lag("token").over(order), "before2": F.lag("token", 2).over(order)})
         blocks = rows.groupBy("token", "size").agg(
             F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos_min"),
             F.min("comp").alias("comp_min"), F.max("comp").alias("comp_max"),
@@ -412,27 +409,28 @@ class _Search:
         probes = rows.filter("comp != major").select(
             "token", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"),
             F.col("sid").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("na"), F.col("pos").alias("pa"),
-            F.col("left").alias("left_a"), F.col("earlier").alias("earlier_a"), F.col("hub").alias("hub_a"), F.col("with_hub").alias("with_a"),
+            F.col("left").alias("left_a"), F.col("before").alias("before_a"), F.col("before2").alias("before2_a"), F.col("hub").alias("hub_a"), F.col("with_hub").alias("with_a"),
         )
         probes = (
             probes.join(blocks, ["token", "size"])
             .filter("comp_min != comp_a or comp_max != comp_a")
             .filter(f"{whole} * n_max >= {part} * na and {whole} * na >= {part} * n_min")
             .filter(f"{whole + part} * least(na - pa, n_max - pos_min) >= {part} * (na + n_min)")
-            .select("token", "size", "a", "comp_a", "na", "pa", "left_a", "earlier_a", "hub_a", "with_a")
+            .select("token", "size", "a", "comp_a", "na", "pa", "left_a", "before_a", "before2_a", "hub_a", "with_a")
         )
         # Two sets that link share at least k tokens of their prefixes, so where they meet first each has k lists
         # left from there on (one less, for tokens that became one list)
         k = (F.col("na") + F.col("n")) * part / (whole + part) - F.greatest("na", "n") * part / whole - 1e-9
         enough = F.least("left_a", "left") >= F.ceil(k) - 1
+        met = F.expr("coalesce(before_a in (before, before2), false) or coalesce(before2_a in (before, before2), false)")
         return (
             probes.join(rows, ["token", "size"])
             .filter("comp != comp_a")
             .filter(_reachable(part, whole, "na", "pa", "n", "pos"))
             .filter(self.by_hub())
             .filter(enough)
-            # once per pair, as far as can be told: not if they met a few lists before, or meet the other way round
-            .filter(~F.arrays_overlap("earlier_a", "earlier") & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("sid"))))
+            # once per pair, as far as can be told: not if they met in one of the two lists before, or meet the other way round
+            .filter(~met & ((F.col("comp") == F.col("major")) | (F.col("a") < F.col("sid"))))
             .select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b"))
             .distinct()
         )
@@ -444,8 +442,9 @@ def similar_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     ``text_hash`` is xxhash64 of the text, so that results of an id can be told apart. ``root`` is a set
     of the component and tells components apart where ids are null or repeat; it is null without a set.
     """
-    search = _Search(docs, key, text, threshold)
-    roots = search.components().toDF("sid", "root")
+    with shuffles_freed(docs.sparkSession):
+        search = _Search(docs, key, text, threshold)
+        roots = search.components().toDF("sid", "root")
     named = search.classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_set = named.join(smallest, "root").select("sid", "component_id", "root")

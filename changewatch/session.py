@@ -6,6 +6,8 @@ import io
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -72,3 +74,24 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         named = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
+
+
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of each action go when the action ends.
+
+    For operators of many steps, each of which is a checkpoint or a stored table: else the files of all
+    steps lie on the disks until the driver happens to collect its garbage.
+    """
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
