@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import use_checkpoint_dir
+from ..session import shuffles_freed, use_checkpoint_dir
 from .catalog import fold, query, table
 from .langid import sample_by_label
 from .vec import MULTIPLIER, Hasher, slices, splitmix, word_spans
@@ -343,6 +343,11 @@ def fit(
     per_class: int = PER_CLASS,
 ) -> Model:
     """Learn from ``labels`` (key, 0/1 label) of some documents, and from all texts of ``docs``."""
+    with shuffles_freed(docs.sparkSession):
+        return _fitted(docs, labels, key, text, label, per_class)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> Model:
     spark = docs.sparkSession
     use_checkpoint_dir(spark)
     learn = labelled_sample(docs, labels, key, text, label, per_class)
