@@ -226,9 +226,10 @@ _DATES = "array<struct<s:int,e:int,line:int,day:string,time:string,until:string>
 
 def _typed_tokens(text: Column) -> Column:
     """Dates, times, keywords, range words and line breaks of a sentence, in order, with the text length before each."""
-    gaps = F.split(text, _TOKEN, -1)
+    # the gaps are bound once: inside the transform they would be cut anew for every token
+    found = F.struct(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("tokens"), F.split(text, _TOKEN, -1).alias("gaps"))
 
-    def typed(w: Column, k: Column) -> Column:
+    def typed(gaps: Column, w: Column, k: Column) -> Column:
         # what a token is shows at its start; only keywords are looked at again
         digit = F.left(w, F.lit(1)).between("0", "9")
         iso = digit & (F.substr(w, F.lit(5), F.lit(1)) == "-")
@@ -246,7 +247,7 @@ def _typed_tokens(text: Column) -> Column:
             F.when(F.contains(w, F.lit(BREAK)), F.size(F.split(w, BREAK, -1)) - 1).otherwise(0).alias("breaks"),
         )
 
-    return F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), typed)
+    return T.let(found, lambda x: F.transform(x["tokens"], lambda w, k: typed(x["gaps"], w, k)))
 
 
 def _scan(tokens: Column) -> Column:
