@@ -433,12 +433,15 @@ def encoded(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _encoder(path, dropout, seed)
-        for batch in batches:
-            for part, texts, keys in _parts(batch, len(kept)):
-                ids, ends = pieces.encode_flat([t or "" for t in texts], keys, turn)
-                null = pa.array([t is None for t in texts])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=null)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists], [*kept, "piece_ids"])
+        try:
+            for batch in batches:
+                for part, texts, keys in _parts(batch, len(kept)):
+                    ids, ends = pieces.encode_flat([t or "" for t in texts], keys, turn)
+                    null = pa.array([t is None for t in texts])
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=null)
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists], [*kept, "piece_ids"])
+        finally:
+            pieces.states = States()  # Spark keeps the worker for other work
 
     given = df.select(*kept, df[text].alias("_text"), df[key].cast("string").alias("_key"))
     return given.mapInArrow(rows, with_fields(df.select(*kept), "piece_ids array<int>"))
@@ -447,8 +450,8 @@ def encoded(
 def decoded(df: DataFrame, ids: str = "piece_ids", path: str = MODEL, name: str = "decoded") -> DataFrame:
     """``df`` with the text that the ids stand for: the bytes of each piece, joined inside the JVM."""
     every = F.split(F.lit(",".join(b.hex() for b in _encoder(path, 0.0, 0).bytes_of)), ",", -1)
-    spelled = F.transform(F.col(ids).cast("array<int>"), lambda i: F.coalesce(F.when(i >= 0, F.get(every, i)), F.lit("ff")))
-    text = F.make_valid_utf8(F.unhex(F.array_join(spelled, "")).cast("string"))
+    spelled = F.transform(F.col(ids).cast("array<int>"), lambda i: F.get(every, i))
+    text = F.make_valid_utf8(F.unhex(F.array_join(spelled, "", "ff")).cast("string"))  # ff: ids of no piece
     # without the white space that encoding put in front
     return df.withColumn(name, F.substr(text, F.lit(2)))
 

@@ -3,7 +3,9 @@
 import glob
 import time
 
-from changewatch.llm import jaccard
+from pyspark.sql import functions as F
+
+from changewatch.llm import jaccard, pieces, toxicity
 from changewatch.session import FREED
 
 
@@ -35,3 +37,31 @@ def test_similar_sets_leaves_no_shuffle_files(spark):
     assert not left_over(spark, before)
     assert spark.conf.get(FREED, None) == held
     assert found.count() == 60
+
+
+def test_fit_of_toxicity_leaves_no_shuffle_files(spark):
+    docs = spark.createDataFrame([(i, f"good words {i % 9}" if i % 2 else f"bad insult {i % 7}") for i in range(60)], "doc_id bigint, text string")
+    before = shuffle_files(spark)
+    toxicity.fit(docs, docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert not left_over(spark, before)
+
+
+def test_workers_keep_no_encoder_states(spark):
+    docs = spark.createDataFrame(texts(40), "doc_id bigint, text string").coalesce(1)
+
+    def held(batches):
+        list(batches)
+        import pyarrow as pa
+
+        sizes = [len(p.states.units) for p in pieces._loaded.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([len(sizes)], pa.int32()), pa.array([sum(sizes)], pa.int32())], ["encoders", "states"])
+
+    pieces.encoded(docs).collect()
+    # as many tasks as there may be idle workers
+    seen = spark.range(64).repartition(8).mapInArrow(held, "encoders int, states int").collect()
+    assert sum(r["states"] for r in seen) == 0
+
+
+def test_ids_of_no_piece_decode_to_replacement_characters(spark):
+    rows = spark.createDataFrame([(1, [-1, 10**6, None])], "k int, piece_ids array<int>")
+    assert pieces.decoded(rows).first()["decoded"] == "\ufffd" * 2  # the first one stands for the white space in front
