@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from ..session import shuffles_freed, use_checkpoint_dir
 from .catalog import query, stored, table
 from .components import components
-from .vec import Hasher, lower_table, shingle_hashes, slices, space_table, splitmix, word_spans
+from .vec import Hasher, freed_after, lower_table, shingle_hashes, slices, space_table, splitmix, word_spans
 
 WIDTH = 5
 THRESHOLD = (75, 100)
@@ -86,6 +86,7 @@ def digests(tokens: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarr
     return np.where(size > 0, splitmix(digest + size.astype(np.uint64)), 0).astype(np.uint64).view(np.int64), size
 
 
+@freed_after
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First pass: (id, digest, n) of each document, and (token, seen) of frequent tokens."""
     names = ["id", "th", "sid", "n", "token", "seen"]
@@ -140,6 +141,7 @@ def _index(frequent, buckets: int, part: int, whole: int):
             [pa.array(bucket[first]), pa.array(parts, pa.binary()), nothing, nothing, pa.nulls(len(parts), pa.int32())], names
         )
 
+    @freed_after
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = frequent.value
         held: list[np.ndarray] = []
@@ -225,6 +227,7 @@ def _lists(bucket: int, group: pa.Table) -> pa.Table:
     )
 
 
+@freed_after
 def _matching_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sid, text) whose text has that digest; an id may stand for several texts."""
     for batch in batches:
@@ -234,6 +237,7 @@ def _matching_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield part.filter(pa.array(part.column(0).to_numpy(zero_copy_only=False) == digest))
 
 
+@freed_after
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, shared, united) of rows (a, b, text_a, text_b)."""
     for batch in batches:

@@ -23,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import fold, query, table
-from .vec import MULTIPLIER, slices, splitmix
+from .vec import MULTIPLIER, freed_after, slices, splitmix
 
 BUCKETS = 1 << 15
 ORDERS = 3
 PER_LANGUAGE = 3000
+SLICE = 1 << 18
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 
@@ -75,11 +76,14 @@ def sample_by_label(df: DataFrame, label: Column, text: str, per_label: int) ->
     rows = rows.filter("label is not null and text is not null")
     spark = df.sparkSession
     counts = [(str(r["label"]), r["count"]) for r in rows.groupBy("label").count().collect()]
-    share = spark.createDataFrame([(name, n, per_label / n) for name, n in counts], "_name string, _all bigint, share double")
+    # small tables by Arrow: of rows in Python, Spark would start Python workers that only hand them on
+    names = pa.array([name for name, _ in counts], pa.string())
+    share = spark.createDataFrame(pa.table({"_name": names, "share": pa.array([per_label / n for _, n in counts], pa.float64())}))
     # one row per label: a model holds a row of weights for each, so there are few
     chosen = rows.join(F.broadcast(share), F.col("label").cast("string") == F.col("_name")).filter("point < share")
     got = {str(r["label"]): r["count"] for r in chosen.groupBy("label").count().collect()}
-    weights = spark.createDataFrame([(name, n / got[name]) for name, n in counts if name in got], "_of string, weight double")
+    weight = pa.array([n / got[name] if name in got else None for name, n in counts], pa.float64())
+    weights = spark.createDataFrame(pa.table({"_of": names, "weight": weight}))
     return chosen.join(F.broadcast(weights), F.col("label").cast("string") == F.col("_of")).select("label", "text", "weight")
 
 
@@ -93,6 +97,7 @@ class Model:
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     """Learn from rows with a non-null language and text."""
 
+    @freed_after
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         texts: dict[str, float] = {}
@@ -104,7 +109,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", per_languag
             for k, name in enumerate(names):
                 texts[name] = texts.get(name, 0.0) + float(stands_for[number == k].sum())
                 total.setdefault(name, np.zeros(BUCKETS, np.int64))
-            for first, data, offsets in slices(batch.column(1)):
+            for first, data, offsets in slices(batch.column(1), SLICE):
                 for bucket, row in ngram_buckets(data, offsets):
                     cell = number[first + row] * BUCKETS + bucket
                     counts = np.bincount(cell, minlength=len(names) * BUCKETS)
@@ -140,13 +145,14 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     # only texts go to Python, once, and only predictions come back: the other columns wait in the JVM
     @F.arrow_udf("struct<lang:string,score:double>")
+    @freed_after
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         languages, weights, prior = shared.value
         for texts in batches:
             n = len(texts)
             total = np.zeros((len(languages), n))
             seen = np.zeros(n, np.int64)
-            for first, data, offsets in slices(texts):
+            for first, data, offsets in slices(texts, SLICE):
                 rows = len(offsets) - 1
                 for bucket, row in ngram_buckets(data, offsets):
                     seen[first : first + rows] += np.bincount(row, minlength=rows)

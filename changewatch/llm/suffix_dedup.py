@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import use_checkpoint_dir
 from .catalog import query, stored, table, with_fields
-from .vec import Hasher, slices
+from .vec import Hasher, freed_after, slices
 
 WINDOW = 200
 GRAM = 40
@@ -93,6 +93,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, grams: Hasher, extents: Hashe
     return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
+@freed_after
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams, extents = Hasher(51), Hasher(52)
     for batch in batches:
@@ -109,6 +110,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@freed_after
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ah, eh, n, lo, hi, bytes from lo before the anchor to the end of its last window)."""
     for batch in batches:
@@ -262,6 +264,7 @@ def _sorted_bucket(group: pa.Table) -> pa.Table:
     )
 
 
+@freed_after
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ah, eh, d, h1, h2) of each window of a context."""
     one, two = Hasher(53), Hasher(54)
@@ -277,6 +280,7 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+@freed_after
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text hash, rest, n_bytes, n_removed, n_spans, kept) of rows (id, text hash, rest, text, spans)."""
     names = ["id", "th", "rest", "n_bytes", "n_removed", "n_spans", "kept"]

@@ -7,7 +7,9 @@ hashed by a few numpy calls.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,31 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarr
         row = end
 
 
+def freed() -> None:
+    """Give memory that is not in use back to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def freed_after(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``rows``, a function of batches that runs in tasks, which ends with ``freed``.
+
+    Spark keeps a worker for later tasks, several for each core; what an idle one holds adds to the executor's memory.
+    """
+
+    @functools.wraps(rows)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from rows(batches)
+        finally:
+            freed()
+
+    return run
+
+
 class Hasher:
     """Hashes of arbitrary sub-strings of a byte array, by prefix sums modulo 2**64."""
 

@@ -76,6 +76,20 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
+def use_small_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches of this session hold at most ``BATCH_ROWS`` rows.
+
+    A batch of whole texts is held several times at once, in the JVM outside its heap and in the Python worker;
+    with Spark's 10,000 rows that is hundreds of MB for each executor.
+    """
+    if not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
+
+
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -5,8 +5,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from changewatch.llm import jaccard, pieces, toxicity
-from changewatch.session import FREED
+import corpus_pipeline
+from changewatch.llm import jaccard, langid, pieces, toxicity, vec
+from changewatch.session import BATCH, BATCH_ROWS, FREED
 
 
 def shuffle_files(spark):
@@ -65,3 +66,40 @@ def test_workers_keep_no_encoder_states(spark):
 def test_ids_of_no_piece_decode_to_replacement_characters(spark):
     rows = spark.createDataFrame([(1, [-1, 10**6, None])], "k int, piece_ids array<int>")
     assert pieces.decoded(rows).first()["decoded"] == "\ufffd" * 2  # the first one stands for the white space in front
+
+
+def test_tasks_end_by_giving_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(vec, "freed", lambda: calls.append(1))
+    rows = vec.freed_after(lambda batches: (b + 1 for b in batches))
+    assert list(rows(iter([1, 2]))) == [2, 3] and len(calls) == 1
+    begun = rows(iter([1, 2]))
+    next(begun)
+    begun.close()
+    assert len(calls) == 2
+
+
+def test_small_tables_of_a_sample_need_no_python_workers(spark):
+    docs = spark.createDataFrame([(f"text {i}", "ab"[i % 2]) for i in range(20)], "text string, lang string").localCheckpoint()
+    sample = langid.sample_by_label(docs, docs["lang"], "text", 100)
+    assert "ExistingRDD[_" not in sample._jdf.queryExecution().toString()
+    assert sorted((r["label"], r["weight"]) for r in sample.collect()) == [("a", 1.0)] * 10 + [("b", 1.0)] * 10
+
+
+def test_stages_use_small_batches(spark):
+    held = spark.conf.get(BATCH)
+    docs = spark.range(5000).selectExpr("id as doc_id", "'some words' as text", "'en' as lang").coalesce(1)
+
+    def rows(batches):
+        import pyarrow as pa
+
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches)
+
+    try:
+        corpus_pipeline.identify_language(spark, docs, "")
+        assert max(r["n"] for r in docs.mapInArrow(rows, "n bigint").collect()) <= BATCH_ROWS
+        spark.conf.set(BATCH, 7)
+        corpus_pipeline.encode_pieces(spark, docs, "")
+        assert spark.conf.get(BATCH) == "7"
+    finally:
+        spark.conf.set(BATCH, held)
