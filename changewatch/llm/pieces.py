@@ -14,9 +14,9 @@ Without dropout the ids are those of the vocabulary's own encoder.
 
 What is kept between occurrences is only what follows from their draws: the ids of a unit if nothing
 is skipped, and if only one candidate is. States not met before come from the agendas of many units
-worked off together, as rows of one numpy array. An occurrence that skips more has an agenda of its own in
-such an array, of which nothing is kept. A long unit (over ``LONG`` characters) has a heap of its own. The
-results are the same.
+worked off together, as columns of one numpy array. An occurrence that skips more, and one of a unit that is
+new and alone in its stretch of texts, has an agenda of its own in such an array, of which nothing is kept.
+A long unit (over ``LONG`` characters) has a heap of its own. The results are the same.
 
 Decoding is lossless with and without dropout: characters that are no piece become byte pieces,
 and so does the white space sign itself where it occurs in a text.
@@ -32,7 +32,6 @@ columns are passed through; columns named like the output are replaced.
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -44,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import query, table, with_fields
-from .vec import MULTIPLIER, splitmix
+from .vec import MULTIPLIER, freed_after, splitmix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -56,7 +55,6 @@ NEVER = 1 << 30
 BATCH = 8_000
 PART = 1 << 20
 
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 ESCAPED = ""  # stands among the units for a white space sign of the text itself
 
 
@@ -146,9 +144,9 @@ class Pieces:
                 left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left << 21 | right] = place, self.ids[piece]
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_places = np.array([pairs[k][0] for k in sorted(pairs)], np.int32)
-        self.pair_ids = np.array([pairs[k][1] for k in sorted(pairs)], np.int32)
+        self.pair_places = np.array([*(place for place, _ in pairs.values()), NEVER], np.int32)  # the last, -1: no pair
+        self.pair_ids = np.array([i for _, i in pairs.values()], np.int32)
+        self._hashed(np.fromiter(pairs, np.int64, len(pairs)))
         self.at_place = np.zeros(len(places), np.int32)
         self.at_place[[self.rank[p] for p in self.ids]] = list(self.ids.values())
         # pieces of equal score share a place: there the pair tells which one it is
@@ -162,75 +160,100 @@ class Pieces:
         self.escaped = self._in_bytes(SPACE)
         self.states = States()
 
+    def _hashed(self, keys: np.ndarray) -> None:
+        """Numbers of pairs by slots, of which one in eight is taken at most; a pair whose slot is taken has the next free one."""
+        bits = max(8 * len(keys), 2).bit_length()
+        self.slot_shift = np.uint64(64 - bits)
+        self.slots, self.slot_keys = np.full(1 << bits, -1, np.int32), np.full(1 << bits, -1, np.int64)
+        at = (keys.astype(np.uint64) * np.uint64(MULTIPLIER) >> self.slot_shift).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.slots[at[left]] < 0]
+            self.slots[at[free]] = free  # one of those that meet in a slot
+            left = left[self.slots[at[left]] != left]
+            at[left] = at[left] + 1 & len(self.slots) - 1
+        self.slot_keys[at] = keys
+
     def _in_bytes(self, text: str) -> list[int]:
         return [self.byte_id[b] for b in text.encode("utf-8", "replace")]
 
-    def _places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 21 | np.maximum(right, 0)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (right >= 0), self.pair_places[at], NEVER)
-
-    def merged_many(self, units: list[str], keys: np.ndarray | None = None, skipped: np.ndarray | None = None) -> list[list[int]]:
-        """Ids of each unit by agendas that are rows of one array: NEVER where no candidate is.
+    def _places(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and place of the pair of each of these neighbours; place NEVER where they form no piece or there is none (-1)."""
+        key = left.astype(np.int64) << 21 | right
+        at = (key.astype(np.uint64) * np.uint64(MULTIPLIER) >> self.slot_shift).astype(np.int64)
+        found = self.slots[at]
+        # a slot taken by another pair: the next one
+        open_ = np.flatnonzero((self.slot_keys[at] != key) & (found >= 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & len(self.slots) - 1
+            found[open_] = self.slots[at[open_]]
+            open_ = open_[(self.slot_keys[at[open_]] != key[open_]) & (found[open_] >= 0)]
+        return found, self.pair_places[found]
+
+    def _merged(self, units: list[str], keys: np.ndarray | None, skipped: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, how many each has) by agendas that are columns of one array: NEVER where no candidate is.
 
         Candidates are skipped by the draws of ``keys``, or, one of each unit, as ``skipped`` says (-1: none).
+        A merged part stays where its first character was; ``after`` and ``before`` lead to its neighbours.
         """
-        if skipped is None:
-            skipped = np.full(len(units), -1)
-        keys = None if keys is None else keys.astype(np.uint64)
-        number = 0
-        n, width = len(units), max(map(len, units))
-        lengths = np.array([len(u) for u in units])
-        part = np.full((n, width + 1), -1, np.int32)
+        n, lengths = len(units), np.fromiter(map(len, units), np.int64, len(units))
+        width = int(lengths.max())
+        bits = (width + 1).bit_length()
         chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        part[:, :width][np.arange(width) < lengths[:, None]] = self.of_char[chars]
-        agenda = self._places(part[:, :-1], part[:, 1:]).astype(np.int32)
-        done: list[list[int]] = [[]] * n
-        row = np.arange(n)
-        column = np.arange(width + 1)
-        while len(row):
-            at = agenda.argmin(axis=1)
-            every = np.arange(len(row))
-            score = agenda[every, at]
-            over = score == NEVER
-            if over.any():
-                for i, ids in zip(row[over].tolist(), part[over].tolist(), strict=True):
-                    done[i] = ids[: ids.index(-1)]
-                live = ~over
-                row, part, agenda, at, score = (x[live] for x in (row, part, agenda, at, score))
-                every = np.arange(len(row))
-                if not len(row):
-                    break
+        part = np.full((width + 2, n), -1, np.int32)  # with a margin on both sides
+        part[_within(lengths) + 1, np.repeat(np.arange(n), lengths)] = self.of_char[chars]
+        agenda = np.full((width + 2, n), NEVER, np.int32)
+        for at in range(1, width):
+            place = self._places(part[at], part[at + 1])[1]
+            agenda[at] = np.where(place < NEVER, place << bits | at, NEVER)
+        column = np.arange(width + 2, dtype=np.int32)[:, None]
+        after, before = (np.repeat(column + k, n, axis=1).ravel() for k in (1, -1))
+        flat, live, number = part.ravel(), np.arange(n), 0
+        while width > 1:
+            best = agenda[1:width].min(axis=0)
+            has = best < NEVER
+            n_has = np.count_nonzero(has)
+            if not n_has:
+                break
+            if n_has < 0.8 * len(live):
+                live, agenda, best = live[has], agenda.compress(has, axis=1), best[has]
+                has = np.ones(n_has, bool)
+            m, queue = len(live), agenda.ravel()
             if keys is not None:
-                skip = hashes(keys[row], np.array([number])) < self.limit
+                skip = hashes(keys[live], np.array([number])) < self.limit
             else:
-                skip = skipped[row] == number
+                skip = skipped[live] == number
             number += 1
-            agenda[every[skip], at[skip]] = NEVER
-            go = every[~skip]
+            skip &= has
+            gone = np.flatnonzero(skip)
+            queue[(best[gone] & (1 << bits) - 1) * m + gone] = NEVER
+            go = np.flatnonzero(has & ~skip)
             if not len(go):
                 continue
-            b = at[go]
-            piece = self.at_place[score[go]]
+            best, unit = best[go], live[go]
+            at, piece = best & (1 << bits) - 1, self.at_place[best >> bits]
+            here = at * n + unit
+            right = after[here]
+            there = right * n + unit
             tied = np.flatnonzero(piece < 0)
             if len(tied):
-                left, right = part[go[tied], b[tied]].astype(np.int64), part[go[tied], b[tied] + 1]
-                piece[tied] = self.pair_ids[np.searchsorted(self.pair_keys, left << 21 | right)]
-            part[go, b] = piece
-            old, was = part[go], agenda[go]
-            moved, places = old.copy(), was.copy()
-            after = column[:-1] > b[:, None]
-            np.copyto(moved[:, :-1], old[:, 1:], where=after)
-            moved[:, -1] = -1
-            np.copyto(places[:, :-1], was[:, 1:], where=after[:, :-1] | (column[: width - 1] == b[:, None]))
-            places[:, -1] = NEVER
-            part[go] = moved
-            ahead = np.arange(len(go))
-            places[ahead, b] = np.where(b < width, self._places(moved[ahead, b], moved[ahead, np.minimum(b + 1, width)]), NEVER)
-            inner = b > 0
-            places[ahead[inner], b[inner] - 1] = self._places(moved[ahead[inner], b[inner] - 1], moved[ahead[inner], b[inner]])
-            agenda[go] = places
-        return done
+                piece[tied] = self.pair_ids[self._places(flat[here[tied]], flat[there[tied]])[0]]
+            flat[here], flat[there] = piece, -1
+            queue[right * m + go] = NEVER
+            right, left = after[there], before[here]
+            after[here], before[right * n + unit] = right, at
+            _, place = self._places(np.concatenate([piece, flat[left * n + unit]]), np.concatenate([flat[right * n + unit], piece]))
+            at = np.concatenate([at, left])
+            queue[at * m + np.concatenate([go, go])] = np.where(place < NEVER, place << bits | at, NEVER)
+        held = part.T >= 0
+        return part.T[held], held.sum(axis=1)
+
+    def merged_many(self, units: list[str], keys: np.ndarray | None = None, skipped: np.ndarray | None = None) -> list[list[int]]:
+        """Ids of each unit; characters that are no piece lie beyond the ids."""
+        if skipped is None:
+            skipped = np.full(len(units), -1)
+        ids, n_ids = self._merged(units, None if keys is None else keys.astype(np.uint64), skipped)
+        return [x.tolist() for x in np.split(ids, np.cumsum(n_ids)[:-1])]
 
     def merged_long(self, unit: str, key: int) -> list[str]:
         """The same by an agenda in a heap."""
@@ -289,9 +312,7 @@ class Pieces:
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             own = [units[i] for i in some.tolist()]
-            found = self.merged_many(own, None if keys is None else keys[some], None if skipped is None else skipped[some])
-            n_ids = np.fromiter(map(len, found), np.int64, len(found))
-            yield some, np.fromiter(chain.from_iterable(found), np.int32, int(n_ids.sum())), n_ids
+            yield some, *self._merged(own, None if keys is None else keys[some], None if skipped is None else skipped[some])
 
     def _learn(self, units: list[str], skipped: np.ndarray) -> np.ndarray:
         """New states of these units, each with the candidate that is skipped in it (-1: none)."""
@@ -329,17 +350,46 @@ class Pieces:
             state[live] = states.next.data[way]
         return state, more
 
-    def _own_agendas(self, units: list[str], keys: np.ndarray) -> list[list[int]]:
-        """Ids of occurrences by agendas of their own."""
-        out: list[list[int]] = [[]] * len(units)
+    def _own(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each occurrence begin, how many it has) by agendas of their own."""
+        begin, number, kept, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [np.zeros(0, np.int32)], 0
         for some, ids, n_ids in self._by_length(units, keys, None):
             ids, n_ids = self._spelled(ids, n_ids)
-            ends = np.cumsum(n_ids)
-            for i, begin, end in zip(some.tolist(), (ends - n_ids).tolist(), ends.tolist(), strict=True):
-                out[i] = ids[begin:end].tolist()
-        return out
+            begin[some], number[some] = size + np.cumsum(n_ids) - n_ids, n_ids
+            kept.append(ids)
+            size += len(ids)
+        return np.concatenate(kept), begin, number
 
-    def encode_flat(self, texts: list[str], keys: list[str], turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def _own_agendas(self, units: list[str], keys: np.ndarray) -> list[list[int]]:
+        """Ids of occurrences by agendas of their own."""
+        ids, begin, number = self._own(units, keys)
+        return [ids[b : b + n].tolist() for b, n in zip(begin.tolist(), number.tolist(), strict=True)]
+
+    def _cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(different units, which one each occurrence is, how many occurrences each text has) of UTF-8 texts, null being empty."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        space = pa.scalar(b" ", pa.large_binary())
+        texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(space, texts, pa.scalar(b"", pa.large_binary())))
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or offsets[-1] == offsets[0]:
+            return [], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[: offsets[-1]]
+        first = data == 32
+        first[1:] &= data[:-1] != 32
+        first[: offsets[0]] = False
+        first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        # a white space sign of the text itself is spelled in bytes, so its parts are cut apart
+        sign = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+        first[sign] = True
+        first[sign[sign + 3 < len(data)] + 3] = True
+        begin = np.flatnonzero(first)
+        bounds = pa.py_buffer(np.append(begin, len(data)))
+        found = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, bounds, texts.buffers()[2]]).dictionary_encode()
+        units = [u.decode("utf-8", "surrogatepass") for u in found.dictionary.to_pylist()]
+        units = [ESCAPED if u == SPACE else u.replace(" ", SPACE) for u in units]
+        return units, found.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(begin, offsets))
+
+    def encode_flat(self, texts: list[str] | pa.Array, keys: list[str], turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text begins and the last one ends)."""
         if len(self.states.units) > CACHE:
             self.states = States()
@@ -347,41 +397,39 @@ class Pieces:
         if ESCAPED not in states.of_unit:
             states.of_unit[ESCAPED] = states.add(
                 [ESCAPED], np.array([-1]), np.array(self.escaped, np.int32), np.array([len(self.escaped)]), np.zeros(1, np.int64))
-        units: list[str] = []
-        n_units = np.zeros(len(texts), np.int64)
-        for d, text in enumerate(texts):
-            had = len(units)
-            # a white space sign of the text itself is spelled in bytes, so its parts are cut apart
-            for k, part in enumerate(text.split(SPACE) if text else []):
-                if k:
-                    units.append(ESCAPED)
-                units += UNIT.findall((SPACE if not k else "") + part.replace(" ", SPACE))
-            n_units[d] = len(units) - had
-        new = [u for u in set(units).difference(states.of_unit) if len(u) <= LONG]
-        states.of_unit.update(zip(new, self._learn(new, np.full(len(new), -1)).tolist(), strict=True))
-        state = np.array([states.of_unit.get(u, -1) for u in units], np.int64)
-        stream = np.zeros(len(units), np.uint64)
-        extra: list[list[int]] = []  # ids that are not those of a state
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary())
+        units, which, n_units = self._cut(texts)
+        known = np.fromiter((states.of_unit.get(u, -1) for u in units), np.int64, len(units))
+        short = np.fromiter(map(len, units), np.int64, len(units)) <= LONG
+        # without draws all occurrences are alike; of one that stands alone here nothing is kept
+        new = np.flatnonzero((known < 0) & short & (np.bincount(which, minlength=len(units)) > (1 if self.limit else 0)))
+        names = [units[i] for i in new.tolist()]
+        known[new] = self._learn(names, np.full(len(new), -1))
+        states.of_unit.update(zip(names, known[new].tolist(), strict=True))
+        state, short = known[which], short[which]
+        stream = np.zeros(len(which), np.uint64)
+        own = np.zeros(0, np.int64)
         if self.limit:
             mine = [xxhash.xxh64_intdigest(f"{turn} {k}".encode("utf-8", "replace"), self.seed) for k in keys]
             stream = splitmix(np.repeat(np.array(mine, np.uint64), n_units) ^ splitmix(_within(n_units)))
-            short = np.flatnonzero(state >= 0)
-            state[short], more = self._drawn(state[short], stream[short])
-            more = short[more]
-            extra += self._own_agendas([units[i] for i in more.tolist()], stream[more])
-            state[more] = -1
-        long = np.flatnonzero(state < 0)
-        if self.limit:
-            long = np.concatenate([more, np.setdiff1d(long, more)])
-        begin, n_ids, store = states.begin.data[state], states.n_ids.data[state].astype(np.int64), states.ids.data
-        if len(long):  # ids behind those of the states
-            for i in long[len(extra) :].tolist():
-                parts = self.merged_long(units[i], int(stream[i]))
-                extra.append([b for p in parts for b in ([self.ids[p]] if p in self.ids else self._in_bytes(p))])
-            n_ids[long] = [len(x) for x in extra]
-            begin[long] = len(store) + np.cumsum(n_ids[long]) - n_ids[long]
-            store = np.concatenate([store, np.fromiter(chain.from_iterable(extra), np.int32)])
-        ids = store[np.repeat(begin, n_ids) + _within(n_ids)]
+            kept = np.flatnonzero(state >= 0)
+            state[kept], more = self._drawn(state[kept], stream[kept])
+            own = np.concatenate([kept[more], np.flatnonzero((state < 0) & short)])
+        begin, n_ids, store = states.begin.data[state], states.n_ids.data[state].astype(np.int64), [states.ids.data]
+        size = len(store[0])
+        if len(own):  # ids behind those of the states
+            ids, at, number = self._own([units[i] for i in which[own].tolist()], stream[own])
+            begin[own], n_ids[own] = size + at, number
+            store.append(ids)
+            size += len(ids)
+        for i in np.flatnonzero(~short).tolist():
+            parts = self.merged_long(units[which[i]], int(stream[i]))
+            ids = np.array([b for p in parts for b in ([self.ids[p]] if p in self.ids else self._in_bytes(p))], np.int32)
+            begin[i], n_ids[i] = size, len(ids)
+            store.append(ids)
+            size += len(ids)
+        ids = np.concatenate(store)[np.repeat(begin, n_ids) + _within(n_ids)]
         ends = np.concatenate([[0], np.cumsum(n_ids)])
         return ids, ends[np.concatenate([[0], np.cumsum(n_units)])]
 
@@ -413,14 +461,14 @@ def _encoder(path: str, dropout: float, seed: int) -> Pieces:
 _loaded: dict[tuple[str, float, int], Pieces] = {}
 
 
-def _parts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None], list[str]]]:
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, list[str]]]:
     """(rows, texts, keys) of stretches of a batch of bounded size; columns at and at + 1 are text and key."""
     size = np.cumsum(np.concatenate([[0], pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False)]))
     first = 0
     while first < batch.num_rows:
         end = min(max(int(np.searchsorted(size, size[first] + PART, side="right")) - 1, first + 1), batch.num_rows)
         part = batch.slice(first, end - first)
-        yield part, part.column(at).to_pylist(), [k or "" for k in part.column(at + 1).to_pylist()]
+        yield part, part.column(at), [k or "" for k in part.column(at + 1).to_pylist()]
         first = end
 
 
@@ -431,14 +479,14 @@ def encoded(
     """``df`` with ``piece_ids`` (array<int>) of the text."""
     kept = [c for c in df.columns if c != "piece_ids"]
 
+    @freed_after
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _encoder(path, dropout, seed)
         try:
             for batch in batches:
                 for part, texts, keys in _parts(batch, len(kept)):
-                    ids, ends = pieces.encode_flat([t or "" for t in texts], keys, turn)
-                    null = pa.array([t is None for t in texts])
-                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=null)
+                    ids, ends = pieces.encode_flat(texts, keys, turn)
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=texts.is_null())
                     yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists], [*kept, "piece_ids"])
         finally:
             pieces.states = States()  # Spark keeps the worker for other work

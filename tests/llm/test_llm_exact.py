@@ -400,6 +400,17 @@ def test_pieces_of_each_occurrence():
         assert some._own_agendas([unit] * len(more), streams[:500][more]) == [spelled(want, ids) for ids in own]
 
 
+def test_words_that_stand_alone_keep_no_states():
+    some, again = pieces.Pieces(pieces.MODEL, 0.3, 7), pieces.Pieces(pieces.MODEL, 0.3, 7)
+    text = "understandable roads  and roads ▁é漢\n alone"
+    keys = [str(k) for k in range(40)]
+    one = [some.encode(text, k) for k in keys]
+    assert "▁roads" in some.states.of_unit and "▁understandable" not in some.states.of_unit
+    # the same ids as by states, all texts at once
+    assert again.encode_many([text] * 40, keys) == one and "▁understandable" in again.states.of_unit
+    assert [some.decode(x) for x in one] == [text] * 40
+
+
 def test_queries_give_their_full_results(spark, tmp_path):
     rows = [(1, "s", "some words of a text " * 90), (2, None, None), (None, "", "é▁漢")]
     spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
