@@ -40,6 +40,7 @@ from ..session import use_checkpoint_dir
 from .catalog import query, stored, table, with_fields
 from .vec import Hasher, freed_after, slices
 
+SLICE = 1 << 18
 WINDOW = 200
 GRAM = 40
 REACH = WINDOW - GRAM  # the largest offset of an anchor in its window
@@ -97,7 +98,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, grams: Hasher, extents: Hashe
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     grams, extents = Hasher(51), Hasher(52)
     for batch in batches:
-        for first, data, offsets in slices(batch.column(2)):
+        for first, data, offsets in slices(batch.column(2), SLICE):
             value, extent, row, at, lo, hi = anchors(data, offsets, grams, extents)
             take = pa.array(first + row)
             yield pa.RecordBatch.from_arrays(
